@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import small_batches, stored
+from ._words import codes, runs, words
 from .components import components
 
-#: Documents whose prefixes share a shingle before it is hot; tokens of a bucket of the index; hashes of words that a worker keeps.
-HOT, BUCKET, WORDS = 12, 400_000, 300_000
+#: Documents whose prefixes share a shingle before it is hot; tokens of a bucket of the index.
+HOT, BUCKET = 12, 400_000
 #: Shingles so frequent that their lists are never gathered: over HEAVY documents in the prefixes of one batch each; how many are told to all (8 bytes each).
 HEAVY, MOST_HEAVY = 20_000, 200_000
 #: Verification: documents and shingles of a block; rows of the table of members that may be broadcast (24 bytes each).
@@ -42,40 +43,12 @@ BLOCK_ROWS, BLOCK_SHINGLES, BROADCAST_ROWS = 2000, 1_500_000, 1_000_000
 VERIFY = 20
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def words(text: str | None) -> list[bytes]:
-    """Words as UTF-8: A-Z in lower case, parted by ASCII white space."""
-    return text.encode("utf-8").lower().split() if text else []
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Hashes of the distinct shingles, in order."""
     found = words(text)
     if not found:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
-    n = min(width, len(found))
-    out = np.full(len(found) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _mix(out * _ODD + codes[k : len(found) - n + 1 + k])
-    return np.unique(out)
+    return np.unique(runs(codes(found), min(width, len(found))))
 
 
 def signature(found: np.ndarray) -> int:

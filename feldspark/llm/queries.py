@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, html_extract, language_id, matroska, secret_scan, sharding
+from . import bpe, chat_format, html_extract, jaccard_join, language_id, lm_scoring, matroska, secret_scan, sharding
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
 #: The conversation that op4 formats beside the table's.
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -42,6 +46,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.drop("token_ids")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
@@ -56,11 +64,55 @@ def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+FUNCTIONS = (op1_html_extract, op3_lm_scoring, op4_chat_format, op5_matroska, op6_bpe, op7_jaccard_join, op8_secret_scan, op9_language_id, op10_jump_hash)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op4_chat_format, op5_matroska, op6_bpe, op8_secret_scan, op9_language_id, op10_jump_hash)}
+    return {f.__name__: f for f in FUNCTIONS}
+
+
+#: Words as the operators take them: A-Z in lower case, parted by ASCII white space.
+WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '')"""
+
+
+def _lm_sql(order: int, alpha: float) -> str:
+    """Stupid backoff with the document's own n-grams left out, for each order."""
+    grams = "\n".join(
+        f""", g{k} AS (SELECT doc_id, i + {k - 1} AS at, array_to_string(ws[i:i + {k - 1}], ' ') AS g, {f"array_to_string(ws[i:i + {k - 2}], ' ')" if k > 1 else "''"} AS ctx
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w)),
+        o{k} AS (SELECT doc_id, g, count(*) AS c FROM g{k} GROUP BY 1, 2),
+        c{k} AS (SELECT o.doc_id, o.g, t.c - o.c AS c FROM o{k} o JOIN (SELECT g, sum(c) AS c FROM o{k} GROUP BY 1) t USING (g))"""
+        for k in range(1, order + 1)
+    )
+    joined = "\n".join(f"LEFT JOIN (SELECT g{k}.doc_id, g{k}.at, c{k}.c, {f'x.c' if k > 1 else 'NULL'} AS ctx FROM g{k} JOIN c{k} USING (doc_id, g) {f'JOIN c{k - 1} x ON x.doc_id = g{k}.doc_id AND x.g = g{k}.ctx' if k > 1 else ''}) p{k} ON p{k}.doc_id = g1.doc_id AND p{k}.at = g1.at" for k in range(1, order + 1))
+    cases = " ".join(
+        f"WHEN p{k}.c > 0 THEN power({alpha}, least({order}, g1.at) - {k}) * p{k}.c / {'p%d.ctx' % k if k > 1 else 'n.rest'}" for k in range(order, 0, -1)
+    )
+    return f"""
+        WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+        n AS (SELECT doc_id, len(ws) AS n, greatest((SELECT sum(len(ws)) FROM w) - len(ws), 1)::DOUBLE AS rest FROM w)
+        {grams},
+        s AS (SELECT g1.doc_id, log10(CASE {cases} ELSE power({alpha}, least({order}, g1.at)) / n.rest END) AS s FROM g1 JOIN n ON n.doc_id = g1.doc_id {joined})
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_tokens, round(coalesce(s.s, 0), 6) AS logprob, round(s.s / n.n, 6) AS mean_logprob
+        FROM n LEFT JOIN (SELECT doc_id, sum(s) AS s FROM s GROUP BY 1) s ON s.doc_id = n.doc_id"""
+
+
+def _components_sql(table: str, width: int, percent: int) -> str:
+    """(doc_id, n_shingles, component_id) of a table's documents, by all pairs that share a shingle."""
+    run = " || ' ' || ".join(f"ws[i + {k}]" for k in range(width))
+    return f"""
+        w AS (SELECT doc_id, {WORDS} AS ws FROM {table}),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {width - 2}), i -> {run}) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+        r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        components AS (SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = w.doc_id), w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id))"""
 
 
 ORACLE = {
+    "op3_lm_scoring": _lm_sql(lm_scoring.ORDER, lm_scoring.ALPHA),
+    "op7_jaccard_join": f"WITH RECURSIVE {_components_sql('documents', 4, 85)} SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id FROM components",
     "op4_chat_format": r"""
         WITH rows AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
