@@ -351,3 +351,22 @@ def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85,
     labels = named.join(least, "root").select(F.col("sig").alias("__sig"), "component_id")
     own = sets.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("__own"))
     return own.join(labels, F.col("__own") == F.col("__sig"), "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+
+
+def keep_representatives(documents: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """documents without those of a component that aren't its least key; of rows with equal key and text one stays.
+
+    The keys that go are broadcast while they are few (8 bytes each, BROADCAST_ROWS at most), and joined by shuffle beyond.
+    """
+    found = stored(jaccard_components(documents, width, percent, key, text), "components")
+    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key)
+
+    def without(keys: DataFrame) -> DataFrame:
+        return documents.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_anti")
+
+    repeated = stored(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    if repeated.isEmpty():
+        return without(gone)
+    once = without(gone.unionByName(repeated))
+    more = documents.join(repeated, key, "left_semi").join(gone, key, "left_anti").dropDuplicates([key, text])
+    return once.unionByName(more.select(*documents.columns))

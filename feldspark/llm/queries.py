@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, html_extract, jaccard_join, language_id, lm_scoring, matroska, secret_scan, sharding
+from . import bpe, chat_format, decontaminate, html_extract, jaccard_join, language_id, lm_scoring, matroska, secret_scan, sharding
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-FUNCTIONS = (op1_html_extract, op3_lm_scoring, op4_chat_format, op5_matroska, op6_bpe, op7_jaccard_join, op8_secret_scan, op9_language_id, op10_jump_hash)
+FUNCTIONS = (op1_html_extract, op2_decontaminate, op3_lm_scoring, op4_chat_format, op5_matroska, op6_bpe, op7_jaccard_join, op8_secret_scan, op9_language_id, op10_jump_hash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
