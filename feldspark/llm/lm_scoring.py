@@ -30,7 +30,7 @@ from ._common import small_batches, stored
 from ._words import codes, runs, words
 
 #: Weight of a shorter context; words of an n-gram in production.
-ALPHA, ORDER = 0.4, 3
+ALPHA, ORDER = 0.4, 2
 #: Bytes of text in a block, n-grams asked for in a partition of the count tables (about).
 BLOCK_BYTES, BUCKET = 8 << 20, 1_500_000
 #: The hash of the empty n-gram, whose count is the number of words.
