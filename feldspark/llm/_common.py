@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that one Arrow batch brings to a Python worker at most.
@@ -44,9 +44,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batch_of(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
+_CLEAR: list[Callable[[], None]] = []
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+def take_worker(clear: Callable[[], None]) -> None:
+    """Called where a task of an operator with caches begins: a Python worker, which outlives its tasks, keeps those of one operator at a time."""
+    if _CLEAR != [clear]:
+        for other in _CLEAR:
+            other()
+        _CLEAR[:] = [clear]

@@ -18,6 +18,12 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+
+
+def forget() -> None:
+    _HASHES.clear()
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches
+from ._common import small_batches, take_worker
 
-#: Pieces that a worker remembers, and their longest length.
-REMEMBERED, MEMORABLE = 500_000, 64
+#: Pieces that a worker remembers, their longest length, and pairs of tokens that it remembers.
+REMEMBERED, MEMORABLE, PAIRS = 300_000, 64, 400_000
 
 
 class Encoder:
@@ -47,7 +47,7 @@ class Encoder:
         self.split: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         reachable = []
         for r in sorted(self.tokens):
@@ -85,10 +85,11 @@ class Encoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave left and right side by side: nothing across their border is merged earlier than what made them."""
-        answer = self.fits.get((left, right))
+        pair = left << 32 | right
+        answer = self.fits.get(pair)
         if answer is not None:
             return answer
-        if len(self.fits) >= 2_000_000:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         a, b, limit, answer = left, right, 1 << 62, True
         while True:
@@ -108,7 +109,7 @@ class Encoder:
                     limit, a = a, self.split[a][1]
                     if a == limit:
                         break
-        self.fits[left, right] = answer
+        self.fits[pair] = answer
         return answer
 
     def _merge(self, piece: bytes) -> list[int]:
@@ -170,6 +171,10 @@ class Encoder:
 _MADE: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    _MADE.clear()
+
+
 def encoder(ranks: bytes, pattern: str) -> Encoder:
     """One encoder for each table and pattern in a Python worker, whatever the number of its tasks."""
     key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
@@ -195,6 +200,7 @@ def encode_texts(documents: DataFrame, path: str, pattern: str, key: str = "doc_
     schema = documents.select(key).schema.add("n_tokens", "long").add("token_ids", T.ArrayType(T.IntegerType())).add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_forget)
         own = encoder(ranks.value, pattern)
         for b in batches:
             counts, flat, ids_sha, text_sha = [], [], [], []
@@ -221,6 +227,7 @@ def decode_ids(tokens: DataFrame, path: str, ids: str = "token_ids", into: str =
     schema = tokens.select(*[f"`{c}`" for c in kept]).schema.add(into, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_forget)
         own = encoder(ranks.value, ".")
         for b in batches:
             got = [None if x is None else own.decode(x).decode("utf-8", "replace") for x in b.column(b.num_columns - 1).to_pylist()]

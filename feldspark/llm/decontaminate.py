@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches
+from ._common import small_batches, take_worker
 from ._words import runs
 
 #: Tokens of a window, literal words it needs to be joined as a template, covered tokens of a contamination, tokens of an item that is searched for.
@@ -79,6 +79,10 @@ class _Vocabulary(dict):
 _VOCABULARY: list[_Vocabulary] = []
 
 
+def _forget() -> None:
+    _VOCABULARY.clear()
+
+
 def windows(tokens: list[str]) -> np.ndarray:
     """The key of each window: of the template, or of the plain tokens where literal words are few."""
     if len(tokens) < WINDOW:
@@ -184,6 +188,7 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     schema = documents.select(*[f"`{c}`" for c in kept]).schema.add(into, MATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_forget)
         own = [s.value for s in shared]
         for b in batches:
             found = []

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches, stored
-from ._words import codes, runs, words
+from ._common import small_batches, stored, take_worker
+from ._words import codes, forget, runs, words
 from .components import components
 
 #: Documents whose prefixes share a shingle before it is hot; tokens of a bucket of the index.
@@ -71,6 +71,7 @@ def shingle_sets(documents: DataFrame, width: int, percent: int, key: str = "doc
     schema = documents.select(key).schema.add("n", "long").add("sig", "long").add("prefix", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(forget)
         for b in batches:
             sizes, sigs, prefixes, lengths = [], [], [], [0]
             for t in b.column(1).to_pylist():
@@ -299,6 +300,7 @@ def verified_links(documents: DataFrame, members: DataFrame, width: int, percent
     keys = ["cluster", "i", "j"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(forget)
         found: list[tuple[int, int]] = []
         now: tuple | None = None
         held: dict[int, np.ndarray] = {}

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import small_batches, take_worker
 
 #: Dimensions of a vector, letters of an n-gram, documents of a language that a prototype is learned from (about).
 DIMENSIONS, GRAM, SAMPLE = 1024, 3, 3000
 #: Vectors of n-grams that a worker keeps, and code points of a long text that are profiled at a time.
-KEPT, CHUNK = 40_000, 1 << 20
+KEPT, CHUNK = 20_000, 1 << 20
 UNKNOWN = "und"
 
 _LETTERS: dict[int, np.ndarray] = {}
@@ -106,6 +106,11 @@ def has_letter(text: str | None) -> bool:
 _PROFILES: list[Profiles] = []
 
 
+def _forget() -> None:
+    _PROFILES.clear()
+    _LETTERS.clear()
+
+
 def _profiles() -> Profiles:
     if not _PROFILES:
         _PROFILES.append(Profiles())
@@ -135,6 +140,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: s
     taken = own.where(place < share[F.col("__lang")]).select("__text", "__lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_forget)
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -160,6 +166,7 @@ def identify(documents: DataFrame, prototypes: dict[str, np.ndarray], text: str
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(_forget)
         for b in batches:
             langs, scores = [], []
             for t in b.column(b.num_columns - 1).to_pylist():

@@ -26,8 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, stored
-from ._words import codes, runs, words
+from ._common import small_batches, stored, take_worker
+from ._words import codes, forget, runs
 
 #: Weight of a shorter context; words of an n-gram in production.
 ALPHA, ORDER = 0.4, 2
@@ -151,6 +151,7 @@ def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALP
         return code, document, every, [order_[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)] + [times]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(forget)
         for b in batches:
             for block, sizes, body in zip(b.column("block").to_pylist(), b.column("sizes"), b.column("body"), strict=True):
                 _, _, every, parts = of_block(sizes.values.to_numpy(), body.as_py())
@@ -180,6 +181,7 @@ def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALP
             yield out()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        take_worker(forget)
         found: list[pa.Table] = []
         answers = {k: v for k, v in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
         for i in range(left.num_rows):
