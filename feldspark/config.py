@@ -18,6 +18,8 @@ class Config:
     window_rows: int = 3000
     windows: int = 50
     sample_n: int = 0
+    # rows that statistics are fitted on: train, or all (which leaks, for comparison)
+    fit_on: str = "train"
     # columns that go, by the training rows
     drop_missing: float = 0.90
     near_const_share: float = 0.995
@@ -34,6 +36,7 @@ class Config:
     skew_abs: float = 2.0
     skew_method: str = "signed_log1p"
     # reduction
+    drop_duplicates: bool = False
     corr_thr: float = 0.95
     k_sel: int = 48
     track_b_max: int = 64
@@ -63,6 +66,8 @@ class Config:
     def __post_init__(self) -> None:
         if self.skew_method not in ("signed_log1p", "yeo_johnson"):
             raise ValueError(f"unknown skew_method {self.skew_method!r}")
+        if self.fit_on not in ("train", "all"):
+            raise ValueError(f"unknown fit_on {self.fit_on!r}")
         if self.auc_ties not in ("average", "ordinal"):
             raise ValueError(f"unknown auc_ties {self.auc_ties!r}")
         if self.importance not in ("auc", "gbt"):

@@ -125,8 +125,12 @@ def project(df: DataFrame, blocks: list[dict]) -> DataFrame:
 
 def fit(df: DataFrame, null_counts: dict[str, int], cfg: Config) -> dict:
     """Tracks A (selected) and B (with components in place of V columns), and what they were chosen by."""
-    own_train, val = split.train(df), df.where(F.col("split") == split.VAL)
+    own_train = split.train(df) if cfg.fit_on == "train" else df
+    val = df.where(F.col("split") == split.VAL)
     kept, dropped_hard = hard_prune(own_train, features(df), cfg)
+    if cfg.drop_duplicates:
+        again = [c for g in duplicates(own_train, kept) for c in g[1:] if c not in cfg.protect]
+        kept, dropped_hard = [c for c in kept if c not in again], dropped_hard + again
     aucs = stats.auc(own_train, kept, "isFraud", cfg.auc_ties, split.ORDER)
     kept, dropped_corr = correlation_prune(own_train, kept, aucs, cfg)
     importance = gbt_importance(own_train, kept, seed=cfg.seed) if cfg.importance == "gbt" else {c: aucs[c] for c in kept}

@@ -159,8 +159,11 @@ def _narrowed(df: DataFrame, brackets: dict, wanted: dict) -> dict:
         n, ranks = brackets[key]
         places = [_offset(ranks, r) / max(n - 1, 1) for r in ranks]
         shares.append(sorted({min(1.0, max(0.0, x + d)) for x in places for d in (-0.002, 0.0, 0.002)}))
-    row = df.agg(*[F.percentile_approx(F.when(_within(k[0], k), _q(k[0]).cast("double")), s, 10_000).alias(str(i)) for i, (k, s) in enumerate(zip(keys, shares, strict=True))]).first()
-    cuts = [sorted({k[1], *row[str(i)], k[2]}) for i, k in enumerate(keys)]
+    inside = [F.when(_within(k[0], k), _q(k[0]).cast("double")) for k in keys]
+    # the largest value below a bracket's upper end is a cut too, so every round takes at least one value off
+    below_top = [F.max(F.when(c < F.lit(k[2]), c)) for c, k in zip(inside, keys, strict=True)]
+    row = df.agg(*[F.struct(F.percentile_approx(c, s, 10_000).alias("q"), t.alias("t")).alias(str(i)) for i, (c, s, t) in enumerate(zip(inside, shares, below_top, strict=True))]).first()
+    cuts = [sorted({k[1], *row[str(i)]["q"], *([row[str(i)]["t"]] if row[str(i)]["t"] is not None else []), k[2]}) for i, k in enumerate(keys)]
     pieces = [(k, low, high) for k, c in zip(keys, cuts, strict=True) for low, high in zip(c[:-1], c[1:], strict=True)]
     counts = df.agg(*[F.struct(F.count_if(_within(k[0], (k[0], low, high)) & _q(k[0]).isNotNull()).alias("n"), F.min(F.when(_within(k[0], (k[0], low, high)), _q(k[0]).cast("double"))).alias("min")).alias(str(i)) for i, (k, low, high) in enumerate(pieces)]).first()
     out: dict = {}

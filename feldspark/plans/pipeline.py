@@ -56,6 +56,10 @@ class Pipeline:
     def _params_path(self, stage: str) -> str:
         return f"{self.folder}/params_{stage}.json"
 
+    def fitted(self, df: DataFrame) -> DataFrame:
+        """The rows that parameters are fitted on."""
+        return split.train(df) if self.cfg.fit_on == "train" else df
+
     # stages: each fits on the training rows, keeps its parameters, and gives the transformed table
 
     def split(self, df: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ class Pipeline:
             df = split.head_sample(df, self.cfg.sample_n)
         placed = split.assign(clean.normalise(df), self.cfg)
         sinks.write_meta(placed, f"{self.folder}/meta")
-        own = split.train(placed)
+        own = self.fitted(placed)
         columns = [c for c in placed.columns if c not in roles.META]
         rates = stats.missing_rates(own, columns)
         n = own.count()
@@ -73,7 +77,7 @@ class Pipeline:
         return placed
 
     def clean(self, df: DataFrame) -> DataFrame:
-        self.params["clean"] = clean.fit(split.train(df), self.cfg)
+        self.params["clean"] = clean.fit(self.fitted(df), self.cfg)
         return clean.transform(df, self.params["clean"])
 
     def engineer(self, df: DataFrame) -> DataFrame:
@@ -83,7 +87,7 @@ class Pipeline:
         columns = encode.plan(df)
         every = [c for own in columns.values() for c in own]
         if every:
-            sinks.write_parquet(encode.fit(split.train(df), every, self.cfg.freq_top), f"{self.folder}/encoders")
+            sinks.write_parquet(encode.fit(self.fitted(df), every, self.cfg.freq_top), f"{self.folder}/encoders")
         vocabulary = self.spark.read.parquet(f"{self.folder}/encoders") if every else self.spark.createDataFrame([], "column string, value string, count long, code int")
         coded = [c for c in columns["true_false"] if not encode.is_true_false(vocabulary, c)]
         self.params["encode"] = {"plan": columns, "flags_by_code": coded}
@@ -95,22 +99,22 @@ class Pipeline:
 
     def flags(self, df: DataFrame) -> DataFrame:
         rates = {c: r for c, r in self.params["missing_rate"].items() if c in df.columns}
-        self.params["flags"] = flags.fit(df, split.train(df), rates, self.cfg)
+        self.params["flags"] = flags.fit(df, self.fitted(df), rates, self.cfg)
         return flags.transform(df, self.params["flags"])
 
     def winsor(self, df: DataFrame) -> DataFrame:
-        self.params["winsor"] = winsor.fit(split.train(df), roles.continuous(df, self.ordinals()), self.cfg)
+        self.params["winsor"] = winsor.fit(self.fitted(df), roles.continuous(df, self.ordinals()), self.cfg)
         return winsor.transform(df, self.params["winsor"])
 
     def impute(self, df: DataFrame) -> DataFrame:
-        own = split.train(df)
+        own = self.fitted(df)
         columns = roles.continuous(df, self.ordinals())
         self.params["impute"] = impute.fit(own, columns, stats.missing_rates(own, columns), self.cfg)
         ref = impute.reference(own, "TransactionID", self.cfg.knn_ref, self.cfg.seed)
         return impute.transform(df, self.params["impute"], self.cfg, ref)
 
     def scale(self, df: DataFrame) -> DataFrame:
-        self.params["scale"] = scale.fit(split.train(df), roles.continuous(df, self.ordinals()))
+        self.params["scale"] = scale.fit(self.fitted(df), roles.continuous(df, self.ordinals()))
         return scale.transform(df, self.params["scale"])
 
     def reduce(self, df: DataFrame) -> DataFrame:
