@@ -247,7 +247,8 @@ def candidates(chosen: DataFrame, percent: int) -> DataFrame:
     found = chosen.where("hub = 0").repartition("tok").sortWithinPartitions("tok").mapInArrow(pairs, "a long, b long, need long")
     enough = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
     hubs = chosen.where("hub = 1").select("tok", "sig")
-    first = hubs.groupBy("tok").agg(F.min("sig").alias("b"))
+    first = stored(hubs.groupBy("tok").agg(F.min("sig").alias("b")), "hubs")
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     return enough.unionByName(hubs.join(first, "tok").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct())
 
 
