@@ -131,7 +131,7 @@ def score_block(code: np.ndarray, document: np.ndarray, documents: int, order: i
         score[hit] = weight[hit] * counts[k][hit] / context[hit]
         weight[np.isnan(score) & (counts[k] == 0)] *= alpha
     score = np.where(np.isnan(score), weight / total, score)
-    return size, np.bincount(document, np.log10(score), documents)
+    return size, np.bincount(document, np.log10(score), documents).astype(np.float64)
 
 
 def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:

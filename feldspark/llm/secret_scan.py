@@ -55,7 +55,7 @@ ENCODINGS = (
 )
 #: Share of a document's discoveries that may be false; p-values under which a random string's hypothesis falls;
 #: sum of squared shares of the characters of ordinary text (letters of a language: about 0.065).
-RATE, STANDS, REPEATS = 0.01, 1e-3, 0.065
+RATE, STANDS, REPEATS = 1e-3, 1e-3, 0.065
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -46,7 +46,11 @@ def test_brute_force(spark, sf_dir):
     want = {(r["doc_id"], i) for r in docs.collect() for i, t in items if t in r["text"]}
     got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()}
     assert want and want <= got
-    runs = lambda t: {tuple(w) for k in range(len(w := D._TOKEN.findall(t.lower())) - 11) for w in [w[k : k + 12]]}
+
+    def runs(text):
+        w = D._TOKEN.findall(text.lower())
+        return {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
+
     grams = {i: runs(t) for i, t in items}
     texts = {r["doc_id"]: runs(r["text"]) for r in docs.collect()}
     assert all(grams[i] & texts[d] for d, i in got - want)
