@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ._common import small_batches, take_worker
 
 #: Pieces that a worker remembers, their longest length, and pairs of tokens that it remembers.
-REMEMBERED, MEMORABLE, PAIRS = 300_000, 64, 400_000
+REMEMBERED, MEMORABLE, PAIRS = 500_000, 64, 400_000
 
 
 class Encoder:
@@ -61,9 +61,10 @@ class Encoder:
                 self.split[r] = halves
                 self.merged[halves] = r
                 reachable.append(r)
+        self.lengths = {r: len(t) for r, t in self.tokens.items()}
         self.automaton = ahocorasick.Automaton()
         for r in reachable:
-            self.automaton.add_word(self.tokens[r].decode("latin-1"), r)
+            self.automaton.add_word(self.tokens[r].decode("latin-1"), (r, len(self.tokens[r])))
         self.automaton.make_automaton()
         found = {self.tokens[r] for r in reachable}
         for r in reachable:
@@ -114,30 +115,33 @@ class Encoder:
 
     def _merge(self, piece: bytes) -> list[int]:
         n = len(piece)
-        longest = [-1] * n
-        reach = [0] * n
-        lengths = self.tokens
-        for end, r in self.automaton.iter(piece.decode("latin-1")):
-            size = len(lengths[r])
-            if size > reach[end + 1 - size]:
-                reach[end + 1 - size], longest[end + 1 - size] = size, r
-        out: list[int] = []
+        longest = [0] * n
+        # matches come by their ends, so the last one from a place is the longest
+        for end, (r, size) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end + 1 - size] = r
+        lengths, shorter, fits = self.lengths, self.shorter, self.fits
         closed = bytearray(n + 1)
-        at, token = 0, longest[0]
+        out: list[int] = []
+        at, last, token = 0, -1, longest[0]
         while True:
-            end = at + len(lengths[token])
-            if not closed[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                if end == n:
-                    return out
-                at, token = end, longest[end]
-                continue
-            smaller = self.shorter.get(token)
+            end = at + lengths[token]
+            if not closed[end]:
+                fit = True if last < 0 else fits.get(last << 32 | token)
+                if fit is None:
+                    fit = self.compatible(last, token)
+                if fit:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
+            smaller = shorter.get(token)
             while smaller is None:
                 closed[at] = 1
                 token = out.pop()
-                at -= len(lengths[token])
-                smaller = self.shorter.get(token)
+                last = out[-1] if out else -1
+                at -= lengths[token]
+                smaller = shorter.get(token)
             token = smaller
 
     def piece(self, text: str) -> tuple[tuple[int, ...], str]:
