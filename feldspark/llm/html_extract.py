@@ -38,6 +38,7 @@ NOISE = frozenset(
     "sidebar sidebars aside widget widgets related recommended recommendations share sharing social footer masthead toolbar pagination pager comment comments "
     "commentlist disqus replies respond copyright disclaimer hidden".split()
 )
+NOISE_STARTS = ("cookie", "advert", "sidebar", "newsletter", "sponsor", "breadcrumb")
 EXEMPT = frozenset("no has with without".split())
 
 _TAG = re.compile(
@@ -81,11 +82,11 @@ def _noise(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key in ("class", "id"):
             parts = {x.lower() for x in _PART.findall(value)}
-            if parts & NOISE and not parts & EXEMPT:
+            if (parts & NOISE or any(x.startswith(NOISE_STARTS) for x in parts)) and not parts & EXEMPT:
                 return True
             if "header" in parts and not inside and not parts & {"article", "post", "entry"}:
                 return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"""("[^"]*"|'[^']*')""", "", attributes)))
+    return bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", re.sub(r"""("[^"]*"|'[^']*')""", "", attributes)))
 
 
 def tokens(html: str) -> Iterator[tuple[str, str]]:
