@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 
 from ._common import small_batches, take_worker
 
-#: Pieces that a worker remembers, their longest length, and pairs of tokens that it remembers.
-REMEMBERED, MEMORABLE, PAIRS = 500_000, 64, 400_000
+#: Pieces of a generation that a worker remembers (of two: those of the last one are kept while used), their longest length, and remembered pairs of tokens.
+REMEMBERED, MEMORABLE, PAIRS = 225_000, 64, 200_000
 
 
 class Encoder:
@@ -48,7 +49,10 @@ class Encoder:
         self.merged: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        # ids of pieces as 32-bit numbers, which takes the least memory
+        self.known: dict[str, bytes] = {}
+        self.names = {r: str(r) for r in self.tokens}
+        self.older = self.known
         reachable = []
         for r in sorted(self.tokens):
             token = self.tokens[r]
@@ -144,29 +148,25 @@ class Encoder:
                 smaller = shorter.get(token)
             token = smaller
 
-    def piece(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a piece, and these as decimals joined by commas."""
-        raw = text.encode("utf-8")
-        whole = self.rank.get(raw)
-        ids = (whole,) if whole is not None else tuple(self._merge(raw))
-        got = ids, ",".join(map(str, ids))
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece."""
+        got = self.older.get(text)
+        if got is None:
+            raw = text.encode("utf-8")
+            whole = self.rank.get(raw)
+            got = array("I", [whole] if whole is not None else self._merge(raw)).tobytes()
         if len(text) <= MEMORABLE:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[text] = got
         return got
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
+        """Ids of a text, and these as decimals joined by commas."""
         if not text:
             return [], ""
-        ids: list[int] = []
-        said: list[str] = []
-        known, piece = self.known, self.piece
-        for x in self.pieces.findall(text):
-            got = known.get(x) or piece(x)
-            ids += got[0]
-            said.append(got[1])
-        return ids, ",".join(said)
+        ids = np.frombuffer(b"".join([self.known.get(x) or self.piece(x) for x in self.pieces.findall(text)]), np.uint32).tolist()
+        return ids, ",".join(map(self.names.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
