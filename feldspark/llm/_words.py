@@ -24,7 +24,7 @@ def forget() -> None:
     _HASHES.clear()
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,5 +49,5 @@ def runs(code: np.ndarray, n: int) -> np.ndarray:
     size = max(0, len(code) - n + 1)
     out = np.full(size, n, np.uint64)
     for k in range(n):
-        out = mix(out * _ODD + code[k : k + size])
+        out = mix(out * ODD + code[k : k + size])
     return out

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches, take_worker
-from ._words import runs
+from ._common import small_batches
+from ._words import ODD, mix
 
 #: Tokens of a window, literal words it needs to be joined as a template, covered tokens of a contamination, tokens of an item that is searched for.
 WINDOW, LITERALS, ENOUGH, SHORTEST = 6, 4, 12, 6
 #: Windows of the benchmark in a broadcast table (16 bytes each, and the tokens of their items).
 BLOCK_WINDOWS = 500_000
-#: Tokens that a worker knows.
-KNOWN = 300_000
-
 # Words for units of measure and number words.
 UNITS = frozenset(
     "mm cm dm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards g kg mg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons "
@@ -45,67 +42,29 @@ UNITS = frozenset(
 )
 NUMBERS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£¥°]")
+# the first alternative is a faster way to the same runs of letters
+_TOKEN = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?![^\W\d_])|[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£¥°]")
 LITERAL, NAME, NUMBER, UNIT = range(4)
 
 
 def kind_of(token: str) -> int:
-    if token[0].isdigit() or token.lower() in NUMBERS:
-        return NUMBER
-    if not token[0].isalpha() or token in UNITS:
-        return UNIT
-    return NAME if token[0].isupper() else LITERAL
+    first = token[0]
+    if first.islower():
+        return NUMBER if token in NUMBERS else UNIT if token in UNITS else LITERAL
+    if not first.isalpha():
+        return NUMBER if first.isdigit() else UNIT
+    return LITERAL if not first.isupper() else NUMBER if token.lower() in NUMBERS else NAME
+
 
+#: Numbers of tokens that the benchmark doesn't have, by kind; its own tokens come after.
+OWN = 4
 
-class _Vocabulary(dict):
-    """Numbers of tokens, with a table of each one's codes as a template and in plain."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.codes = np.zeros((KNOWN, 2), np.uint64)
-        self.kinds = np.zeros(KNOWN, np.int8)
+class _Ids(dict):
+    """Numbers of tokens: the benchmark's are stored, of others only the kind matters."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= KNOWN:
-            raise OverflowError
-        n = self[token] = len(self)
-        kind = kind_of(token)
-        plain = xxhash.xxh3_64_intdigest(token.lower().encode())
-        self.codes[n] = (plain if kind == LITERAL else kind), plain
-        self.kinds[n] = kind
-        return n
-
-
-_VOCABULARY: list[_Vocabulary] = []
-
-
-def _forget() -> None:
-    _VOCABULARY.clear()
-
-
-def windows(tokens: list[str]) -> np.ndarray:
-    """The key of each window: of the template, or of the plain tokens where literal words are few."""
-    if len(tokens) < WINDOW:
-        return np.zeros(0, np.uint64)
-    if not _VOCABULARY:
-        _VOCABULARY.append(_Vocabulary())
-    own = _VOCABULARY[0]
-    if len(own) + len(tokens) > KNOWN:
-        own.clear()
-    if len(tokens) > KNOWN:  # one by one, without the table
-        pairs = [(kind_of(t), xxhash.xxh3_64_intdigest(t.lower().encode())) for t in tokens]
-        kinds = np.array([k for k, _ in pairs])
-        plain = np.array([p for _, p in pairs], np.uint64)
-        template = np.where(kinds == LITERAL, plain, kinds.astype(np.uint64))
-    else:
-        at = np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))
-        kinds, template, plain = own.kinds[at], own.codes[at, 0], own.codes[at, 1]
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    enough = literal[WINDOW:] - literal[:-WINDOW] >= LITERALS
-    out = runs(template, WINDOW)
-    if not enough.all():
-        out[~enough] = ~runs(plain, WINDOW)[~enough]
-    return out
+        return kind_of(token)
 
 
 class Table:
@@ -118,26 +77,54 @@ class Table:
             if len(tokens) >= SHORTEST:
                 seen.setdefault(tokens, item)
         self.items = [(item, tokens) for tokens, item in seen.items()]
-        keys = [windows(list(tokens)) for _, tokens in self.items]
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        where = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
+        every = sorted({t for _, tokens in self.items for t in tokens})
+        self.ids = _Ids({t: OWN + i for i, t in enumerate(every)})
+        self.kinds = np.array([*range(OWN), *map(kind_of, every)], np.int8)
+        plain = [xxhash.xxh3_64_intdigest(t.lower().encode()) for t in every]
+        self.plain = np.array([0] * OWN + plain, np.uint64)
+        self.template = np.array([*range(OWN), *(p if kind_of(t) == LITERAL else kind_of(t) for t, p in zip(every, plain, strict=True))], np.uint64)
+        keys = [self.windows(tokens) for _, tokens in self.items]
+        flat = np.concatenate([k for _, k in keys]) if keys else np.zeros(0, np.uint64)
+        which = np.repeat(np.arange(len(keys)), [len(k) for _, k in keys])
+        where = np.concatenate([w for w, _ in keys]) if keys else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.keys, self.which, self.where = flat[order], which[order].astype(np.int32), where[order].astype(np.int32)
 
+    def windows(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key) of each window that can match: all its literal words are the benchmark's. The key is that of the template, or of the plain tokens where literal words are few."""
+        ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
+        if len(ids) < WINDOW:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+        def inside(marked: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(marked)])
+            return sums[WINDOW:] - sums[:-WINDOW]
+
+        at = np.flatnonzero(inside(ids == LITERAL) == 0)
+        if not len(at):
+            return at, np.zeros(0, np.uint64)
+        enough = inside(self.kinds[ids] == LITERAL)[at] >= LITERALS
+        usable = enough | (inside(ids < OWN)[at] == 0)
+        at, enough = at[usable], enough[usable]
+        key = np.where(enough, np.uint64(1), np.uint64(2))
+        for k in range(WINDOW):
+            token = ids[at + k]
+            key = mix(key * ODD + np.where(enough, self.template[token], self.plain[token]))
+        return at, key
+
     def matches(self, text: str | None) -> list[tuple[int, int, int, bool]]:
         """(item, covered tokens, tokens of the item, whether a slot differs) of each item that contaminates the text."""
         if not text or not len(self.keys):
             return []
         tokens = _TOKEN.findall(text)
-        keys = windows(tokens)
+        places, keys = self.windows(tokens)
         first = np.searchsorted(self.keys, keys)
         hit = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == keys)
         if not len(hit):
             return []
         diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
         last = np.searchsorted(self.keys, keys[hit], "right")
-        for at, s, e in zip(hit.tolist(), first[hit].tolist(), last.tolist(), strict=True):
+        for at, s, e in zip(places[hit].tolist(), first[hit].tolist(), last.tolist(), strict=True):
             for k in range(s, e):
                 diagonals[int(self.which[k]), at - int(self.where[k])].append(int(self.where[k]))
         covered: dict[int, set[int]] = defaultdict(set)
@@ -188,7 +175,6 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     schema = documents.select(*[f"`{c}`" for c in kept]).schema.add(into, MATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_worker(_forget)
         own = [s.value for s in shared]
         for b in batches:
             found = []
