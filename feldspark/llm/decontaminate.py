@@ -2,8 +2,8 @@
 
 Texts are sequences of words, numbers and unit signs. A capitalised word is a name slot, a number a number slot, a unit
 a unit slot; every other word is literal, in lower case. Windows of WINDOW tokens of the documents are hash-joined with
-those of the benchmark's items; windows with too few literal words are joined on their plain tokens instead, so that
-slots alone never match. Matching windows of a document and an item that lie on one diagonal are put together, and
+those of the benchmark's items, twice: on their templates where literal words are enough, so that slots alone never
+match, and all of them on their plain tokens in any letter case. Matching windows of a document and an item that lie on one diagonal are put together, and
 their slots checked: within it, an item's value must always stand for one value of the document, and two names never for
 the same one. Where this fails, only the windows that are equal in plain tokens count. A document is contaminated by an
 item if the item's tokens so covered number at least ENOUGH, or the whole of a shorter item.
@@ -32,7 +32,7 @@ from ._words import ODD, mix
 
 #: Tokens of a window, literal words it needs to be joined as a template, covered tokens of a contamination, tokens of an item that is searched for.
 WINDOW, LITERALS, ENOUGH, SHORTEST = 6, 4, 12, 6
-#: Windows of the benchmark in a broadcast table (16 bytes each, and the tokens of their items).
+#: Keys of windows of the benchmark in a broadcast table (16 bytes each, and the tokens of their items).
 BLOCK_WINDOWS = 500_000
 # Words for units of measure and number words.
 UNITS = frozenset(
@@ -56,15 +56,19 @@ def kind_of(token: str) -> int:
     return LITERAL if not first.isupper() else NUMBER if token.lower() in NUMBERS else NAME
 
 
-#: Numbers of tokens that the benchmark doesn't have, by kind; its own tokens come after.
+#: Numbers of tokens that the benchmark doesn't have in any letter case, by kind; its own come after, in four kinds each.
 OWN = 4
 
 
 class _Ids(dict):
-    """Numbers of tokens: the benchmark's are stored, of others only the kind matters."""
+    """Numbers of tokens, by what they are without letter case and by kind; only the benchmark's spellings are stored."""
+
+    def __init__(self, tokens: Sequence[str]):
+        self.folded = {f: OWN * (i + 1) for i, f in enumerate(sorted({t.casefold() for t in tokens}))}
+        super().__init__({t: self.folded[t.casefold()] + kind_of(t) for t in tokens})
 
     def __missing__(self, token: str) -> int:
-        return kind_of(token)
+        return self.folded.get(token.casefold(), 0) + kind_of(token)
 
 
 class Table:
@@ -77,12 +81,10 @@ class Table:
             if len(tokens) >= SHORTEST:
                 seen.setdefault(tokens, item)
         self.items = [(item, tokens) for tokens, item in seen.items()]
-        every = sorted({t for _, tokens in self.items for t in tokens})
-        self.ids = _Ids({t: OWN + i for i, t in enumerate(every)})
-        self.kinds = np.array([*range(OWN), *map(kind_of, every)], np.int8)
-        plain = [xxhash.xxh3_64_intdigest(t.lower().encode()) for t in every]
-        self.plain = np.array([0] * OWN + plain, np.uint64)
-        self.template = np.array([*range(OWN), *(p if kind_of(t) == LITERAL else kind_of(t) for t, p in zip(every, plain, strict=True))], np.uint64)
+        self.ids = _Ids({t for _, tokens in self.items for t in tokens})
+        self.plain = np.repeat(np.array([0] + [xxhash.xxh3_64_intdigest(f.encode()) for f in self.ids.folded], np.uint64), OWN)
+        self.kinds = np.arange(len(self.plain)) % OWN
+        self.template = np.where(self.kinds == LITERAL, self.plain, self.kinds.astype(np.uint64))
         keys = [self.windows(tokens) for _, tokens in self.items]
         flat = np.concatenate([k for _, k in keys]) if keys else np.zeros(0, np.uint64)
         which = np.repeat(np.arange(len(keys)), [len(k) for _, k in keys])
@@ -91,7 +93,7 @@ class Table:
         self.keys, self.which, self.where = flat[order], which[order].astype(np.int32), where[order].astype(np.int32)
 
     def windows(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(place, key) of each window that can match: all its literal words are the benchmark's. The key is that of the template, or of the plain tokens where literal words are few."""
+        """(place, key) of each window that can match: by its template, where literal words are enough and all the benchmark's; by its plain tokens, where all are the benchmark's."""
         ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
         if len(ids) < WINDOW:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -103,14 +105,15 @@ class Table:
         at = np.flatnonzero(inside(ids == LITERAL) == 0)
         if not len(at):
             return at, np.zeros(0, np.uint64)
-        enough = inside(self.kinds[ids] == LITERAL)[at] >= LITERALS
-        usable = enough | (inside(ids < OWN)[at] == 0)
-        at, enough = at[usable], enough[usable]
-        key = np.where(enough, np.uint64(1), np.uint64(2))
-        for k in range(WINDOW):
-            token = ids[at + k]
-            key = mix(key * ODD + np.where(enough, self.template[token], self.plain[token]))
-        return at, key
+        enough = at[inside(self.kinds[ids] == LITERAL)[at] >= LITERALS]
+        whole = at[inside(ids < OWN)[at] == 0]
+        keys = []
+        for tag, places, of in ((1, enough, self.template), (2, whole, self.plain)):
+            key = np.full(len(places), tag, np.uint64)
+            for k in range(WINDOW):
+                key = mix(key * ODD + of[ids[places + k]])
+            keys.append(key)
+        return np.concatenate([enough, whole]), np.concatenate(keys)
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, bool]]:
         """(item, covered tokens, tokens of the item, whether a slot differs) of each item that contaminates the text."""
@@ -133,9 +136,9 @@ class Table:
             item = self.items[which][1]
             every = {p for s in starts for p in range(s, s + WINDOW)}
             if not _consistent(item, tokens, shift, every):
-                every = {p for s in starts if all(item[p].lower() == tokens[p + shift].lower() for p in range(s, s + WINDOW)) for p in range(s, s + WINDOW)}
+                every = {p for s in starts if all(item[p].casefold() == tokens[p + shift].casefold() for p in range(s, s + WINDOW)) for p in range(s, s + WINDOW)}
             covered[which] |= every
-            changed[which] |= any(item[p].lower() != tokens[p + shift].lower() for p in every)
+            changed[which] |= any(item[p].casefold() != tokens[p + shift].casefold() for p in every)
         return [(self.items[w][0], len(c), len(self.items[w][1]), changed[w]) for w, c in sorted(covered.items()) if len(c) >= min(ENOUGH, len(self.items[w][1]))]
 
 
@@ -144,7 +147,7 @@ def _consistent(item: tuple[str, ...], tokens: list[str], shift: int, places: se
     to: dict[tuple[int, str], str] = {}
     back: dict[str, str] = {}
     for p in sorted(places):
-        value, other = item[p].lower(), tokens[p + shift].lower()
+        value, other = item[p].casefold(), tokens[p + shift].casefold()
         kind = kind_of(item[p])
         if kind != LITERAL and to.setdefault((kind, value), other) != other:
             return False
@@ -156,9 +159,9 @@ def _consistent(item: tuple[str, ...], tokens: list[str], shift: int, places: se
 def tables(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[Table]:
     """The benchmark's windows in tables of a bounded number of windows."""
     own = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    # a window takes a character at least
+    # a window takes a character at least and has two keys
     total = own.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = 1 + total // (4 * BLOCK_WINDOWS)
+    blocks = 1 + total // (2 * BLOCK_WINDOWS)
     return [Table([(r["i"], r["t"]) for r in own.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()]) for k in range(blocks)]
 
 

@@ -67,3 +67,19 @@ def test_blocks_nulls_repeats_and_columns(spark, monkeypatch):
     assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 2, 3]
     assert D.clean(docs, bench.where("false")).count() == 6
     assert D.contaminated(docs.where("false"), bench).count() == 0
+
+
+def test_copies_in_any_letter_case():
+    texts = [
+        APPLES,
+        "Doesbo tari mel kono Vesta lupi ram Doesbo sino tel miro kasa dun pelo",
+        "Die Straße nach Köln war im Jahr 1990 länger als die Straße nach Mainz und Bonn heute noch",
+    ]
+    for text in texts:
+        for other in (text.upper(), text.lower(), text.title(), text.swapcase()):
+            assert [m[0] for m in matches(text, f"Nothing here of that. {other} NOR HERE.")] == [1]
+            assert [m[0] for m in matches(other, f"Nothing here of that. {text} NOR HERE.")] == [1]
+
+
+def test_capitals_alone_never_match():
+    assert not matches(APPLES, "JANE SAW 4 HORSES AND RODE 9 OTHER HORSES TOWARDS PARIS IN 2 HOURS. WHERE ARE THE HORSES NOW?")
