@@ -60,3 +60,11 @@ def test_packing():
     c = rnd.integers(0, 1000, 500)
     assert (L._large(L._small(c)) == c).all()
     assert len(L._large(L._small(np.zeros(0, np.int64)))) == 0
+
+
+def test_production_scores_trigrams(spark):
+    rows = [(1, "a b c d"), (2, "a b c e"), (3, "x b c d a b"), (4, "b c b d")]
+    got = sorted((r["doc_id"], r["n_tokens"], r["logprob"]) for r in L.score_documents(spark.createDataFrame(rows, DOC)).collect())
+    want = brute(rows, 3, L.ALPHA, True)
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-5)
+    assert [w[2] for w in want] != pytest.approx([w[2] for w in brute(rows, 2, L.ALPHA, True)], abs=1e-2)
