@@ -466,8 +466,8 @@ def anchor_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first elements of the first 500 vectors as columns, with missing values in two of them."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 500")
+    """The first elements of all vectors as columns, with missing values in two of them."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     at = lambda i: F.round(F.col("embedding")[i].cast("double"), 4)
     return e.select(F.col("vec_id").alias("TransactionID"), *[at(i).alias(f"a{i}") for i in range(4)], F.when(F.col("vec_id") % 3 != 0, at(4)).alias("t1"), F.when(F.col("vec_id") % 5 != 1, at(5)).alias("t2"))
 
@@ -484,20 +484,20 @@ _VEC = "e AS (SELECT vec_id AS id, " + ", ".join(f"round(CAST(embedding[{i + 1}]
 def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = vectors(spark, sf_dir)
     own = impute.anchors(df, {}, Config(), ("a0", "a1", "a2", "a3"))
-    out = impute.knn_impute(df, df, ["t1", "t2"], own, impute.medians(df, ["t1", "t2"]), Config(knn_ref=500))
+    out = impute.knn_impute(df, df, ["t1", "t2"], own, impute.medians(df, ["t1", "t2"]), Config())
     return out.select(F.col("TransactionID").alias("id"), rounded("t1").alias("t1"), rounded("t2").alias("t2"))
 
 
 @query()
 def knn_self_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = vectors(spark, sf_dir)
-    return impute.knn_self_anchor(df, df, ["a0", "a1", "t1", "t2"], 5, 500, 42)
+    return impute.knn_self_anchor(df, df, ["a0", "a1", "t1", "t2"], Config().knn_k, Config().knn_ref, Config().seed)
 
 
 @query()
 def knn_nan_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = vectors(spark, sf_dir)
-    return impute.knn_nan_euclidean(df, df, ["a0", "a1", "t1", "t2"], 5, 500, 42)
+    return impute.knn_nan_euclidean(df, df, ["a0", "a1", "t1", "t2"], Config().knn_k, Config().knn_ref, Config().seed)
 
 
 # --- reduction ---

@@ -197,3 +197,35 @@ def test_config():
     assert Config().sampled(20_000).train_n == int(273_000 * 20_000 / 590_540)
     with pytest.raises(ValueError):
         Config(skew_method="log")
+
+
+def test_vector_queries_take_all_rows(spark, tmp_path):
+    from feldspark.plans.queries import QUERIES
+
+    rnd = np.random.default_rng(5)
+    n = 700
+    v = np.round(rnd.normal(size=(n, 6)), 4)
+    spark.createDataFrame([(i, v[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for name in ("knn_impute", "knn_self_anchor", "knn_nan_euclidean", "pca_blocks"):
+        rows = QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r[0] for r in rows) == list(range(n))
+        got[name] = {r[0]: r.asDict() for r in rows}
+    t = v[:, 4:].copy()
+    t[np.arange(n) % 3 == 0, 0] = np.nan
+    t[np.arange(n) % 5 == 1, 1] = np.nan
+    # by the z-scores of all anchors; by the columns themselves, among rows that miss none; by the coordinates that both rows have
+    z = (v[:, :4] - v[:, :4].mean(0)) / v[:, :4].std(0, ddof=1)
+    own = np.concatenate([v[:, :2], t], 1)
+    whole = ~np.isnan(own).any(1)
+    scaled = np.nan_to_num((own - own[whole].mean(0)) / own[whole].std(0))
+    default = {"knn_impute": np.nanmedian(t, 0), "knn_self_anchor": t[whole].mean(0), "knn_nan_euclidean": np.nanmean(t, 0)}
+    for i in range(n):
+        gap, both = own - own[i], ~np.isnan(own - own[i])
+        d = {"knn_impute": ((z - z[i]) ** 2).sum(1), "knn_self_anchor": np.where(whole, ((scaled - scaled[i]) ** 2).sum(1), np.inf), "knn_nan_euclidean": np.where(both, gap**2, 0).sum(1) * 4 / both.sum(1)}
+        for name, far in d.items():
+            near = np.argsort(np.round(far, 9), kind="stable")[:5]
+            for k, c in enumerate(("t1", "t2")):
+                found = t[[i], k] if not np.isnan(t[i, k]) else t[near, k][~np.isnan(t[near, k])]
+                want = found.mean() if len(found) else default[name][k]
+                assert got[name][i][c] == pytest.approx(want, abs=2e-6)
