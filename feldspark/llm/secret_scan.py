@@ -1,11 +1,12 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests for strings without a known form.
 
 The patterns give spans of the kinds assign, access and hex. Every other run of key-like characters is a candidate
-of the battery. Its encoding is inferred from its characters; three tests take the hypothesis that its characters are
+of the battery; one that mixes the separators of base64 and base64url, as a path does, is parted at either's, and one
+whose letters are all of one case, as words are, at all of them. Its encoding is inferred from its characters; three tests take the hypothesis that its characters are
 drawn evenly and independently from that alphabet: chi-squared uniformity, runs above and below the alphabet's middle,
 and serial correlation of neighbours. What counts as a discovery is a string that is *not* ordinary text, so its
-p-value is the chance that ordinary text of that length would look as even as it does; the hypothesis of a random
-string must also stand. Within a document, the false-discovery rate is held by weighted Benjamini-Hochberg, in which
+p-value is the chance that ordinary text of that length would look as even as it does, put together (Fisher) with that
+of as many changes between digits, capitals and small letters; the hypothesis of a random string must also stand. Within a document, the false-discovery rate is held by weighted Benjamini-Hochberg, in which
 longer candidates, whose tests tell more, get larger weights. Everything depends on the one text alone.
 
 Null and empty texts have no span. Positions are code points, ends exclusive. Equal texts have equal spans.
@@ -41,6 +42,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _DIGIT = re.compile(r"[0-9]")
+_PLAIN = re.compile(r"[A-Za-z0-9]{20,}={0,2}")
+_SEPARATOR = re.compile(r"[+/_-]")
+_PIECES = (re.compile(r"[A-Za-z0-9_-]{20,}={0,2}"), re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"))
 
 #: Encodings in the order of inference, with their alphabets.
 ENCODINGS = (
@@ -54,8 +58,11 @@ ENCODINGS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 #: Share of a document's discoveries that may be false; p-values under which a random string's hypothesis falls;
-#: sum of squared shares of the characters of ordinary text (letters of a language: about 0.065).
-RATE, STANDS, REPEATS = 1e-3, 1e-3, 0.065
+#: sum of squared shares of the characters of ordinary text (letters of a language: about 0.065); shares of its
+#: neighbours that differ in being digits, capitals or small letters, at most, in one letter case and in both.
+RATE, STANDS, REPEATS, CHANGES = 0.01, 1e-3, 0.065, (0.2, 0.35)
+#: Encodings of one letter case.
+ONE_CASE = frozenset(("hex", "HEX", "base32", "base36", "BASE36"))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -100,6 +107,30 @@ def _noncentral_lower(x: float, df: float, extra: float) -> float:
     return _upper(-z)
 
 
+def _changes_upper(token: str, share: float) -> float:
+    """P(as many changes between kinds of characters in ordinary text, or more): binomial, by Chernoff's bound in long ones."""
+    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in token]
+    n, k = len(kinds) - 1, sum(a != b and 3 not in (a, b) for a, b in zip(kinds, kinds[1:], strict=False))
+    if n <= 200:
+        return min(1.0, sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, n + 1)))
+    q = k / n
+    if q <= share:
+        return 1.0
+    rest = (1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0
+    return math.exp(-n * (q * math.log(q / share) + rest))
+
+
+def pieces(run: str) -> list[tuple[int, int]]:
+    """Places of the candidates in a run of key-like characters."""
+    if not _SEPARATOR.search(run):
+        return [(0, len(run))]
+    if run in (run.lower(), run.upper()):
+        return [m.span() for m in _PLAIN.finditer(run)]
+    if ("/" in run or "+" in run) and ("_" in run or "-" in run):
+        return sorted({(m.start() + s, m.start() + e) for p in _PIECES for m in p.finditer(run) for s, e in pieces(m.group())})
+    return [(0, len(run))]
+
+
 def battery(token: str) -> tuple[str, float, float] | None:
     """(encoding, p of ordinary text, least p of a random string over the three tests); None if no encoding fits."""
     found = encoding(token)
@@ -127,6 +158,8 @@ def battery(token: str) -> tuple[str, float, float] | None:
     serial_p = 2 * _upper(abs(float((centred[1:] * centred[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 0.0
     extra = n * max(size * max(REPEATS, 1.6 / size) - 1, 0.1)
     ordinary = _noncentral_lower(max(chi2, 1e-9), size - 1, extra)
+    both = max(ordinary * _changes_upper(token.rstrip("="), CHANGES[name not in ONE_CASE]), 1e-300)
+    ordinary = both * (1 - math.log(both))
     return name, ordinary, min(1.0, uniform * 3, runs_p * 3, serial_p * 3)
 
 
@@ -141,9 +174,10 @@ def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
         near = ends[: bisect_right(starts, m.end())]
         if any(s < m.end() and m.start() < e for s, e in near):
             continue
-        got = battery(m.group())
-        if got:
-            candidates.append((m.start(), m.end(), got[1], got[2]))
+        for s, e in pieces(m.group()):
+            got = battery(m.group()[s:e])
+            if got:
+                candidates.append((m.start() + s, m.start() + e, got[1], got[2]))
     if not candidates:
         return []
     weights = np.array([e - s for s, e, _, _ in candidates], float)
@@ -152,7 +186,13 @@ def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
     order = np.argsort(p, kind="stable")
     passed = np.flatnonzero(p[order] <= RATE * np.arange(1, len(p) + 1) / len(p))
     found = order[: passed[-1] + 1] if len(passed) else []
-    return [(candidates[i][0], 3, candidates[i][1]) for i in found if candidates[i][3] >= STANDS]
+    spans: list[tuple[int, int, int]] = []
+    for i in found:
+        start, end, _, stands = candidates[i]
+        # of pieces that overlap, the least p
+        if stands >= STANDS and not any(s < end and start < e for s, _, e in spans):
+            spans.append((start, 3, end))
+    return spans
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -69,3 +69,35 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, text, "s"), (2, None, "s"), (3, "clean", "s")], "doc_id long, text string, spans string")
     got = {r["doc_id"]: r for r in S.redact_documents(df).collect()}
     assert got[1]["text"] == S.redact(text) and got[2]["text"] is None and got[3]["text"] == "clean" and got[1]["spans"] == "s"
+
+
+def _recall(alphabet, length, before="", n=200):
+    rnd = random.Random(length)
+    texts = [f"see {before}{''.join(rnd.choice(alphabet) for _ in range(length))} there" for _ in range(n)]
+    return sum(any(k == 3 and e == len(t) - 6 for _, k, e in S.scan(t)[1]) for t in texts) / n
+
+
+def test_recall_by_encoding_and_length():
+    digits, upper, lower = string.digits, string.ascii_uppercase, string.ascii_lowercase
+    for alphabet, at in {
+        digits + "ABCDEF": {32: 0.85, 40: 0.9},
+        upper + "234567": {32: 0.7, 40: 0.8},
+        digits + lower: {20: 0.6, 32: 0.85},
+        string.ascii_letters + digits: {20: 0.9, 32: 0.95},
+        string.ascii_letters + digits + "-_": {32: 0.95},
+    }.items():
+        for length, least in at.items():
+            assert _recall(alphabet, length) >= least, (alphabet, length)
+
+
+def test_keys_in_paths():
+    both = string.ascii_letters + string.digits
+    assert _recall(both, 40, "my_app/v1/") >= 0.95
+    assert _recall(string.digits + string.ascii_lowercase, 40, "my_app/v1/") >= 0.9
+    rnd = random.Random(2)
+    words = ["International", "Organisation", "2021", "of", "Things", "Page", "index", "Report", "the", "v2", "my_app"]
+    found = 0
+    for _ in range(1000):
+        token = rnd.choice("-_/").join(rnd.choice(words) for _ in range(rnd.randrange(3, 7)))
+        found += any(s[1] == 3 for s in S.scan(f"see {token} there")[1])
+    assert found <= S.RATE * 1000
