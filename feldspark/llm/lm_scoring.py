@@ -2,9 +2,14 @@
 
 Documents are packed into blocks. A block asks for each of its distinct n-grams once, with its own count: these rows
 are the exploded n-grams, combined on the map side. They are dealt by hash into the partitions of the count tables (one
-for each order, kept in one column of tagged hashes), which add the counts up and answer each block; blocks and answers
-are joined, and the scores are summed for each document. An n-gram, however frequent, is one entry for each block, so no
-key is hot.
+for each order, kept in one column of tagged hashes), which add the counts up and tell each block how often others have
+them; blocks and answers are joined, and the scores are summed for each document. An n-gram, however frequent, is one
+entry for each block, so no key is hot. Blocks are a bucketed table, so the join moves the answers only.
+
+A block's n-grams go to every partition of the count tables. Blocks and partitions both grow with the root of the
+corpus, once it is large, so that what a block sends to a partition is SLICE n-grams at least (about): the rows that
+are shuffled stay in proportion to the corpus. A partition holds the entries of its hashes alone, one for each block at
+most of any n-gram.
 
 The score of a word after its context is the count of both over the count of the context; where that is 0, ALPHA times
 the score with a shorter context; at last count over words in the corpus, and for words met nowhere else ALPHA / words.
@@ -12,11 +17,13 @@ With leave_one_out, a document's own n-grams don't count for its score, which wo
 
 Words are parted by ASCII white space, A-Z in lower case; n-grams are identified by 64-bit hashes. Defined cases: texts
 without words have 0 tokens, logprob 0 and no mean; a corpus of one document scores every word ALPHA ** order / 1;
-repeated rows are documents of their own.
+repeated rows are documents of their own; a text is in one block, however long; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +33,30 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, stored, take_worker
+from ._common import checkpoint_dir, small_batches, take_worker
 from ._words import codes, forget, runs
 
 #: Weight of a shorter context; words of an n-gram in production.
 ALPHA, ORDER = 0.4, 3
-#: Bytes of text in a block, n-grams asked for in a partition of the count tables (about).
-BLOCK_BYTES, BUCKET = 8 << 20, 1_500_000
-#: The hash of the empty n-gram, whose count is the number of words.
-EMPTY = np.uint64(0)
+#: Bytes of text in a block, entries in a partition of the count tables (about, at least); entries that a block sends to a partition (about, at least).
+BLOCK_BYTES, BUCKET, SLICE = 8 << 20, 1_500_000, 64
+#: Bytes of text to a word, for the size of blocks before words are counted.
+WORD_BYTES = 6
+
+
+def _side(words: float, order: int) -> float:
+    """Entries of a block and of a partition at which each pair of them shares SLICE."""
+    return math.sqrt(SLICE * order * max(words, 1))
 
 
-def pack(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, keys, sizes, words, body): blocks of whole texts, compressed; stored in the shared folder."""
-    small_batches(documents.sparkSession)
+def pack(documents: DataFrame, order: int, key: str, text: str) -> DataFrame:
+    """(block, keys, sizes, words, body): blocks of whole texts, compressed; a table of the shared folder, bucketed by block."""
+    spark = documents.sparkSession
+    small_batches(spark)
     kind = documents.schema[key].dataType.simpleString()
+    source = documents.select(F.col(key), F.col(text).cast("string").alias("__text"))
+    size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    most = max(BLOCK_BYTES, int(_side(size / WORD_BYTES, order) / order * WORD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[pa.Array] = []
@@ -54,7 +70,7 @@ def pack(documents: DataFrame, key: str, text: str) -> DataFrame:
             block = xxhash.xxh3_64_intdigest(body + repr(ids[0]).encode()) >> 1
             sizes = pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array([len(x) for x in held], pa.int64()))
             made = pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array(one, pa.int32()), ids), sizes, pa.array([len(body.split())], pa.int64()), pa.array([press.compress(body)], pa.binary())],
+                [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array(one, pa.int32()), ids), sizes, pa.array([sum(len(x.split()) for x in held)], pa.int64()), pa.array([press.compress(body)], pa.binary())],
                 names=["block", "keys", "sizes", "words", "body"],
             )
             keys.clear(), held.clear()
@@ -65,7 +81,7 @@ def pack(documents: DataFrame, key: str, text: str) -> DataFrame:
             for i, t in enumerate(b.column(1).to_pylist()):
                 held.append((t or "").encode("utf-8"))
                 total += len(held[-1])
-                if total >= BLOCK_BYTES:
+                if total >= most:
                     keys.append(b.column(0).slice(start, i + 1 - start))
                     start, total = i + 1, 0
                     yield out()
@@ -74,8 +90,14 @@ def pack(documents: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield out()
 
-    source = documents.select(F.col(key), F.col(text).cast("string").alias("__text"))
-    return stored(source.mapInArrow(run, f"block long, keys array<{kind}>, sizes array<long>, words long, body binary"), "text-blocks")
+    packed = source.mapInArrow(run, f"block long, keys array<{kind}>, sizes array<long>, words long, body binary")
+    name = f"text_blocks_{uuid.uuid4().hex}"
+    files = max(spark.sparkContext.defaultParallelism, min(100_000, 1 + size // (4 * most)))
+    packed.write.bucketBy(files, "block").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    # the plan knows files and buckets; the name is needed no more
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _unpack(sizes: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -96,32 +118,46 @@ def _grams(code: np.ndarray, document: np.ndarray, n: int) -> tuple[np.ndarray,
     return every[inside], np.flatnonzero(inside) + n - 1
 
 
-def _totals(asked: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each (hashes, counts) the sums over all of them."""
+def _ends(every: np.ndarray, bits: int) -> np.ndarray:
+    """Where the slices of sorted hashes begin and end; a hash's partition is its first `bits` bits."""
+    if not bits:
+        return np.array([0, len(every)])
+    borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(every, borders), [len(every)]])
+
+
+def _elsewhere(asked: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each (hashes, counts) how often the others have them."""
+    counts = np.concatenate([c for _, c in asked])
     every, inverse = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
-    sums = np.bincount(inverse, np.concatenate([c for _, c in asked]).astype(np.float64), len(every)).astype(np.int64)[inverse]
+    sums = np.bincount(inverse, counts.astype(np.float64), len(every)).astype(np.int64)[inverse] - counts
     return np.split(sums, np.cumsum([len(h) for h, _ in asked])[:-1])
 
 
-def score_block(code: np.ndarray, document: np.ndarray, documents: int, order: int, alpha: float, leave_one_out: bool, count) -> tuple[np.ndarray, np.ndarray]:
-    """(words, sum of log10 scores) of a block's documents; count gives the corpus counts of hashes."""
+def score_block(code: np.ndarray, document: np.ndarray, documents: int, order: int, alpha: float, leave_one_out: bool, corpus: int, elsewhere) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sum of log10 scores) of a block's documents; elsewhere gives the counts outside the block of all its distinct hashes, in order."""
     n = len(code)
     size = np.bincount(document, minlength=documents)
-    corpus = float(count(np.array([EMPTY]))[0])
-    total = np.maximum(corpus - (size[document] if leave_one_out else np.zeros(n)), 1)
+    if not n:
+        return size, np.zeros(documents)
+    total = np.maximum(float(corpus) - (size[document] if leave_one_out else np.zeros(n)), 1)
+    grams = [_grams(code, document, k) for k in range(1, order + 1)]
+    every, inverse, times = np.unique(np.concatenate([h for h, _ in grams]), return_inverse=True, return_counts=True)
+    last = np.concatenate([p for _, p in grams])
+    count = (elsewhere(every) + times)[inverse].astype(np.float64)
+    if leave_one_out:
+        # what the block has once, its document has once
+        count -= 1
+        more = np.flatnonzero(times[inverse] > 1)
+        _, own, often = np.unique(document[last[more]] * np.int64(len(every)) + inverse[more], return_inverse=True, return_counts=True)
+        count[more] -= often[own] - 1
     # counts of the n-gram that ends at a word, by order; -1 where the document has none
-    counts = [total]
-    for k in range(1, order + 1):
+    counts, start = [total], 0
+    for h, p in grams:
         at = np.full(n, -1.0)
-        h, last = _grams(code, document, k)
-        if len(h):
-            every, inverse = np.unique(h, return_inverse=True)
-            c = count(every)[inverse].astype(np.float64)
-            if leave_one_out:
-                _, own, times = np.unique(document[last] * np.int64(len(every)) + inverse, return_inverse=True, return_counts=True)
-                c -= times[own]
-            at[last] = c
+        at[p] = count[start : start + len(h)]
         counts.append(at)
+        start += len(h)
     score = np.full(n, np.nan)
     weight = np.ones(n)
     for k in range(order, 0, -1):
@@ -136,46 +172,39 @@ def score_block(code: np.ndarray, document: np.ndarray, documents: int, order: i
 
 def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, logprob, mean_logprob) of every row; logarithms to base 10, rounded to 6 digits."""
-    blocks = pack(documents, key, text)
-    figures = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()
-    buckets = max(12, int(figures[0] * order / BUCKET))
+    blocks = pack(documents, order, key, text)
+    corpus = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    bits = max(0, math.ceil(math.log2(max(1, corpus * order / max(BUCKET, _side(corpus, order))))))
     kind = documents.schema[key].dataType.simpleString()
 
-    def of_block(sizes: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        code, document = _unpack(sizes, body)
-        grams = [_grams(code, document, k)[0] for k in range(1, order + 1)]
-        every, times = np.unique(np.concatenate([*grams, np.full(len(code), EMPTY)]), return_counts=True)
-        bucket = every % np.uint64(buckets)
-        order_ = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order_], np.arange(buckets + 1, dtype=np.uint64))
-        return code, document, every, [order_[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)] + [times]
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker(forget)
         for b in batches:
             for block, sizes, body in zip(b.column("block").to_pylist(), b.column("sizes"), b.column("body"), strict=True):
-                _, _, every, parts = of_block(sizes.values.to_numpy(), body.as_py())
-                times = parts.pop()
-                used = [k for k, p in enumerate(parts) if len(p)]
+                code, document = _unpack(sizes.values.to_numpy(), body.as_py())
+                every, times = np.unique(np.concatenate([_grams(code, document, k)[0] for k in range(1, order + 1)]), return_counts=True)
+                ends = _ends(every, bits)
+                used = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+                slices = [slice(ends[k], ends[k + 1]) for k in used]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([_put(every[parts[k]]) for k in used], pa.binary()), pa.array([_small(times[parts[k]]) for k in used], pa.binary())],
-                    names=["bucket", "block", "grams", "times"],
+                    [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([_put(every[x], k, bits) for k, x in zip(used, slices, strict=True)], pa.binary()), pa.array([_small(times[x] - 1) for x in slices], pa.binary())],
+                    names=["part", "block", "grams", "times"],
                 )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out() -> pa.RecordBatch:
-            sums = _totals([(_got(g), _large(t)) for _, g, t in held])
-            made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([now] * len(held), pa.int32()), pa.array([_small(s) for s in sums], pa.binary())], names=["block", "bucket", "totals"])
+            found = _elsewhere([(_got(g, now, bits), _large(t) + 1) for _, g, t in held])
+            made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([now] * len(held), pa.int32()), pa.array([_small(x) for x in found], pa.binary())], names=["block", "part", "elsewhere"])
             held.clear()
             return made
 
         for b in batches:
-            for bucket, block, grams, times in zip(*(b.column(k).to_pylist() for k in ("bucket", "block", "grams", "times")), strict=True):
-                if bucket != now and held:
+            for part, block, grams, times in zip(*(b.column(k).to_pylist() for k in ("part", "block", "grams", "times")), strict=True):
+                if part != now and held:
                     yield out()
-                now = bucket
+                now = part
                 held.append((block, grams, times))
         if held:
             yield out()
@@ -183,43 +212,47 @@ def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALP
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         take_worker(forget)
         found: list[pa.Table] = []
-        answers = {k: v for k, v in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
+        answers = dict(zip(right.column("part").to_pylist(), right.column("elsewhere").to_pylist(), strict=True))
+        # blocks of equal texts and keys may share a number; they get equal answers
+        told = np.concatenate([np.zeros(0, np.int64), *(_large(answers[k]) for k in sorted(answers))])
         for i in range(left.num_rows):
             keys = left.column("keys")[i].values
-            code, document, every, parts = of_block(left.column("sizes")[i].values.to_numpy(), left.column("body")[i].as_py())
-            parts.pop()
-            totals = np.zeros(len(every), np.int64)
-            for k, p in enumerate(parts):
-                if len(p):
-                    totals[p] = _large(answers[k])
-            if not len(every):
-                every, totals = np.array([EMPTY]), np.array([0])
-            n, log = score_block(code, document, len(keys), order, alpha, leave_one_out, lambda h, e=every, t=totals: t[np.minimum(np.searchsorted(e, h), len(e) - 1)])
+            code, document = _unpack(left.column("sizes")[i].values.to_numpy(), left.column("body")[i].as_py())
+            n, log = score_block(code, document, len(keys), order, alpha, leave_one_out, corpus, lambda _: told)
             mean = pa.array(np.round(log / np.maximum(n, 1), 6), mask=n == 0)
             found.append(pa.table([keys, pa.array(n, pa.int64()), pa.array(np.round(log, 6)), mean], names=[key, "n_tokens", "logprob", "mean_logprob"]))
         return pa.concat_tables(found)
 
-    asked = blocks.select("block", "sizes", "body").mapInArrow(ask, "bucket int, block long, grams binary, times binary")
-    told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "block long, bucket int, totals binary")
+    asked = blocks.select("block", "sizes", "body").mapInArrow(ask, "part int, block long, grams binary, times binary")
+    told = asked.repartition("part").sortWithinPartitions("part").mapInArrow(add, "block long, part int, elsewhere binary")
     return blocks.drop("words").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"{key} {kind}, n_tokens long, logprob double, mean_logprob double")
 
 
-def _put(h: np.ndarray) -> bytes:
-    """Sorted hashes as their differences, the bytes of a rank together: the highest are nearly all 0, which compression takes out."""
-    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+#: Low bytes of a difference of hashes, which are evenly spread: stored as they are. The high ones are nearly all alike.
+LOW = 5
+
+
+def _put(h: np.ndarray, part: int, bits: int) -> bytes:
+    """Sorted hashes of a partition as their differences, the bytes of a rank together."""
+    first = np.uint64(part << 64 - bits if bits else 0)
+    planes = np.ascontiguousarray(np.diff(h, prepend=first).view(np.uint8).reshape(-1, 8).T)
+    return len(h).to_bytes(4, "little") + planes[:LOW].tobytes() + zstandard.ZstdCompressor(level=1).compress(planes[LOW:].tobytes())
 
 
-def _got(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def _got(raw: bytes, part: int, bits: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(raw[4 : 4 + LOW * n] + zstandard.ZstdDecompressor().decompress(raw[4 + LOW * n :]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(part << 64 - bits if bits else 0)
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts in bytes, those from 255 on in eight more each at the end."""
+    """Counts in bytes, those from 255 on in eight more each at the end; compressed."""
     large = x >= 255
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[large].astype(np.int64).tobytes() + int(large.sum()).to_bytes(4, "little")
+    return zstandard.ZstdCompressor(level=1).compress(np.minimum(x, 255).astype(np.uint8).tobytes() + x[large].astype(np.int64).tobytes() + int(large.sum()).to_bytes(4, "little"))
 
 
-def _large(raw: bytes) -> np.ndarray:
+def _large(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
     many = int.from_bytes(raw[-4:], "little")
     head = np.frombuffer(raw, np.uint8, len(raw) - 4 - 8 * many).astype(np.int64)
     head[head == 255] = np.frombuffer(raw, np.int64, many, len(head))

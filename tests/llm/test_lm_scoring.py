@@ -34,9 +34,11 @@ def brute(rows, order, alpha, leave_one_out):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 @pytest.mark.parametrize("leave_one_out", [True, False])
-@pytest.mark.parametrize("block", [8 << 20, 20_000])
-def test_against_brute_force(spark, sf_dir, monkeypatch, order, leave_one_out, block):
+@pytest.mark.parametrize(("block", "bucket"), [(8 << 20, 1_500_000), (20_000, 500)])
+def test_against_brute_force(spark, sf_dir, monkeypatch, order, leave_one_out, block, bucket):
     monkeypatch.setattr(L, "BLOCK_BYTES", block)
+    monkeypatch.setattr(L, "BUCKET", bucket)
+    monkeypatch.setattr(L, "SLICE", 1)
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).collect()] + [(-1, None), (-2, " "), (-3, "x"), (-4, "a b A B a b"), (-4, "a b A B a b")]
     got = sorted((r["doc_id"], r["n_tokens"], r["logprob"]) for r in L.score_documents(spark.createDataFrame(rows, DOC), order, leave_one_out=leave_one_out).collect())
     want = brute(rows, order, L.ALPHA, leave_one_out)
@@ -55,8 +57,13 @@ def test_edges(spark):
 
 def test_packing():
     rnd = np.random.default_rng(0)
-    h = np.unique(rnd.integers(0, 1 << 63, 1000).astype(np.uint64))
-    assert (L._got(L._put(h)) == h).all()
+    h = np.unique(rnd.integers(0, 1 << 64, 1000, dtype=np.uint64))
+    for bits in (0, 1, 7):
+        ends = L._ends(h, bits)
+        assert len(ends) == (1 << bits) + 1 and ends[-1] == len(h)
+        for part, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            assert s == e or ((h[s:e] >> np.uint64(64 - bits) if bits else h[s:e] * np.uint64(0)) == part).all()
+            assert (L._got(L._put(h[s:e], part, bits), part, bits) == h[s:e]).all()
     c = rnd.integers(0, 1000, 500)
     assert (L._large(L._small(c)) == c).all()
     assert len(L._large(L._small(np.zeros(0, np.int64)))) == 0
@@ -68,3 +75,21 @@ def test_production_scores_trigrams(spark):
     want = brute(rows, 3, L.ALPHA, True)
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-5)
     assert [w[2] for w in want] != pytest.approx([w[2] for w in brute(rows, 2, L.ALPHA, True)], abs=1e-2)
+
+
+def test_clashing_columns_and_a_text_longer_than_a_block(spark):
+    rows = [(1, "a b " * 3_000_000, "x", 1), (2, "a b a", "y", 2), (3, None, None, None)]
+    df = spark.createDataFrame(rows, DOC + ", block string, words long")
+    got = {r["doc_id"]: r["n_tokens"] for r in L.score_documents(df).collect()}
+    assert got == {1: 6_000_000, 2: 3, 3: 0}
+
+
+def test_blocks_are_not_shuffled(spark, sf_dir):
+    plan = L.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2, plan
+
+
+def test_what_a_block_sends_to_a_partition_stays_large():
+    for words in (1e6, 1e9, 1e13):
+        side = L._side(words, 3)
+        assert side * side / (3 * words) == pytest.approx(L.SLICE)
