@@ -1,9 +1,8 @@
 """Stupid-backoff scores of documents, with n-gram counts of the whole corpus.
 
 Documents are packed into blocks. A block asks for each of its distinct n-grams once, with its own count: these rows
-are the exploded n-grams, combined on the map side. They are dealt by hash into the partitions of the count tables (one
-for each order, kept in one column of tagged hashes), which add the counts up and tell each block how often others have
-them; blocks and answers are joined, and the scores are summed for each document. An n-gram, however frequent, is one
+are the exploded n-grams, combined on the map side. They are dealt by hash into the partitions of the count tables, one
+table for each order, which add the counts up and tell each block how often others have them; blocks and answers are joined, and the scores are summed for each document. An n-gram, however frequent, is one
 entry for each block, so no key is hot. Blocks are a bucketed table, so the join moves the answers only.
 
 A block's n-grams go to every partition of the count tables. Blocks and partitions both grow with the root of the
@@ -135,29 +134,26 @@ def _elsewhere(asked: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 
 
 def score_block(code: np.ndarray, document: np.ndarray, documents: int, order: int, alpha: float, leave_one_out: bool, corpus: int, elsewhere) -> tuple[np.ndarray, np.ndarray]:
-    """(words, sum of log10 scores) of a block's documents; elsewhere gives the counts outside the block of all its distinct hashes, in order."""
+    """(words, sum of log10 scores) of a block's documents; elsewhere gives, for an order and all the block's distinct hashes of it, sorted, the counts outside the block."""
     n = len(code)
     size = np.bincount(document, minlength=documents)
     if not n:
         return size, np.zeros(documents)
     total = np.maximum(float(corpus) - (size[document] if leave_one_out else np.zeros(n)), 1)
-    grams = [_grams(code, document, k) for k in range(1, order + 1)]
-    every, inverse, times = np.unique(np.concatenate([h for h, _ in grams]), return_inverse=True, return_counts=True)
-    last = np.concatenate([p for _, p in grams])
-    count = (elsewhere(every) + times)[inverse].astype(np.float64)
-    if leave_one_out:
-        # what the block has once, its document has once
-        count -= 1
-        more = np.flatnonzero(times[inverse] > 1)
-        _, own, often = np.unique(document[last[more]] * np.int64(len(every)) + inverse[more], return_inverse=True, return_counts=True)
-        count[more] -= often[own] - 1
     # counts of the n-gram that ends at a word, by order; -1 where the document has none
-    counts, start = [total], 0
-    for h, p in grams:
-        at = np.full(n, -1.0)
-        at[p] = count[start : start + len(h)]
-        counts.append(at)
-        start += len(h)
+    counts = [total]
+    for k in range(1, order + 1):
+        h, last = _grams(code, document, k)
+        every, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+        count = (elsewhere(k, every) + times)[inverse].astype(np.float64)
+        if leave_one_out:
+            # what the block has once, its document has once
+            count -= 1
+            more = np.flatnonzero(times[inverse] > 1)
+            _, own, often = np.unique(document[last[more]] * np.int64(len(every)) + inverse[more], return_inverse=True, return_counts=True)
+            count[more] -= often[own] - 1
+        counts.append(np.full(n, -1.0))
+        counts[k][last] = count
     score = np.full(n, np.nan)
     weight = np.ones(n)
     for k in range(order, 0, -1):
@@ -174,7 +170,7 @@ def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALP
     """(key, n_tokens, logprob, mean_logprob) of every row; logarithms to base 10, rounded to 6 digits."""
     blocks = pack(documents, order, key, text)
     corpus = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    bits = max(0, math.ceil(math.log2(max(1, corpus * order / max(BUCKET, _side(corpus, order))))))
+    bits = max(0, math.ceil(math.log2(max(1, corpus / max(BUCKET, _side(corpus, order))))))
     kind = documents.schema[key].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +178,22 @@ def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALP
         for b in batches:
             for block, sizes, body in zip(b.column("block").to_pylist(), b.column("sizes"), b.column("body"), strict=True):
                 code, document = _unpack(sizes.values.to_numpy(), body.as_py())
-                every, times = np.unique(np.concatenate([_grams(code, document, k)[0] for k in range(1, order + 1)]), return_counts=True)
-                ends = _ends(every, bits)
-                used = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
-                slices = [slice(ends[k], ends[k + 1]) for k in used]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([_put(every[x], k, bits) for k, x in zip(used, slices, strict=True)], pa.binary()), pa.array([_small(times[x] - 1) for x in slices], pa.binary())],
-                    names=["part", "block", "grams", "times"],
-                )
+                for k in range(1, order + 1):
+                    every, times = np.unique(_grams(code, document, k)[0], return_counts=True)
+                    ends = _ends(every, bits)
+                    used = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+                    slices = [slice(ends[j], ends[j + 1]) for j in used]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k << bits | j for j in used], pa.int64()), pa.array([block] * len(used), pa.int64()), pa.array([_put(every[x], j, bits) for j, x in zip(used, slices, strict=True)], pa.binary()), pa.array([_small(times[x] - 1) for x in slices], pa.binary())],
+                        names=["part", "block", "grams", "times"],
+                    )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out() -> pa.RecordBatch:
-            found = _elsewhere([(_got(g, now, bits), _large(t) + 1) for _, g, t in held])
-            made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([now] * len(held), pa.int32()), pa.array([_small(x) for x in found], pa.binary())], names=["block", "part", "elsewhere"])
+            found = _elsewhere([(_got(g, now & (1 << bits) - 1, bits), _large(t) + 1) for _, g, t in held])
+            made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([now] * len(held), pa.int64()), pa.array([_small(x) for x in found], pa.binary())], names=["block", "part", "elsewhere"])
             held.clear()
             return made
 
@@ -214,17 +211,21 @@ def score_documents(documents: DataFrame, order: int = ORDER, alpha: float = ALP
         found: list[pa.Table] = []
         answers = dict(zip(right.column("part").to_pylist(), right.column("elsewhere").to_pylist(), strict=True))
         # blocks of equal texts and keys may share a number; they get equal answers
-        told = np.concatenate([np.zeros(0, np.int64), *(_large(answers[k]) for k in sorted(answers))])
+        parts = sorted(answers)
+
+        def told(k: int, _: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.int64), *(_large(answers[p]) for p in parts if p >> bits == k)])
+
         for i in range(left.num_rows):
             keys = left.column("keys")[i].values
             code, document = _unpack(left.column("sizes")[i].values.to_numpy(), left.column("body")[i].as_py())
-            n, log = score_block(code, document, len(keys), order, alpha, leave_one_out, corpus, lambda _: told)
+            n, log = score_block(code, document, len(keys), order, alpha, leave_one_out, corpus, told)
             mean = pa.array(np.round(log / np.maximum(n, 1), 6), mask=n == 0)
             found.append(pa.table([keys, pa.array(n, pa.int64()), pa.array(np.round(log, 6)), mean], names=[key, "n_tokens", "logprob", "mean_logprob"]))
         return pa.concat_tables(found)
 
-    asked = blocks.select("block", "sizes", "body").mapInArrow(ask, "part int, block long, grams binary, times binary")
-    told = asked.repartition("part").sortWithinPartitions("part").mapInArrow(add, "block long, part int, elsewhere binary")
+    asked = blocks.select("block", "sizes", "body").mapInArrow(ask, "part long, block long, grams binary, times binary")
+    told = asked.repartition("part").sortWithinPartitions("part").mapInArrow(add, "block long, part long, elsewhere binary")
     return blocks.drop("words").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"{key} {kind}, n_tokens long, logprob double, mean_logprob double")
 
 
