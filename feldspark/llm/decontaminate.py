@@ -1,17 +1,22 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
-Texts are sequences of words, numbers and unit signs. A capitalised word is a name slot, a number a number slot, a unit
-a unit slot; every other word is literal, in lower case. Windows of WINDOW tokens of the documents are hash-joined with
-those of the benchmark's items, twice: on their templates where literal words are enough, so that slots alone never
-match, and all of them on their plain tokens in any letter case. Matching windows of a document and an item that lie on one diagonal are put together, and
-their slots checked: within it, an item's value must always stand for one value of the document, and two names never for
-the same one. Where this fails, only the windows that are equal in plain tokens count. A document is contaminated by an
-item if the item's tokens so covered number at least ENOUGH, or the whole of a shorter item.
-
-The benchmark's table of windows is broadcast in blocks of a bounded number of windows; documents are read once, pass
-all blocks in one go, and are never shuffled. Items of fewer than SHORTEST tokens can't be told from chance and are not
-searched for. Items of equal tokens are one item, the least id. Defined cases: null or empty texts, and null item ids
-count as clean or are left out; a document's row is judged by itself, so repeated rows are repeated in the result.
+Texts are sequences of words, numbers and unit signs; in scripts without spaces every character is a word. A capitalised
+word is a name slot, a number a number slot, a unit a unit slot; every other word is literal, in lower case. Windows of
+WINDOW tokens of the documents are hash-joined with those of the benchmark's items, twice: on their templates where a
+literal word is in them, so that slots alone never match, and all of them on their plain tokens in any letter case.
+Items of fewer tokens than a window are one window, joined on their plain tokens. Matching windows of a document and an
+item that lie on one diagonal are put together, and their slots checked: within it, an item's value must always stand
+for one value of the document, and two names never for the same one. Where this fails, only the windows that are equal
+in plain tokens count. A document is contaminated by an item if the item's tokens so covered number at least ENOUGH, or
+the whole of a shorter item, and half of these tokens at least say the same in both: slots of other values aren't
+evidence by themselves, however many there are.
+
+The benchmark's windows are a table in blocks of a bounded number of windows. A block is broadcast and all documents are
+read against it, without a shuffle; blocks come one after the other, so no worker holds more than one. Items of equal
+tokens are one item, the least id. Defined cases: null or empty texts, and null item ids count as clean or are left out;
+items without a token match nothing; an item of one token is in every document that has the token; a document's row is
+judged by itself, so repeated rows are repeated in the result; whole texts are searched, at any length; a column of the
+name of the result's replaces the one in the documents.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches
+from ._common import small_batches, stored
 from ._words import ODD, mix
 
-#: Tokens of a window, literal words it needs to be joined as a template, covered tokens of a contamination, tokens of an item that is searched for.
-WINDOW, LITERALS, ENOUGH, SHORTEST = 6, 4, 12, 6
-#: Keys of windows of the benchmark in a broadcast table (16 bytes each, and the tokens of their items).
-BLOCK_WINDOWS = 500_000
+#: Tokens of a window, literal words it needs to be joined as a template, covered tokens of a contamination.
+WINDOW, LITERALS, ENOUGH = 6, 1, 12
+#: Keys of windows of the benchmark in a block (16 bytes each, and the tokens of their items), about.
+BLOCK_WINDOWS = 1_000_000
 # Words for units of measure and number words.
 UNITS = frozenset(
     "mm cm dm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards g kg mg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons "
@@ -42,8 +48,10 @@ UNITS = frozenset(
 )
 NUMBERS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 
+# Characters of scripts that are written without spaces (Thai to Tibetan, Myanmar, Khmer, kana, Han).
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 # the first alternative is a faster way to the same runs of letters
-_TOKEN = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?![^\W\d_])|[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£¥°]")
+_TOKEN = re.compile(rf"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?![^\W\d_])|(?:(?![{_UNSPACED}])[^\W\d_])+|(?=[{_UNSPACED}])[^\W\d_]|\d+(?:[.,]\d+)*|[%$€£¥°]")
 LITERAL, NAME, NUMBER, UNIT = range(4)
 
 
@@ -78,68 +86,96 @@ class Table:
         seen: dict[tuple[str, ...], int] = {}
         for item, text in sorted(items, key=lambda x: x[0]):
             tokens = tuple(_TOKEN.findall(text))
-            if len(tokens) >= SHORTEST:
+            if tokens:
                 seen.setdefault(tokens, item)
         self.items = [(item, tokens) for tokens, item in seen.items()]
         self.ids = _Ids({t for _, tokens in self.items for t in tokens})
         self.plain = np.repeat(np.array([0] + [xxhash.xxh3_64_intdigest(f.encode()) for f in self.ids.folded], np.uint64), OWN)
         self.kinds = np.arange(len(self.plain)) % OWN
         self.template = np.where(self.kinds == LITERAL, self.plain, self.kinds.astype(np.uint64))
-        keys = [self.windows(tokens) for _, tokens in self.items]
+        self.short = sorted({len(tokens) for _, tokens in self.items if len(tokens) < WINDOW})
+        keys = [self.windows(tokens) if len(tokens) >= WINDOW else self.whole(tokens) for _, tokens in self.items]
         flat = np.concatenate([k for _, k in keys]) if keys else np.zeros(0, np.uint64)
         which = np.repeat(np.arange(len(keys)), [len(k) for _, k in keys])
         where = np.concatenate([w for w, _ in keys]) if keys else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.keys, self.which, self.where = flat[order], which[order].astype(np.int32), where[order].astype(np.int32)
 
-    def windows(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(place, key) of each window that can match: by its template, where literal words are enough and all the benchmark's; by its plain tokens, where all are the benchmark's."""
-        ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
-        if len(ids) < WINDOW:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def _ids(self, tokens: Sequence[str]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
 
-        def inside(marked: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _key(tag: int, size: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Hashes of the `size` values from each place."""
+        key = np.full(len(places), tag, np.uint64)
+        for k in range(size):
+            key = mix(key * ODD + values[places + k])
+        return key
+
+    def whole(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The window that a short item is."""
+        at = np.zeros(1, np.int64)
+        return at, self._key(2 + len(tokens), len(tokens), at, self.plain[self._ids(tokens)])
+
+    def windows(self, tokens: Sequence[str], short: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key) of each window that can match: by its template, where literal words are enough and all the benchmark's; by its plain tokens, where all are the benchmark's. short: lengths of short items to be found as well."""
+        ids = self._ids(tokens)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+
+        def inside(marked: np.ndarray, size: int) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(marked)])
-            return sums[WINDOW:] - sums[:-WINDOW]
-
-        at = np.flatnonzero(inside(ids == LITERAL) == 0)
-        if not len(at):
-            return at, np.zeros(0, np.uint64)
-        enough = at[inside(self.kinds[ids] == LITERAL)[at] >= LITERALS]
-        whole = at[inside(ids < OWN)[at] == 0]
-        keys = []
-        for tag, places, of in ((1, enough, self.template), (2, whole, self.plain)):
-            key = np.full(len(places), tag, np.uint64)
-            for k in range(WINDOW):
-                key = mix(key * ODD + of[ids[places + k]])
-            keys.append(key)
-        return np.concatenate([enough, whole]), np.concatenate(keys)
+            return sums[size:] - sums[:-size]
+
+        foreign = ids < OWN
+        if len(ids) >= WINDOW:
+            at = np.flatnonzero(inside(ids == LITERAL, WINDOW) == 0)
+            if len(at):
+                plain = self.plain[ids]
+                template = at[inside(self.kinds[ids] == LITERAL, WINDOW)[at] >= LITERALS]
+                found.append((template, self._key(1, WINDOW, template, self.template[ids])))
+                verbatim = at[inside(foreign, WINDOW)[at] == 0]
+                found.append((verbatim, self._key(2, WINDOW, verbatim, plain)))
+        for size in short:
+            if len(ids) >= size:
+                at = np.flatnonzero(inside(foreign, size) == 0)
+                found.append((at, self._key(2 + size, size, at, self.plain[ids])))
+        return np.concatenate([p for p, _ in found]), np.concatenate([k for _, k in found])
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, bool]]:
         """(item, covered tokens, tokens of the item, whether a slot differs) of each item that contaminates the text."""
         if not text or not len(self.keys):
             return []
         tokens = _TOKEN.findall(text)
-        places, keys = self.windows(tokens)
+        places, keys = self.windows(tokens, self.short)
         first = np.searchsorted(self.keys, keys)
         hit = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == keys)
         if not len(hit):
             return []
-        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
+        diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
         last = np.searchsorted(self.keys, keys[hit], "right")
         for at, s, e in zip(places[hit].tolist(), first[hit].tolist(), last.tolist(), strict=True):
             for k in range(s, e):
-                diagonals[int(self.which[k]), at - int(self.where[k])].append(int(self.where[k]))
+                diagonals[int(self.which[k]), at - int(self.where[k])].add(int(self.where[k]))
         covered: dict[int, set[int]] = defaultdict(set)
+        same: dict[int, set[int]] = defaultdict(set)
         changed: dict[int, bool] = defaultdict(bool)
         for (which, shift), starts in diagonals.items():
             item = self.items[which][1]
-            every = {p for s in starts for p in range(s, s + WINDOW)}
-            if not _consistent(item, tokens, shift, every):
-                every = {p for s in starts if all(item[p].casefold() == tokens[p + shift].casefold() for p in range(s, s + WINDOW)) for p in range(s, s + WINDOW)}
+            size = min(WINDOW, len(item))
+            every = {p for s in starts for p in range(s, s + size)}
+            equal = {p for p in every if item[p].casefold() == tokens[p + shift].casefold()}
+            if len(equal) < len(every) and not _consistent(item, tokens, shift, every):
+                every = equal = {p for s in starts if equal.issuperset(range(s, s + size)) for p in range(s, s + size)}
             covered[which] |= every
-            changed[which] |= any(item[p].casefold() != tokens[p + shift].casefold() for p in every)
-        return [(self.items[w][0], len(c), len(self.items[w][1]), changed[w]) for w, c in sorted(covered.items()) if len(c) >= min(ENOUGH, len(self.items[w][1]))]
+            same[which] |= equal
+            changed[which] |= len(equal) < len(every)
+        found = []
+        for which, own in sorted(covered.items()):
+            item, all_ = self.items[which]
+            least = min(ENOUGH, len(all_))
+            if len(own) >= least and 2 * len(same[which]) >= len(own):
+                found.append((item, len(own), len(all_), changed[which]))
+        return found
 
 
 def _consistent(item: tuple[str, ...], tokens: list[str], shift: int, places: set[int]) -> bool:
@@ -156,33 +192,32 @@ def _consistent(item: tuple[str, ...], tokens: list[str], shift: int, places: se
     return True
 
 
-def tables(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[Table]:
-    """The benchmark's windows in tables of a bounded number of windows."""
+def tables(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[Table]:
+    """The benchmark's windows in tables of a bounded number of windows, one after the other."""
     own = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     # a window takes a character at least and has two keys
     total = own.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = 1 + total // (2 * BLOCK_WINDOWS)
-    return [Table([(r["i"], r["t"]) for r in own.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()]) for k in range(blocks)]
+    blocks = 1 + 2 * total // BLOCK_WINDOWS
+    for k in range(blocks):
+        yield Table([(r["i"], r["t"]) for r in own.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()])
 
 
 MATCH = T.ArrayType(T.StructType().add("item_id", "long").add("n_covered", "long").add("n_item", "long").add("reparameterised", "boolean"))
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("n_covered", pa.int64()), ("n_item", pa.int64()), ("reparameterised", pa.bool_())]))
 
 
-def with_matches(documents: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "matches") -> DataFrame:
-    """documents with the array of the items that contaminate each row's text (empty for clean ones)."""
+def with_matches(documents: DataFrame, table: Table, text: str = "text", into: str = "matches") -> DataFrame:
+    """documents with the array of the items of a block that contaminate each row's text (empty for clean ones)."""
     spark = documents.sparkSession
     small_batches(spark)
-    shared = [spark.sparkContext.broadcast(t) for t in tables(benchmark)]
+    shared = spark.sparkContext.broadcast(table)
     kept = [c for c in documents.columns if c != into]
     schema = documents.select(*[f"`{c}`" for c in kept]).schema.add(into, MATCH)
+    names = [f.name for f in MATCH.elementType]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [s.value for s in shared]
         for b in batches:
-            found = []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                found.append([dict(zip(("item_id", "n_covered", "n_item", "reparameterised"), m, strict=True)) for table in own for m in table.matches(t)])
+            found = [[dict(zip(names, m, strict=True)) for m in shared.value.matches(t)] for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, _ARROW)], names=[*kept, into])
 
     return documents.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
@@ -191,10 +226,13 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, text: str = "text",
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, n_covered, n_item, reparameterised) for every document and item that contaminates it."""
     own = documents.select(F.col(key), F.col(text).alias("__t"))
-    found = with_matches(own, benchmark, "__t", "__m").select(key, F.explode("__m").alias("m"))
-    return found.select(key, "m.item_id", "m.n_covered", "m.n_item", "m.reparameterised")
+    parts = [with_matches(own, t, "__t", "__m").select(key, F.explode("__m").alias("m")) for t in tables(benchmark)]
+    return reduce(DataFrame.unionByName, parts).select(key, "m.item_id", "m.n_covered", "m.n_item", "m.reparameterised")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that no item contaminates."""
-    return with_matches(documents, benchmark, text, "__m").where(F.size("__m") == 0).drop("__m")
+    """The documents that no item contaminates; what one block leaves is written before the next."""
+    left = None
+    for table in tables(benchmark):
+        left = with_matches(documents if left is None else stored(left, "clean"), table, text, "__m").where(F.size("__m") == 0).drop("__m")
+    return left

@@ -83,3 +83,105 @@ def test_copies_in_any_letter_case():
 
 def test_capitals_alone_never_match():
     assert not matches(APPLES, "JANE SAW 4 HORSES AND RODE 9 OTHER HORSES TOWARDS PARIS IN 2 HOURS. WHERE ARE THE HORSES NOW?")
+
+
+def brute(items, text):
+    """Matches by the definition, on strings: every window of a text against every one of an item."""
+    seen, out = {}, []
+    for i, t in sorted(items):
+        seen.setdefault(tuple(D._TOKEN.findall(t)), i)
+    tokens = D._TOKEN.findall(text)
+    fold = [t.casefold() for t in tokens]
+    for own, i in seen.items():
+        known = {t.casefold() for other in seen for t in other}
+        size = min(D.WINDOW, len(own))
+        diagonals = {}
+        for p in range(len(own) - size + 1 if own else 0):
+            for q in range(len(tokens) - size + 1):
+                a, b = own[p : p + size], tokens[q : q + size]
+                equal = all(x.casefold() == y for x, y in zip(a, fold[q : q + size], strict=True))
+                kinds = [D.kind_of(t) for t in a]
+                form = lambda ts: [(D.kind_of(t), t.casefold() if D.kind_of(t) == D.LITERAL else "") for t in ts]
+                template = size == D.WINDOW and kinds.count(D.LITERAL) >= D.LITERALS and form(a) == form(b)
+                if equal and size < D.WINDOW or template or equal and not any(D.kind_of(t) == D.LITERAL and t.casefold() not in known for t in b):
+                    diagonals.setdefault(q - p, []).append(p)
+        covered, same, changed = set(), set(), False
+        for shift, starts in diagonals.items():
+            every = {k for s in starts for k in range(s, s + size)}
+            pairs = [(own[k], tokens[k + shift]) for k in sorted(every)]
+            slots, names = {}, {}
+            fine = True
+            for x, y in pairs:
+                kind, x, y = D.kind_of(x), x.casefold(), y.casefold()
+                fine &= kind == D.LITERAL or slots.setdefault((kind, x), y) == y
+                fine &= kind != D.NAME or names.setdefault(y, x) == x
+            if not fine:
+                every = {k for s in starts if all(own[j].casefold() == fold[j + shift] for j in range(s, s + size)) for k in range(s, s + size)}
+            equal = {k for k in every if own[k].casefold() == fold[k + shift]}
+            covered |= every
+            same |= equal
+            changed |= equal != every
+        least = min(D.ENOUGH, len(own))
+        if own and len(covered) >= least and 2 * len(same) >= len(covered):
+            out.append((i, len(covered), len(own), changed))
+    return sorted(out)
+
+
+ITEMS = [
+    (1, APPLES),
+    (2, "Who wrote Moby Dick?"),
+    (3, "What is two plus two"),
+    (4, "A train runs 60 km in 2 hours and then 90 km in 3 hours , how many km is that per hour"),
+    (5, "Box A has 5 red 7 blue 9 green , box B has 4 red 6 blue 8 green , box C 3 red"),
+    (6, "北京是中国的首都吗"),
+    (7, "42 km"),
+    (8, "In 1990 Paris and London and Rome and Oslo won 5 and 6"),
+    (9, "Who wrote Moby Dick ?"),
+    (10, "..."),
+]
+
+
+def test_equal_to_brute_force_on_planted_copies():
+    rnd = random.Random(3)
+    filler = "the boat went up river and people of town saw it as they do every year in Mainz or Bonn for 3 or 4 days".split()
+    table = D.Table(ITEMS)
+    found = set()
+    for trial in range(300):
+        i, item = rnd.choice(ITEMS)
+        kind = trial % 6
+        if kind == 0:
+            item = item.upper()
+        elif kind == 1:
+            item = " ".join(str(rnd.randrange(2, 99)) if w.isdigit() else w for w in item.split())
+        elif kind == 2:
+            item = item.replace("Tom", "Peter").replace("Anna", "Maria").replace("km", "miles").replace("60", "70")
+        elif kind == 3:
+            item = " ".join(item.split()[rnd.randrange(3) :])
+        elif kind == 4:
+            item = item.lower()
+        text = " ".join(rnd.choices(filler, k=rnd.randrange(20))) + f". {item} " + " ".join(rnd.choices(filler, k=rnd.randrange(20)))
+        got = table.matches(text)
+        assert got == brute(ITEMS, text), text
+        found |= {(m[0], m[3]) for m in got}
+    assert {(1, True), (4, True), (5, True)} <= found and {2, 3, 6, 7, 8} <= {i for i, _ in found}
+
+
+def test_short_items_and_scripts_without_spaces():
+    assert [m[0] for m in D.Table(ITEMS).matches("They asked: WHO WROTE MOBY DICK? Nobody knew.")] == [2]
+    assert not D.Table(ITEMS).matches("Who wrote the story of Moby Dick")
+    assert [m[0] for m in D.Table(ITEMS).matches("问题:北京是中国的首都吗?是的")] == [6]
+    assert D._TOKEN.findall("abc中文x") == ["abc", "中", "文", "x"]
+
+
+def test_number_dense_questions_are_found_with_other_numbers():
+    other = "Box A has 15 red 17 blue 19 green, box B has 14 red 16 blue 18 green, box C 13 red"
+    ((item, _, _, changed),) = D.Table(ITEMS).matches(f"So it is. {other}. The end of it.")
+    assert (item, changed) == (5, True)
+    # slots of other values alone are no evidence
+    assert not D.Table([(1, "set 1 2 3 4 5 6 7 8 9 10 11 12 13 14")]).matches("set 21 22 23 24 25 26 27 28 29 30 31 32 33 34")
+
+
+def test_a_very_long_text_and_one_of_repeats():
+    text = "the boat went up river " * 400_000 + APPLES.replace("5", "8")
+    assert [m[0] for m in D.Table(ITEMS).matches(text)] == [1]
+    assert D.Table([(1, "the boat went up river " * 5)]).matches("the boat went up river " * 2000)[0][1] == 25
