@@ -6,7 +6,8 @@ the vectors of its n-grams, and a language's prototype those of its training doc
 document gets the language whose prototype has the largest cosine with its profile.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the first language by name;
-the score is the cosine, 0 at least. With no training row, everything is `und`. Whole texts are profiled, at any length.
+the score is the cosine, 0 at least. With no training row, everything is `und`. Whole texts are profiled, at any length,
+and alike. Repeated rows are repeated. Columns of the names of the result's two replace those of the documents.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from ._common import small_batches, take_worker
 
 #: Dimensions of a vector, letters of an n-gram, documents of a language that a prototype is learned from (about).
 DIMENSIONS, GRAM, SAMPLE = 1024, 3, 3000
-#: Vectors of n-grams that a worker keeps, and code points of a long text that are profiled at a time.
+#: Vectors of n-grams that a worker keeps, and n-grams of a long text that are counted at a time.
 KEPT, CHUNK = 20_000, 1 << 20
+#: Languages whose prototypes (8 kB each) are sent to all; more are an error.
+MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 _LETTERS: dict[int, np.ndarray] = {}
@@ -51,10 +54,11 @@ class Profiles:
         return out.astype(np.float32)
 
     def _grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the text's n-grams and their counts: lower case, every stretch of other characters one space, as is the border of two chunks."""
+        """Keys of the text's n-grams and their counts: lower case, every stretch of other characters one space. Pieces overlap, so that they have every n-gram once."""
         keys, counts = [], []
-        for i in range(0, len(text), CHUNK):
-            codes = np.frombuffer(_letters(text[i : i + CHUNK]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        folded = _letters(text)
+        for i in range(0, max(1, len(folded) - GRAM + 1), CHUNK):
+            codes = np.frombuffer(folded[i : i + CHUNK + GRAM - 1].encode("utf-32-le"), np.uint32).astype(np.int64)
             grams = codes[: len(codes) - GRAM + 1].copy()
             for k in range(1, GRAM):
                 grams |= codes[k : len(codes) - GRAM + 1 + k] << 21 * k
@@ -132,7 +136,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: s
     spark = documents.sparkSession
     small_batches(spark)
     own = documents.where(~held_out(F.col(key)) & F.col(lang).isNotNull()).select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang"))
-    counts = {r["__lang"]: r["count"] for r in own.groupBy("__lang").count().collect()}
+    counts = {r["__lang"]: r["count"] for r in own.groupBy("__lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not counts:
         return {}
     place = F.pmod(F.xxhash64("__key"), F.lit(1 << 30))

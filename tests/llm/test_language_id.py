@@ -63,3 +63,43 @@ def test_odd_texts(spark):
 def test_sample_bound(spark, documents):
     few = I.fit(documents, sample=20)
     assert set(few) == {"en", "de", "fr", "es"}
+
+
+def test_pieces_of_a_long_text_change_nothing(monkeypatch):
+    text = "Das ist, 1 neues Haus! ÉTÉ ΟΔΟΣ " * 30 + "x"
+    whole = I.Profiles().profile(text)
+    for chunk in (1, 7, 64, 1000):
+        monkeypatch.setattr(I, "CHUNK", chunk)
+        assert (I.Profiles().profile(text) == whole).all()
+
+
+def test_prediction_is_the_nearest_prototype(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(80)
+    prototypes = I.fit(docs)
+    twice = docs.unionByName(docs).withColumn("score", docs["lang"])
+    rows = I.identify(twice, prototypes).collect()
+    assert len(rows) == 160 and len({tuple(r) for r in rows}) <= 80
+
+    def vector(text):
+        folded = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        out = np.zeros(I.DIMENSIONS)
+        for i in range(len(folded) - 2):
+            one = np.ones(I.DIMENSIONS)
+            for k, c in enumerate(folded[i : i + 3]):
+                one *= np.roll(I.letter(ord(c)), k)
+            out += one
+        return out / np.linalg.norm(out)
+
+    for r in rows[:40]:
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (r["lang_pred"], r["score"]) == (I.UNKNOWN, 0.0)
+            continue
+        cosines = {k: float(v @ vector(r["text"])) for k, v in prototypes.items()}
+        assert r["lang_pred"] == max(sorted(cosines), key=cosines.get)
+        assert abs(r["score"] - max(0, max(cosines.values()))) < 1e-4
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(I, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        I.fit(spark.createDataFrame([(k, "text", f"l{k}") for k in range(9)], "doc_id long, text string, lang string"))
