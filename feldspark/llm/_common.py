@@ -19,10 +19,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share. Where the session names none, a local one in local mode; an error on a cluster."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", named)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -36,11 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a compressed Parquet table of the shared folder: smaller than checkpoint()."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """df as a compressed Parquet table of the shared folder (by the session's codec, if none is named): smaller than checkpoint()."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

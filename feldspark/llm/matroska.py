@@ -2,7 +2,7 @@
 
 The parser reads EBML elements of variable length (sizes known or not), tracks, clusters, SimpleBlocks and
 BlockGroups with every kind of lacing, and cues; it gives a packet for each frame with its track, timestamp
-and byte range. Broken files raise ValueError in parse(); in packet tables they give no packet and a reason.
+and byte range. Broken files, of whatever kind, raise ValueError in parse(); in packet tables they give no packet and a reason.
 Null or empty files: no packet, reason "empty".
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import small_batches, stored
 
 # Element ids of EBML and Matroska.
 EBML, DOCTYPE = 0x1A45DFA3, 0x4282
@@ -95,11 +96,16 @@ def _until(data: bytes, at: int, end: int) -> int:
 
 
 def unsigned(data: bytes, start: int, end: int) -> int:
+    if end - start > 8:
+        raise ValueError(f"an integer of {end - start} bytes at {start}")
     return int.from_bytes(data[start:end], "big")
 
 
 def real(data: bytes, start: int, end: int) -> float:
-    return {0: lambda: 0.0, 4: lambda: struct.unpack(">f", data[start:end])[0], 8: lambda: struct.unpack(">d", data[start:end])[0]}[end - start]()
+    form = {0: "", 4: ">f", 8: ">d"}.get(end - start)
+    if form is None:
+        raise ValueError(f"a real number of {end - start} bytes at {start}")
+    return struct.unpack(form, data[start:end])[0] if form else 0.0
 
 
 def _laced(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
@@ -170,6 +176,8 @@ def parse(data: bytes) -> Media:
             if part == INFO:
                 for kind, c, d in elements(data, a, b):
                     scale = unsigned(data, c, d) if kind == SCALE else scale
+                    if not scale:
+                        raise ValueError("a scale of 0")
                     duration = real(data, c, d) if kind == DURATION else duration
             elif part == TRACKS:
                 for kind, c, d in elements(data, a, b):
@@ -273,14 +281,31 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (MULTIPLE - len(raw) if not raw else -len(raw) % MULTIPLE)
 
 
+#: Timestamps lie within this; rows of a packet table in a batch.
+LIMIT, ROWS = 1 << 62, 10_000
 PACKETS = "reason string, track long, packet long, timestamp long, keyframe boolean, lacing string, byte_start long, byte_end long"
 
 
+def packet_rows(data: bytes | None) -> tuple[Media | None, list[tuple]]:
+    """(what parse() found, rows of the packet table) of a file; one row with the reason if there is no packet."""
+    none = [None] * 7
+    if not data:
+        return None, [("empty", *none)]
+    try:
+        media = parse(data)
+    except ValueError as error:
+        return None, [(str(error), *none)]
+    if any(not -LIMIT <= p.timestamp < LIMIT for p in media.packets):
+        return None, [("a timestamp out of range", *none)]
+    rows = [(None, p.track, k, p.timestamp, p.keyframe, LACINGS[p.lacing], p.start, p.end) for k, p in enumerate(media.packets)]
+    return media, rows or [("no packet", *none)]
+
+
 def packet_table(files: DataFrame, media: str = "media") -> DataFrame:
     """A row for each packet of the binary column `media` (a row with a reason for a file without any), beside the other columns.
 
     timestamp is in units of the file's scale; [byte_start, byte_end) is the frame in the file. Columns of files
-    that bear a name of the packet table are left out.
+    that bear a name of the packet table are left out. Packets of a file of any length come in batches of rows.
     """
     small_batches(files.sparkSession)
     own = [x.split()[0] for x in PACKETS.split(", ")]
@@ -292,64 +317,59 @@ def packet_table(files: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index: list[int] = []
-            rows: list[tuple] = []
             for i, data in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if not data:
-                    index.append(i), rows.append(("empty", *[None] * 7))
-                    continue
-                try:
-                    packets = parse(data).packets
-                except ValueError as error:
-                    index.append(i), rows.append((str(error), *[None] * 7))
-                    continue
-                for k, p in enumerate(packets):
-                    index.append(i), rows.append((None, p.track, k, p.timestamp, p.keyframe, LACINGS[p.lacing], p.start, p.end))
-                if not packets:
-                    index.append(i), rows.append(("no packet", *[None] * 7))
-            left = b.select(kept).take(pa.array(index, pa.int64())) if kept else None
-            right = [pa.array([r[k] for r in rows], types[x.split()[1]]) for k, x in enumerate(PACKETS.split(", "))]
-            yield pa.RecordBatch.from_arrays([*(left.columns if left else []), *right], names=[*kept, *own])
+                every = packet_rows(data)[1]
+                for first in range(0, len(every), ROWS):
+                    rows = every[first : first + ROWS]
+                    left = b.select(kept).take(pa.array([i] * len(rows), pa.int64())) if kept else None
+                    right = [pa.array([r[k] for r in rows], types[x.split()[1]]) for k, x in enumerate(PACKETS.split(", "))]
+                    yield pa.RecordBatch.from_arrays([*(left.columns if left else []), *right], names=[*kept, *own])
 
     return files.select(*[f"`{c}`" for c in kept], F.col(f"`{media}`").cast("binary").alias("__media")).mapInArrow(run, schema)
 
 
-def feature(media: Media, payload: bytes) -> str:
-    """Counts and durations from the packet table, with the mean and the zero crossings of the samples."""
+def feature(media: Media, packets: list[tuple], payload: bytes) -> str:
+    """Counts and durations from the packet table and the cues, with the mean and the zero crossings of the samples."""
     high = np.frombuffer(payload, np.uint8) >= 128
     crossed = np.count_nonzero(high[1:] != high[:-1])
-    kinds = ",".join(f"{name}:{n}" for k, name in enumerate(LACINGS) if (n := sum(p.lacing == k for p in media.packets)))
-    return f"tracks={len(media.tracks)};clusters={media.clusters};packets={len(media.packets)};cues={len(media.cues)};lacing={kinds};duration={media.duration:.0f};last={media.packets[-1].timestamp};mean={sum(payload) / len(payload):.3f};crossings={crossed}"
+    kinds = ",".join(f"{name}:{n}" for name in LACINGS if (n := sum(p[5] == name for p in packets)))
+    starts = sorted(at for _, _, at in media.cues)
+    seeks = sum(bisect_left(starts, p[6]) > 0 for p in packets)
+    mean = float(np.frombuffer(payload, np.uint8).mean()) if payload else 0.0
+    return f"tracks={len(media.tracks)};clusters={media.clusters};packets={len(packets)};cues={len(media.cues)};behind_cues={seeks};lacing={kinds};duration={media.duration:.0f};last={packets[-1][3]};mean={mean:.3f};crossings={crossed}"
 
 
-def stored_figures(text: str | None) -> tuple[int, int, str, int, int, str, str]:
-    """What op5 reports of a text: it is stored as a file, the file is parsed, and the payload joined from its packets."""
-    n, payload = payload_of(text)
-    file = mux(payload)
-    media = parse(file)
-    back = b"".join([file[p.start : p.end] for p in media.packets])
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(media, back)
+def figures(data: bytes) -> tuple[int, str, int, int, str, str]:
+    """What op5 reports of a stored file: its packet table is made, and the payload joined from the packets' byte ranges."""
+    media, packets = packet_rows(data)
+    if media is None or packets[0][0] is not None:
+        raise ValueError(f"a stored file without packets: {packets[0][0]}")
+    back = b"".join([data[p[6] : p[7]] for p in packets])
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, packets, back)
 
 
-FIGURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FIGURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def store_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The figures of every document's text, stored as Matroska and read back; a row for each row. Null texts are empty."""
-    small_batches(documents.sparkSession)
-    source = documents.select(F.col(key), F.col(text).cast("string").alias("__text"))
-    schema = documents.select(key).schema
+    """The figures of every document's text: all are stored as a table of Matroska files, which is read again and parsed.
+
+    A row for each row, repeated ones too; null texts are empty; other columns are left out.
+    """
+    own = documents.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    sized = own.withColumn("__bytes", F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long"))
+    files = stored(with_media(sized, "__text", "__media").drop("__text"), "media", "zstd").select(F.col("__key").alias(key), F.col("__bytes").alias("n_bytes"), "__media")
+    schema = files.drop("__media").schema
     for x in FIGURES.split(", "):
         schema.add(*x.split())
     types = [pa.int64() if x.endswith("long") else pa.string() for x in FIGURES.split(", ")]
-    names = [key, *(x.split()[0] for x in FIGURES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [stored_figures(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=names)
+            rows = [figures(m.as_py()) for m in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 def with_media(documents: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
@@ -363,4 +383,4 @@ def with_media(documents: DataFrame, text: str = "text", into: str = "media") ->
             made = pa.array([mux(payload_of(t)[1]) for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*kept, into])
 
-    return documents.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return documents.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").cast("string").alias("__source")).mapInArrow(run, schema)

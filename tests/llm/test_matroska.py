@@ -47,7 +47,7 @@ def test_cues_point_at_clusters():
     assert [p.timestamp for p in media.packets] == [k * M.TICKS for k in range(1000)]
 
 
-@pytest.mark.parametrize("bad", [b"\x00", b"\x1a\x45\xdf\xa3\x85ab", M.mux(bytes(576))[:-10], b"\x18\x53\x80\x67\x84\x1f\x43\xb6\x75"])
+@pytest.mark.parametrize("bad", [b"\x00", b"\x1a\x45\xdf\xa3\x85ab", M.mux(bytes(576))[:-10], M.element(M.SEGMENT, M.element(M.INFO, b"\x44\x89\x83abc")), M.element(M.SEGMENT, M.element(M.INFO, M.element(M.SCALE, 0))), M.element(M.SEGMENT, M.element(M.CLUSTER, b"\xe7\x89" + b"\xff" * 9)), b"\x18\x53\x80\x67\x84\x1f\x43\xb6\x75"])
 def test_broken_files(bad):
     with pytest.raises(ValueError):
         M.parse(bad)
@@ -70,3 +70,41 @@ def test_packet_table(spark):
     assert [(r["id"], r["packet"], r["timestamp"]) for r in got] == [(1, 0, 0), (1, 1, 72), (1, 2, 144), (2, None, None), (3, None, None)]
     assert got[3]["reason"] == "empty" and got[4]["reason"] and got[0]["lacing"] == "fixed"
     assert M.packet_table(M.with_media(spark.createDataFrame([("hello",)], "text string"))).count() == 1
+
+
+def test_bytes_written_by_hand():
+    """A file byte by byte from the format's description, with its own examples of lacing: frames of 800, 500 and 1000 bytes."""
+    body = bytes([1]) * 800 + bytes([2]) * 500 + bytes([3]) * 1000
+    for flags, sizes in (("02", "02 ff ff ff 23 ff f5"), ("06", "02 43 20 5e d3")):
+        block = bytes.fromhex(f"81 00 07 {flags} {sizes}") + body
+        cluster = bytes.fromhex("e7 81 64") + bytes.fromhex("a3") + (0x4000 | len(block)).to_bytes(2, "big") + block
+        segment = bytes.fromhex("1654ae6b 8c ae 8a d7 81 01 86 85") + b"V_VP9" + bytes.fromhex("1f43b675") + (0x4000 | len(cluster)).to_bytes(2, "big") + cluster
+        data = bytes.fromhex("1a45dfa3 87 4282 84") + b"webm" + bytes.fromhex("18538067 01ffffffffffffff") + segment
+        media = M.parse(data)
+        assert (media.doctype, media.tracks, media.clusters) == ("webm", {1: "V_VP9"}, 1)
+        assert [data[p.start : p.end] for p in media.packets] == [body[:800], body[800:1300], body[1300:]]
+        assert {(p.track, p.timestamp, p.keyframe) for p in media.packets} == {(1, 107, False)}
+
+
+def test_spoiled_files_give_packets_or_a_reason():
+    rnd = random.Random(6)
+    whole = M.mux(bytes(rnd.randrange(256) for _ in range(576 * 20)))
+    kinds = set()
+    for trial in range(3000):
+        data = bytearray(whole)
+        for _ in range(rnd.randrange(1, 6)):
+            data[rnd.randrange(200 if trial % 2 else len(data))] = rnd.randrange(256)
+        if trial % 5 == 0:
+            del data[rnd.randrange(len(data)) :]
+        rows = M.packet_rows(bytes(data))[1]
+        kinds.add(rows[0][0] is None)
+        assert rows and all(-(1 << 63) <= x < 1 << 63 for r in rows for x in r[1:] if isinstance(x, int))
+    assert kinds == {True, False}
+
+
+def test_files_are_stored_and_read_again(spark):
+    df = spark.createDataFrame([(1, "abc", "z"), (1, "abc", "z")], "doc_id long, text string, media string")
+    got = M.store_texts(df)
+    assert "parquet" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in got.collect()] == [(1, 3, 576)] * 2
+    assert "behind_cues=1;" in got.first()["feature"]
