@@ -1,12 +1,13 @@
 """Byte-level BPE by longest matches and backtracking, exact as to the merges, in linear time.
 
 Bytes are mapped to Latin-1 characters, so that a pyahocorasick automaton finds the longest token at each place.
-Two adjacent tokens are compatible if the merges would leave their border alone, which the table of each token's
-last merge tells; the answers are memoised. The encoder takes the longest token that is compatible with the one
+Two adjacent tokens are compatible if the merges would leave their border alone, which the last merges of the tokens
+that stand at the border in turn tell; the answers are memoised. The encoder takes the longest token that is compatible with the one
 before it, tries shorter ones if it isn't, and steps back where none is left. Texts are first split by a pattern,
 and each piece is encoded separately.
 
-Defined cases: a null or empty text has no token; equal texts have equal tokens; the length of a text is not
+The result has the key and its own columns; others of the documents, whatever their names, are left out. Repeated rows
+are repeated. Defined cases: a null or empty text has no token; equal texts have equal tokens; the length of a text is not
 limited. Lone surrogates can't occur in Spark's strings.
 """
 
@@ -30,6 +31,9 @@ from ._common import small_batches, take_worker
 #: Pieces of a generation that a worker remembers (of two: those of the last one are kept while used), their longest length, and remembered pairs of tokens.
 REMEMBERED, MEMORABLE, PAIRS = 225_000, 64, 200_000
 
+#: A rank after all others.
+LAST = 1 << 62
+
 
 class Encoder:
     """The encoder of one table of ranks."""
@@ -49,6 +53,7 @@ class Encoder:
         self.merged: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
+        self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
         # ids of pieces as 32-bit numbers, which takes the least memory
         self.known: dict[str, bytes] = {}
         self.names = {r: str(r) for r in self.tokens}
@@ -88,65 +93,68 @@ class Encoder:
             parts[best[1] : best[1] + 2] = [best[0]]
         return parts[0], parts[1]
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at a token's left (0) or right (1) end while it is being merged, each with the rank that ends it."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known = [(token, LAST)]
+            while self.split[token][side] != token:
+                token, end = self.split[token][side], token
+                known.append((token, end))
+            self.edges[side][known[0][0]] = known
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the merges leave left and right side by side: nothing across their border is merged earlier than what made them."""
+        """Whether the merges leave left and right side by side.
+
+        Two tokens meet at the border if there is a time at which both stand there. They are merged if the rank of
+        the two together comes before those that end them; of equal ranks the one further left is merged first.
+        """
         pair = left << 32 | right
         answer = self.fits.get(pair)
-        if answer is not None:
-            return answer
-        if len(self.fits) >= PAIRS:
-            self.fits.clear()
-        a, b, limit, answer = left, right, 1 << 62, True
-        while True:
-            if self.merged.get((a, b), limit) < limit:
-                answer = False
-                break
-            # go back in the order of the merges: undo the later of the two
-            if a > b:
-                limit, a = a, self.split[a][1]
-                if a == limit:
-                    limit, b = b + 1, self.split[b][0]
-                    if b + 1 == limit:
-                        break
-            else:
-                limit, b = b + 1, self.split[b][0]
-                if b + 1 == limit:
-                    limit, a = a, self.split[a][1]
-                    if a == limit:
-                        break
-        self.fits[pair] = answer
+        if answer is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
+            merged = self.merged
+            answer = self.fits[pair] = not any(
+                (rank := merged.get((a, b))) is not None and rank < end_of_a and rank <= end_of_b for a, end_of_a in self._edge(left, 1) for b, end_of_b in self._edge(right, 0)
+            )
         return answer
 
     def _merge(self, piece: bytes) -> list[int]:
+        """Tokens of a piece: the longest that goes with the one before at each place; where none goes, the place is closed and the one before is made shorter.
+
+        Merges split a beginning of the piece in one way only, so a place that is closed stays so.
+        """
         n = len(piece)
-        longest = [0] * n
+        longest: list[int | None] = [None] * (n + 1)
         # matches come by their ends, so the last one from a place is the longest
         for end, (r, size) in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - size] = r
         lengths, shorter, fits = self.lengths, self.shorter, self.fits
         closed = bytearray(n + 1)
-        out: list[int] = []
-        at, last, token = 0, -1, longest[0]
-        while True:
-            end = at + lengths[token]
-            if not closed[end]:
-                fit = True if last < 0 else fits.get(last << 32 | token)
-                if fit is None:
-                    fit = self.compatible(last, token)
-                if fit:
-                    out.append(token)
-                    if end == n:
-                        return out
-                    at, last, token = end, token, longest[end]
-                    continue
-            smaller = shorter.get(token)
-            while smaller is None:
+        path: list[int] = []
+        at, token = 0, longest[0]
+        while at < n:
+            before = path[-1] << 32 if path else -1
+            while token is not None:
+                if not closed[at + lengths[token]]:
+                    if before < 0:
+                        break
+                    fit = fits.get(before | token)
+                    if fit or fit is None and self.compatible(before >> 32, token):
+                        break
+                token = shorter.get(token)
+            if token is None:
                 closed[at] = 1
-                token = out.pop()
-                last = out[-1] if out else -1
+                token = path.pop()
                 at -= lengths[token]
-                smaller = shorter.get(token)
-            token = smaller
+                token = shorter.get(token)
+            else:
+                path.append(token)
+                at += lengths[token]
+                token = longest[at]
+        return path
 
     def piece(self, text: str) -> bytes:
         """Ids of a piece."""

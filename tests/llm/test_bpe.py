@@ -64,3 +64,36 @@ def test_documents(spark, sf_dir):
     back = bpe.decode_ids(made, P.path(NAMES[0])).collect()
     assert all(r["text"] == want[r["doc_id"]] for r in back)
     assert bpe.encode_texts(docs.where("false"), P.path(NAMES[0]), P.PATTERN).count() == 0
+
+
+def test_compatible_pairs_are_those_that_merges_leave():
+    """Pairs of tokens against the merges themselves, each pair of bytes by the least rank, the leftmost first."""
+    own = OWN[NAMES[0]]
+
+    def merges(data):
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while True:
+            ranks = [(own.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in own.rank]
+            if not ranks:
+                return parts
+            _, i = min(ranks)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rnd = random.Random(11)
+    known = sorted(own.split)
+    seen = set()
+    for _ in range(4000):
+        a, b = rnd.choice(known), rnd.choice(known[:2000])
+        if rnd.random() < 0.3:
+            a, b = b, a
+        want = merges(own.tokens[a] + own.tokens[b]) == [own.tokens[a], own.tokens[b]]
+        assert own.compatible(a, b) == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_other_columns_and_repeats(spark):
+    df = spark.createDataFrame([(1, "one two", "x", 5), (1, "one two", "x", 5), (None, None, None, None)], "doc_id long, text string, ids_sha256 string, n_tokens long")
+    got = bpe.encode_texts(df, P.path(NAMES[0]), P.PATTERN).collect()
+    assert sorted((r["n_tokens"], r["doc_id"]) for r in got if r["doc_id"]) == [(len(THEIRS[NAMES[0]].encode_ordinary("one two")), 1)] * 2
+    assert [r["n_tokens"] for r in got if r["doc_id"] is None] == [0]
