@@ -2,11 +2,15 @@
 
 A page is a sequence of tokens: words score positive, tags negative, and a linear scan finds the
 contiguous run of the highest sum, which is the content region. The weights are learned from the
-labelled pages below by a structured perceptron. Elements that never hold article text (scripts,
-menus, adverts, forms, comments, ...) count as a single negative token and their words are left out.
+labelled pages below by a structured perceptron. Elements that by their name, role or invisibility
+never hold article text (scripts, menus, forms, ...) count as a single negative token and their words
+are left out. Class names and ids are hints only: an element with a name such as `ad` or `comments` is
+taken for one if the page has other content beside it, in proportion; one that holds nearly all the
+words of its surroundings is content, whatever its name.
 
-Null or empty html gives an empty text; very long and malformed pages are scanned once, linearly but
-for the searches of an unclosed tag.
+Defined cases: null or empty html, and pages without a word outside such elements, give an empty text;
+of runs of equal sums the first counts; very long and malformed pages are scanned once, linearly but
+for the searches of an unclosed tag; repeated rows are repeated.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ NOISE = frozenset(
     "sidebar sidebars aside widget widgets related recommended recommendations share sharing social footer masthead toolbar pagination pager comment comments "
     "commentlist disqus replies respond copyright disclaimer hidden".split()
 )
+#: Words of an element with a hinting name to one word beside it, over which the name counts for nothing.
+TRUST = 8
 NOISE_STARTS = ("cookie", "advert", "sidebar", "newsletter", "sponsor", "breadcrumb")
 EXEMPT = frozenset("no has with without".split())
 
@@ -65,83 +71,142 @@ LABELLED = (
     "<body><p>You are reading the free edition of this paper, which shows one story a day to every guest.</p><article>[[<header><h1>Night</h1></header><p>The "
     "lamps went out at ten.</p><pre>ten  o'clock</pre><p>Nobody saw it, for all were asleep, and the watchman too.</p>]]</article><p>More from the same hand "
     "can be found in the list of all the stories of this year and of the years before.</p></body>",
+    '<div class="x1"><div class="q7"><a href=1>Start</a> <a href=2>Harbour</a> <a href=3>Letters</a></div><div class="k2"><div>[[<h1>The harbour</h1><p>Ships came in at noon '
+    "with the tide and left at dusk, as the master of the port had told us they would do.</p><p>One stayed.</p><p>Its crew had no papers, said the clerk, and so it lay "
+    'there for a week.</p>]]</div></div><div class="z9"><div><a href=4>More ships</a></div><div><a href=5>More clerks</a></div></div></div>',
+    '<body><div class="promotion-story"><div>[[<h2>Promoted</h2><p>The keeper of the light became the master of the port in spring, after ten years on the rock alone.</p>'
+    '<div class="ad">Buy a lamp today</div><p>He keeps a lamp at home, too, and it burns all night, his sister says.</p>]]</div></div><div>All rights reserved</div></body>',
+    '<body><section>[[<h1>Snow</h1><p>Snow fell on the pass and closed the road to all but sledges.</p>]]</section><div class="comments"><p>We drove there in spring and it was '
+    "closed then as well, which nobody had told us at the inn where we had stayed the night before.</p><p>You should have asked the post, they know it all, as they drive there every day "
+    "of the year, in snow and in rain and in sun.</p></div></body>",
 )
 
 
-def _noise(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's name, class, id or role tells that it holds no article text."""
+def _never(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's name, role or invisibility tells that it holds no article text."""
     if name in DROPPED or name == "header" and not inside:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values)
-        if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
+        key, value = key.lower(), "".join(values).lower()
+        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id"):
-            parts = {x.lower() for x in _PART.findall(value)}
-            if (parts & NOISE or any(x.startswith(NOISE_STARTS) for x in parts)) and not parts & EXEMPT:
-                return True
-            if "header" in parts and not inside and not parts & {"article", "post", "entry"}:
-                return True
     return bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", re.sub(r"""("[^"]*"|'[^']*')""", "", attributes)))
 
 
-def tokens(html: str) -> Iterator[tuple[str, str]]:
-    """(kind, text or tag) of a page: v (words in article or main), w (other words), A (words of a link), X (a dropped element) or a tag's name, with + in article or main."""
-    stack: list[tuple[str, bool]] = []
-    opened: Counter[str] = Counter()
-    dropped = 0
-    pos, n = 0, len(html)
+def _hinted(name: str, attributes: str, inside: bool) -> bool:
+    """Whether a class or id hints that an element holds no article text."""
+    if not attributes or name in ("html", "body", "main"):
+        return False
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        if key.lower() not in ("class", "id"):
+            continue
+        parts = {x.lower() for x in _PART.findall("".join(values))}
+        if (parts & NOISE or any(x.startswith(NOISE_STARTS) for x in parts)) and not parts & EXEMPT:
+            return True
+        if "header" in parts and not inside and not parts & {"article", "post", "entry"}:
+            return True
+    return False
+
+
+class Page:
+    """The tokens of a page with its hinted elements."""
+
+    def __init__(self, html: str):
+        #: Of each hinted element (0: the page): the one around it, and whether it lies in article or main.
+        self.around, self.inside = [0], [True]
+        self.marked = list(self._tokens(html))
+
+    def _tokens(self, html: str) -> Iterator[tuple[str, str, int, bool]]:
+        """(kind, text or tag, hinted element, whether the token opens it): kinds are v (words in article or main), w (other words), A (words of a link), X (an element that never holds text) or a tag's name, with + in article or main."""
+        stack: list[tuple[str, bool, int]] = []
+        opened: Counter[str] = Counter()
+        dropped = hint = 0
+        pos, n = 0, len(html)
+
+        def within() -> bool:
+            return bool(opened["article"] or opened["main"])
 
-    def kind(name: str) -> str:
-        return f"+{name}" if opened["article"] or opened["main"] else name
+        def kind(name: str) -> str:
+            return f"+{name}" if within() else name
 
-    def close(name: str) -> None:
-        nonlocal dropped
-        while stack:
-            top, gone = stack.pop()
-            opened[top] -= 1
-            dropped -= gone
-            if top == name:
+        def close(name: str) -> None:
+            nonlocal dropped, hint
+            while stack:
+                top, gone, own = stack.pop()
+                opened[top] -= 1
+                dropped -= gone
+                if own:
+                    hint = self.around[own]
+                if top == name:
+                    return
+
+        while pos < n:
+            m = _TAG.search(html, pos)
+            text = html[pos : m.start()] if m else html[pos:]
+            if text and not dropped:
+                yield "A" if opened["a"] else "v" if within() else "w", _html.unescape(text) if "&" in text else text, hint, False
+            if not m:
                 return
+            pos = m.end()
+            if m["name"] is None:
+                continue
+            name = m["name"].lower()
+            if m["end"]:
+                was_dropped, was = dropped, hint
+                if opened[name]:
+                    close(name)
+                if not was_dropped:
+                    yield kind(name), name, was, False
+                continue
+            if opened["p"] and name in BLOCKS:
+                close("p")
+            elif name == "li" and opened["li"] and stack and stack[-1][0] == "li":
+                close("li")
+            gone = _never(name, m["rest"], within())
+            holds = not (name in VOID or name in RAW or m["rest"].endswith("/") and name in ("svg", "path"))
+            own = 0
+            if not dropped and not gone and holds and _hinted(name, m["rest"], within()):
+                self.around.append(hint), self.inside.append(within())
+                own = hint = len(self.around) - 1
+            if not dropped:
+                yield "X" if gone else kind(name), name, hint, bool(own)
+            if name in RAW:
+                end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(html, pos)
+                pos = end.end() if end else n
+            if holds:
+                stack.append((name, gone, own))
+                opened[name] += 1
+                dropped += gone
 
-    while pos < n:
-        m = _TAG.search(html, pos)
-        text = html[pos : m.start()] if m else html[pos:]
-        if text and not dropped:
-            yield ("A" if opened["a"] else "v" if opened["article"] or opened["main"] else "w"), _html.unescape(text) if "&" in text else text
-        if not m:
-            return
-        pos = m.end()
-        if m["name"] is None:
-            continue
-        name = m["name"].lower()
-        if m["end"]:
-            was_dropped = dropped
-            if opened[name]:
-                close(name)
-            if not was_dropped:
-                yield kind(name), name
-            continue
-        if opened["p"] and name in BLOCKS:
-            close("p")
-        elif name == "li" and opened["li"] and stack and stack[-1][0] == "li":
-            close("li")
-        gone = _noise(name, m["rest"], bool(opened["article"] or opened["main"]))
-        if not dropped:
-            yield ("X" if gone else kind(name)), name
-        if name in VOID or m["rest"].endswith("/") and name in ("svg", "path"):
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(html, pos)
-            pos = end.end() if end else n
-            continue
-        stack.append((name, gone))
-        opened[name] += 1
-        dropped += gone
+    def noise(self) -> list[bool]:
+        """Of each hinted element whether it is what its name says: not if it has over TRUST words to one beside it, all within the next such element around it that isn't, and, outside article and main, none of theirs beside it."""
+        words, article = [0] * len(self.around), [0] * len(self.around)
+        for kind, text, hint, _ in self.marked:
+            if kind in "vw":
+                size = len(text.split())
+                words[hint] += size
+                article[hint] += size if kind == "v" else 0
+        for k in range(len(words) - 1, 0, -1):
+            words[self.around[k]] += words[k]
+            article[self.around[k]] += article[k]
+        out = [False]
+        for k in range(1, len(words)):
+            p = self.around[k]
+            holds_all = words[k] > TRUST * (words[p] - words[k]) and (self.inside[k] or article[p] == article[k])
+            out.append(out[p] or not holds_all)
+        return out
+
+
+def tokens(html: str) -> list[tuple[str, str]]:
+    """(kind, text or tag) of a page's tokens; an element that is noise by its hint is one token X."""
+    page = Page(html)
+    noise = page.noise()
+    # noise in noise is no token of its own
+    return [("X" if opens and noise[hint] else kind, text) for kind, text, hint, opens in page.marked if not noise[hint] or opens and not noise[page.around[hint]]]
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -212,7 +277,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     """The main text: blocks of the best run in page order, joined by one line break."""
     if not html:
         return ""
-    stream = list(tokens(html))
+    stream = tokens(html)
     start, end = best_run([_score(t, weights) for t in stream])
     blocks: list[str] = []
     parts: list[str] = []

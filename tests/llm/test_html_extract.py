@@ -52,3 +52,54 @@ def test_table(spark):
     assert got.columns == ["page_id", "url", "extra", "text"]
     assert sorted(r["text"] for r in got.collect()) == ["", "a b", "a b"]
     assert H.extract_pages(df.where("false")).count() == 0
+
+
+BODY = "<h1>The bridge</h1>" + "<p>The old bridge over the river was built by the monks, who took a toll of one egg from each cart that went over it to the market.</p>" * 6
+
+
+def text_of(html):
+    return H.extract(html, W)
+
+
+def test_names_are_hints_only():
+    want = text_of(f"<article>{BODY}</article>")
+    assert want.count("\n") == 6
+    for page in (
+        f'<article class="social-policy">{BODY}</article>',
+        f'<div class="promotion-story">{BODY}</div>',
+        f'<body><div class="menu"><a href=1>Home</a></div><div id="notice-board"><div>{BODY}</div></div></body>',
+        f'<body><div class="sponsored"><div class="x">{BODY}<div class="ad">Buy now</div></div></div></body>',
+        f'<body><main class="widget">{BODY}</main></body>',
+    ):
+        assert text_of(page) == want, page[:60]
+
+
+def test_noise_by_its_name_goes_even_if_long():
+    want = text_of(f"<article>{BODY}</article>")
+    talk = "<p>I was there last year with my sister and we both liked the bridge and the river a lot.</p>" * 10
+    for page in (
+        f'<article>{BODY}</article><div class="comments">{talk}</div>',
+        f'<div>{BODY}<div class="comments">{talk}</div></div>',
+        f'<article>{BODY.replace("</h1>", "</h1><div class=advert>Buy eggs today</div>")}</article>',
+        f'<article><p>Short.</p></article><div class="cookie-notice">{talk}</div>',
+    ):
+        assert text_of(page) == (want if "Short." not in page else "Short.")
+
+
+def test_the_scan_decides_where_names_tell_nothing():
+    """Pages whose elements have opaque names; without the scan, all words outside scripts and the like are the text."""
+    page = (
+        '<body><div class="a1"><a href=1>Home</a> <a href=2>News</a> <a href=3>Towns</a></div><div class="b2"><span>Hello guest</span></div><div class="c3">'
+        f'{BODY}</div><div class="d4"><div><a href=4>Bridges</a></div><div><a href=5>Monks</a></div></div><div class="e5">All rights kept</div></body>'
+    )
+    assert text_of(page) == text_of(f"<article>{BODY}</article>")
+    everything = "\n".join(t for k, t in H.tokens(page) if k in "vwA")
+    assert "Hello guest" in everything and "All rights kept" in everything and "Monks" in everything
+
+
+def test_ties_of_runs_and_repeats():
+    assert H.best_run([1, -1, 1]) == (0, 1) and H.best_run([1, -2, 1]) == (0, 1)
+    weights = W | {"table": -9.0}
+    assert H.extract("<p>a b</p><table></table><p>c d</p>", weights) == "a b"
+    deep = '<div class="ad">' * 3000 + "x " + "</div>" * 3000
+    assert H.extract(f"<p>{'word ' * 50}</p>{deep}", W) == " ".join(["word"] * 50)
