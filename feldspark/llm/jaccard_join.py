@@ -10,22 +10,29 @@ documents are found through hubs: all that share a hot shingle of the plain pref
 
 Candidate links make clusters by connected components, and every cluster is verified on whole texts, each document
 shipped once: a search from document to document compares each with those not yet reached, on inverted lists, so a group
-of near copies costs no more than its links. Clusters over a bound on documents or shingles are verified in pairs of
-blocks. No pair of documents is ever output; links come as spanning links.
-
-Copies (equal sets) are one class from the start. Shingles and sets are identified by 64-bit hashes. Defined cases:
-null, empty and blank texts have an empty set and are linked with nothing; a text of fewer words than a shingle is one
-shingle; rows with a null key belong to their text's class; repeated rows each give a row; other columns are ignored.
+of near copies costs no more than its links. Clusters over a bound on documents or shingles are verified in blocks of
+one class of sizes, since sizes of linked sets are of one class or of neighbouring ones: first every block against the
+first ones of its class and of the class below, which a group of near copies comes out of as one component, at a cost in
+proportion to its size; then what isn't in a cluster's largest component yet against all blocks of those classes. No
+pair of documents is ever output; links come as spanning links.
+
+Copies (equal sets) are one class from the start. Shingles and sets are identified by 64-bit hashes, and a class's text
+is found by the key and the hash of a text, so null and repeated keys are as good as others. Defined cases: null, empty
+and blank texts have an empty set and are linked with nothing; a text of fewer words than a shingle is one shingle; rows
+with a null key belong to their text's class, and it links as any other, but a component's id is its least key that isn't
+null (null if all are); repeated rows each give a row; other columns are ignored, whatever their names; of documents at
+equal similarity none is preferred, as links are all that counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +46,8 @@ HOT, BUCKET = 12, 400_000
 HEAVY, MOST_HEAVY = 20_000, 200_000
 #: Verification: documents and shingles of a block; rows of the table of members that may be broadcast (24 bytes each).
 BLOCK_ROWS, BLOCK_SHINGLES, BROADCAST_ROWS = 2000, 1_500_000, 1_000_000
+#: Prefix shingles of a task that are counted together, before those met once are forgotten.
+COUNTED = 2_000_000
 #: Cost of verifying a candidate, in prefix matches.
 VERIFY = 20
 
@@ -66,9 +75,9 @@ def top_level(n: np.ndarray | int, percent: int):
 
 
 def shingle_sets(documents: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n, sig, prefix) of every row: size and signature of the set, and its prefix at the highest level, as longs. Stored in the shared folder."""
+    """(key, n, sig, th, prefix) of every row: size and signature of the set, the text's hash, and the set's prefix at the highest level, as longs. Stored in the shared folder."""
     small_batches(documents.sparkSession)
-    schema = documents.select(key).schema.add("n", "long").add("sig", "long").add("prefix", T.ArrayType(T.LongType()))
+    schema = documents.select(key).schema.add("n", "long").add("sig", "long").add("th", "long").add("prefix", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker(forget)
@@ -82,9 +91,14 @@ def shingle_sets(documents: DataFrame, width: int, percent: int, key: str = "doc
                 lengths.append(len(prefixes[-1]))
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), b.column(2), lists], names=schema.names)
+
+    return stored(_texts(documents, key, text).mapInArrow(run, schema), "shingle-sets")
 
-    return stored(documents.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema), "shingle-sets")
+
+def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, __text, __th)."""
+    return documents.select(F.col(key), F.col(text).cast("string").alias("__text")).withColumn("__th", F.xxhash64("__text"))
 
 
 def _distinct(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,12 +149,26 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
-    """Shingles whose lists would be too long for a task. A batch's lone occurrence doesn't count, so what is left has a small share of all batches at most."""
+    """Shingles whose lists would be too long for a task. A lone occurrence among COUNTED shingles doesn't count, so what is left has a small share of all at most."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def merge() -> None:
+            tok, inverse = np.unique(np.concatenate(held[0]), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate(held[1]), len(tok)).astype(np.int64)
+            held[0][:], held[1][:] = [tok[count > 1]], [count[count > 1]]
+
+        size = 0
         for b in batches:
             tok, count = np.unique(_distinct(b)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tok[count > 1]), pa.array(count[count > 1])], names=["tok", "c"])
+            held[0].append(tok), held[1].append(count)
+            size += len(tok)
+            if size > COUNTED:
+                merge()
+                size = len(held[0][0]) // 2
+        merge()
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[1][0])], names=["tok", "c"])
 
     counts = sets.select("n", "sig", "prefix").mapInArrow(local, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c")).where(F.col("c") > HEAVY)
     return np.array(sorted(r["tok"] for r in counts.orderBy(F.desc("c"), "tok").limit(MOST_HEAVY).collect()), np.int64)
@@ -294,11 +322,12 @@ def link_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def verified_links(documents: DataFrame, members: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """Spanning links (a, b) of the sets of members (key, sig, cluster, i, j, ...), from whole texts."""
+    """Spanning links (a, b) of the sets that members (member, th, sig, cluster, task) bring together, from whole texts."""
     small = members.count() <= BROADCAST_ROWS
-    source = documents.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    dealt = source.join(F.broadcast(members) if small else members, F.col("__key") == F.col("member")).select("cluster", "i", "j", "sig", "__text")
-    keys = ["cluster", "i", "j"]
+    source = _texts(documents, key, text).withColumnRenamed(key, "__key")
+    same = (F.col("__th") == F.col("th")) & F.col("__key").eqNullSafe(F.col("member"))
+    dealt = source.join(F.broadcast(members) if small else members, same).select("cluster", "task", "sig", "__text")
+    keys = ["cluster", "task"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker(forget)
@@ -317,14 +346,14 @@ def verified_links(documents: DataFrame, members: DataFrame, width: int, percent
             return made
 
         for b in batches:
-            for c, i, j, sig, t in zip(*(b.column(k).to_pylist() for k in (*keys, "sig", "__text")), strict=True):
-                if now != (c, i, j):
+            for c, task, sig, t in zip(*(b.column(k).to_pylist() for k in (*keys, "sig", "__text")), strict=True):
+                if now != (c, task):
                     flush()
                     held.clear()
-                    now = c, i, j
+                    now = c, task
                 if sig not in held:
                     got = shingles(t, width)
-                    if signature(got) == sig:  # a key may have other texts too
+                    if signature(got) == sig:  # equal hashes may be of other texts too
                         held[sig] = got
             yield out()
         flush()
@@ -333,43 +362,111 @@ def verified_links(documents: DataFrame, members: DataFrame, width: int, percent
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "sig").mapInArrow(link, "a long, b long")
 
 
+#: The columns of members by which a text is found.
+_MEMBER = ("member", "th", "sig", "cluster")
+
+
+def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """members (member, th, sig, cluster, n) with their class of sizes c (-1 in clusters of one block), the blocks of their cluster's class, and their own."""
+    totals = members.groupBy("cluster").agg(((F.count("*") <= BLOCK_ROWS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("one"))
+    # a little wider than the ratio of sizes of linked sets, for rounding
+    size = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    classed = members.join(totals, "cluster").withColumn("c", F.when(F.col("one"), F.lit(-1)).otherwise(size)).drop("one")
+    blocks = classed.groupBy("cluster", "c").agg(_blocks().alias("blocks"))
+    return classed.join(blocks, ["cluster", "c"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def _each(of: Column, named: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), of - 1)).alias(named)
+
+
+def _against_first(placed: DataFrame) -> DataFrame:
+    """Members dealt to tasks: each block with the first one of its class and the first one of the class below."""
+    own = placed.select(*_MEMBER, "c", "block")
+    large = placed.where("c >= 0")
+    classes = large.groupBy("cluster", "c").agg(F.first("blocks").alias("blocks"))
+    first = large.where("block = 0").select(*_MEMBER, "c", F.explode(F.array("c", F.col("c") + 1)).alias("to"))
+    told = first.join(classes.select("cluster", F.col("c").alias("to"), F.col("blocks").alias("other")), ["cluster", "to"])
+    sent = told.select(*_MEMBER, "c", "to", _each(F.col("other"), "block")).where("c <> to OR block <> 0").select(*_MEMBER, F.col("to").alias("c"), "block")
+    return own.unionByName(sent).select(*_MEMBER, F.xxhash64("c", "block").alias("task"))
+
+
+def _against_all(placed: DataFrame, rest: DataFrame) -> DataFrame:
+    """Members dealt to tasks: blocks of the rest with all blocks of their class and the neighbouring ones."""
+    counts = rest.groupBy("cluster", "c").agg(_blocks().alias("parts"))
+    parted = rest.join(counts, ["cluster", "c"]).withColumn("part", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int"))
+    near = F.explode(F.array(*[F.col("c") + d for d in (-1, 0, 1)]))
+    classes = placed.where("c >= 0").groupBy("cluster", "c").agg(F.first("blocks").alias("other")).withColumnRenamed("c", "to")
+    left = parted.select(*_MEMBER, "c", "part", near.alias("to")).join(classes, ["cluster", "to"]).select(*_MEMBER, "c", "part", "to", _each(F.col("other"), "block"))
+    told = placed.where("c >= 0").select(*_MEMBER, F.col("c").alias("to"), "block", near.alias("near")).join(counts.withColumnRenamed("c", "near"), ["cluster", "near"])
+    right = told.select(*_MEMBER, F.col("near").alias("c"), "to", "block", _each(F.col("parts"), "part"))
+    return left.unionByName(right).select(*_MEMBER, F.xxhash64("c", "part", "to", "block").alias("task"))
+
+
+def _roots(documents: DataFrame, classes: DataFrame, clusters: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """(sig, root) of the sets that are linked with others, from candidate clusters (node, root)."""
+    own = classes.select("sig", "n", F.col("first.k").alias("member"), F.col("first.th").alias("th"))
+    members = clusters.select(F.col("node").alias("sig"), F.col("root").alias("cluster")).join(own, "sig")
+    placed = stored(_in_blocks(members, percent), "blocks")
+    links = stored(verified_links(documents, stored(_against_first(placed), "members"), width, percent, key, text), "links")
+    found = components(links)
+    large = placed.where("c >= 0")
+    if not large.isEmpty():
+        named = large.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        most = named.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root"))["root"].alias("most"))
+        rest = stored(named.join(most, "cluster").where("root <> most").select(*_MEMBER, "n", "c"), "rest")
+        if not rest.isEmpty():
+            dealt = stored(_against_all(placed, rest), "members")
+            found = components(links.unionByName(verified_links(documents, dealt, width, percent, key, text)))
+    return found.select(F.col("node").alias("sig"), "root")
+
+
+def _labelled(documents: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """(key, th, n, component_id, first_key, first_th) of every row; first is the row of a component with the least key (nulls last), null for an empty set."""
+    sets = shingle_sets(documents, width, percent, key, text)
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "th"))
+    classes = sets.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), first.alias("first"))
+    chosen = stored(choose_levels(shared_tokens(sets), percent), "prefixes")
+    found = _roots(documents, classes, components(candidates(chosen, percent)), width, percent, key, text)
+    named = classes.join(found, "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    labels = named.join(least, "root").select(F.col("sig").alias("__sig"), F.col("least.k").alias("first_key"), F.col("least.th").alias("first_th"))
+    own = sets.select(F.col(key), "th", "n", F.when(F.col("n") > 0, F.col("sig")).alias("__own"))
+    joined = own.join(labels, F.col("__own") == F.col("__sig"), "left")
+    return joined.select(key, "th", "n", F.coalesce("first_key", key).alias("component_id"), "first_key", "first_th")
+
+
 def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the least key that links reach, its own for an empty set.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of shingles of `width` words.
     """
-    sets = shingle_sets(documents, width, percent, key, text)
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min(key).alias("member"), F.max("n").alias("n"))
-    chosen = stored(choose_levels(shared_tokens(sets), percent), "prefixes")
-    clusters = components(candidates(chosen, percent))
-    members = clusters.select(F.col("node").alias("sig"), F.col("root").alias("cluster")).join(classes, "sig")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("member", "sig", "cluster", "own", other).select("member", "sig", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = verified_links(documents, stored(dealt, "members"), width, percent, key, text)
-    found = components(links).select(F.col("node").alias("sig"), "root")
-    named = classes.join(found, "sig", "left").select("sig", "member", F.coalesce("root", "sig").alias("root"))
-    least = named.groupBy("root").agg(F.min("member").alias("component_id"))
-    labels = named.join(least, "root").select(F.col("sig").alias("__sig"), "component_id")
-    own = sets.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("__own"))
-    return own.join(labels, F.col("__own") == F.col("__sig"), "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return _labelled(documents, width, percent, key, text).select(key, F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_representatives(documents: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents without those of a component that aren't its least key; of rows with equal key and text one stays.
+    """documents without those of a component that aren't its first, the least key (nulls last); of rows with equal key and text one stays.
 
-    The keys that go are broadcast while they are few (8 bytes each, BROADCAST_ROWS at most), and joined by shuffle beyond.
+    A document is a key with a text, so of a key with two texts each is judged by itself. Rows of null key and an empty
+    set all stay. What goes is broadcast while it is little (16 bytes each, BROADCAST_ROWS at most), and joined by
+    shuffle beyond.
     """
-    found = stored(jaccard_components(documents, width, percent, key, text), "components")
-    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key)
+    found = stored(_labelled(documents, width, percent, key, text).select(F.col(key).alias("__k"), F.col("th").alias("__h"), "n", "first_key", "first_th"), "components")
+    first = F.col("__k").eqNullSafe(F.col("first_key")) & (F.col("__h") == F.col("first_th"))
+    gone = found.where((F.col("n") > 0) & ~first).select("__k", "__h")
+    source = documents.withColumn("__th", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h"))
 
-    def without(keys: DataFrame) -> DataFrame:
-        return documents.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_anti")
+    def without(df: DataFrame, rows: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, "left_anti")
 
-    repeated = stored(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    repeated = stored(found.where(F.col("__k").isNotNull() | (F.col("n") > 0)).groupBy("__k", "__h").count().where("count > 1").select("__k", "__h"), "repeated")
     if repeated.isEmpty():
-        return without(gone)
-    once = without(gone.unionByName(repeated))
-    more = documents.join(repeated, key, "left_semi").join(gone, key, "left_anti").dropDuplicates([key, text])
-    return once.unionByName(more.select(*documents.columns))
+        return without(source, gone).select(*[f"`{c}`" for c in documents.columns])
+    once = without(source, gone.unionByName(repeated))
+    more = without(source.join(repeated, same, "left_semi"), gone).dropDuplicates([key, text])
+    return once.unionByName(more).select(*[f"`{c}`" for c in documents.columns])

@@ -149,3 +149,52 @@ def test_components(spark):
     assert all(got[i] == -5 for i in range(1, 41)) and got[150] == got[100] == 100 and all(got[k] == 500 for k in range(500, 540))
     assert 60 not in got
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_through_null_and_repeated_keys(spark):
+    base = [f"x{i}" for i in range(100)]
+    texts = [" ".join(base[k : k + 85]) for k in (0, 6, 12)]  # neighbours link, ends don't
+    for middle in (None, 2, 1):
+        rows = [(1, texts[0]), (middle, texts[1]), (3, texts[2])]
+        got = J.jaccard_components(spark.createDataFrame(rows, DOC)).collect()
+        assert {r["component_id"] for r in got} == {1}, middle
+        kept = J.keep_representatives(spark.createDataFrame(rows, DOC), 4, 85).collect()
+        assert [r["doc_id"] for r in kept] == [1] and (middle == 1 or kept[0]["text"] == texts[0])
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, "other words here now"), (None, None), (None, None)]
+    got = J.jaccard_components(spark.createDataFrame(rows, DOC)).collect()
+    assert {r["component_id"] for r in got} == {None}
+    kept = sorted(r["text"] or "" for r in J.keep_representatives(spark.createDataFrame(rows, DOC), 4, 85).collect())
+    assert len(kept) == 4 and kept[:2] == ["", ""] and "other words here now" in kept
+
+
+def test_a_key_with_two_texts_keeps_the_one_of_its_own(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite other words in this one")]
+    kept = sorted(tuple(r) for r in J.keep_representatives(spark.createDataFrame(rows, DOC), 4, 85).collect())
+    assert kept == [(1, "a b c d e f"), (2, "quite other words in this one")]
+
+
+@pytest.mark.parametrize("rows_of_block", [4, 9])
+def test_large_clusters_in_blocks(spark, monkeypatch, rows_of_block):
+    """Unlike texts that share a passage are one cluster of many components and sizes."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", rows_of_block)
+    monkeypatch.setattr(J, "HOT", 2)
+    rnd = random.Random(12)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for g in range(30):
+        own = [f"g{g}w{rnd.randrange(999)}" for _ in range(rnd.randrange(20, 160))]
+        for _ in range(rnd.randrange(1, 6)):
+            w = own[: len(own) - rnd.randrange(4)]
+            rows.append((len(rows) + 1, " ".join(w[:5] + passage + w[5:])))
+    rnd.shuffle(rows)
+    assert found(spark, rows) == brute(rows, 4, 85)
+
+
+def test_classes_of_sizes_hold_all_links():
+    import math
+
+    for percent in (50, 80, 85, 99):
+        step = 1.0001 * math.log(100 / percent)
+        for n in range(1, 5000, 7):
+            least = -(-percent * n // 100)
+            assert math.floor(math.log(n) / step) - math.floor(math.log(max(least, 1)) / step) <= 1
