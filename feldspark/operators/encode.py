@@ -1,7 +1,7 @@
 """Encoders fitted on training rows: frequencies, ordinal codes, T/F maps and interactions.
 
 A vocabulary is a table (column, value, count, code); all columns are counted in one pass. Its size is bounded by
-`freq_top` values a column, so it is broadcast while that bound times the columns is small, and joined by shuffle beyond.
+`freq_top` values a column; a column's is broadcast while its values, which are counted, are few, and joined by shuffle beyond.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ ORDINAL = ("ProductCD", "card4", "card6", "DeviceType")
 TRUE_FALSE = tuple(f"M{i}" for i in range(1, 10))
 #: Rows of a vocabulary that may be broadcast (about 60 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Buckets of values that are ranked apart first.
-PARTS = 64
 
 
 def fit(train: DataFrame, columns: list[str], top: int = 50_000, missing: str = UNKNOWN) -> DataFrame:
@@ -30,33 +28,40 @@ def fit(train: DataFrame, columns: list[str], top: int = 50_000, missing: str =
     filled = train.select(*[S.text_of(F.col(f"`{c}`"), missing).alias(c) for c in columns])
     counts = stats.value_counts(filled, columns)
     # the most frequent of each bucket of values first, so that no task ranks all values of a column
+    parts = stats.parts_of(train.count())
     order = [F.desc("count"), F.col("value")]
-    bucketed = counts.withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(PARTS)))
+    bucketed = counts.withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(parts)))
     ahead = bucketed.withColumn("__n", F.row_number().over(Window.partitionBy("column", "__part").orderBy(*order))).where(F.col("__n") <= top)
     ranked = ahead.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy(*order)) - 1)
     return ranked.where(F.col("code") < top).select("column", "value", "count", "code")
 
 
-def _lookup(df: DataFrame, vocabulary: DataFrame, column: str, of: str, into: str, missing: str, default: Column) -> DataFrame:
+def sizes(vocabulary: DataFrame) -> dict[str, int]:
+    """Values of each column, in one job."""
+    return {r["column"]: r["count"] for r in vocabulary.groupBy("column").count().collect()}
+
+
+def _lookup(df: DataFrame, vocabulary: DataFrame, column: str, of: str, into: str, missing: str, default: Column, size: int | None = None) -> DataFrame:
     words = vocabulary.where(F.col("column") == column).select(F.col("value").alias("__value"), F.col(of).alias("__found"))
-    words = F.broadcast(words) if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else words
+    size = words.limit(BROADCAST_ROWS + 1).count() if size is None else size
+    words = F.broadcast(words) if size <= BROADCAST_ROWS else words
     keyed = df.withColumn("__text", S.text_of(F.col(f"`{column}`"), missing))
     joined = keyed.join(words, F.col("__text") == F.col("__value"), "left")
     return joined.select(*[f"`{c}`" for c in df.columns if c != into], F.coalesce("__found", default).alias(into))
 
 
-def apply_frequency(df: DataFrame, vocabulary: DataFrame, column: str, into: str | None = None, total: int | None = None, missing: str = UNKNOWN) -> DataFrame:
+def apply_frequency(df: DataFrame, vocabulary: DataFrame, column: str, into: str | None = None, total: int | None = None, missing: str = UNKNOWN, size: int | None = None) -> DataFrame:
     """df with the training count of each row's value, 0 for one not seen; with `total`, its share of that."""
     into = into or f"{column}_freq"
-    found = _lookup(df, vocabulary, column, "count", into, missing, F.lit(0).cast("long"))
+    found = _lookup(df, vocabulary, column, "count", into, missing, F.lit(0).cast("long"), size)
     value = F.col(into).cast("double") if total is None else F.col(into) / F.lit(float(max(total, 1)))
     return found.withColumn(into, value)
 
 
-def apply_ordinal(df: DataFrame, vocabulary: DataFrame, column: str, into: str | None = None, missing_code: int | None = None, missing: str = UNKNOWN) -> DataFrame:
+def apply_ordinal(df: DataFrame, vocabulary: DataFrame, column: str, into: str | None = None, missing_code: int | None = None, missing: str = UNKNOWN, size: int | None = None) -> DataFrame:
     """df with the code of each row's value, -1 for one not seen. A missing value has the code of `unknown`, or missing_code if given."""
     into = into or column
-    found = _lookup(df, vocabulary, column, "code", "__code", missing, F.lit(-1))
+    found = _lookup(df, vocabulary, column, "code", "__code", missing, F.lit(-1), size)
     code = F.col("__code") if missing_code is None else F.when(F.col(f"`{column}`").isNull(), missing_code).otherwise(F.col("__code"))
     return found.select(*[f"`{c}`" for c in df.columns if c != into], code.cast("int").alias(into))
 
@@ -80,12 +85,13 @@ def transform(df: DataFrame, vocabulary: DataFrame, columns: dict[str, list[str]
     """All encodings of the plan; the strings they came from go. flags_by_code: M columns that aren't T and F alone."""
     out = df
     n = total if cfg.freq_normalize else None
+    known = sizes(vocabulary)
     for c in columns["frequency"]:
-        out = apply_frequency(out, vocabulary, c, total=n)
+        out = apply_frequency(out, vocabulary, c, total=n, size=known.get(c, 0))
     for c in columns["pair"]:
-        out = apply_frequency(out, vocabulary, c, "card_addr_freq", total=n)
+        out = apply_frequency(out, vocabulary, c, "card_addr_freq", total=n, size=known.get(c, 0))
     for c in columns["ordinal"] + list(flags_by_code):
-        out = apply_ordinal(out, vocabulary, c, missing_code=cfg.missing_code)
+        out = apply_ordinal(out, vocabulary, c, missing_code=cfg.missing_code, size=known.get(c, 0))
     mapped = [c for c in columns["true_false"] if c not in flags_by_code]
     added = []
     if "card1_freq" in out.columns:

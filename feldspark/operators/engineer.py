@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import scalars as S
+from . import stats
+from .tables import kept
 
 # Columns whose missing values are counted together.
 CRUCIAL = ("card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2", "P_emaildomain")
@@ -40,37 +42,69 @@ def card_key(df: DataFrame, cfg: Config = Config()) -> Column:  # noqa: B008
 def key_ids(df: DataFrame, key: Column, into: str = "card_key_id") -> DataFrame:
     """df with the number of each row's key among the distinct keys in their order, from 0.
 
-    Distinct keys alone are sorted, in buckets by their first characters, which keep the order of the whole.
+    Distinct keys alone are sorted, in ranges of keys; the rows are then joined with them.
     """
     keyed = df.withColumn("__key", key)
-    distinct = keyed.select("__key").distinct()
-    bucketed = distinct.withColumn("__part", F.substring("__key", 1, 3))
-    sizes = bucketed.groupBy("__part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("__part").alias("__p"), before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
-    ids = bucketed.withColumn("__own", own).join(offsets, F.col("__part") == F.col("__p")).select("__key", (F.col("__before") + F.col("__own")).cast("int").alias(into))
-    return keyed.join(ids, "__key").drop("__key").select(*[c for c in df.columns if c != into], into)
+    ids = stats.positions(keyed.select("__key").distinct(), ["__key"], "__id")
+    return keyed.join(ids, "__key").select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.col("__id").cast("int").alias(into))
+
+
+def running_count(df: DataFrame, key: list[str], order: list[str], into: str) -> DataFrame:
+    """df with how many rows of the same key come before each in the order given; null keys are one key."""
+    return df.withColumn(into, (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long"))
 
 
 def history(df: DataFrame, key: list[str], time: str = "TransactionDT", row: str = "TransactionID", amount: str = "TransactionAmt") -> DataFrame:
     """card_prior_txn_count, card_is_first_seen, card_time_since_last, card_velocity and amt_to_avg_card_ratio.
 
-    Each depends on the card's earlier rows alone: those before it in (time, row).
+    Each depends on the card's earlier rows alone: those before it in (time, row). Rows of a card that has more than a
+    task sorts are parted by slices of time, and what lies in the slices before is added.
     """
-    w = Window.partitionBy(*key).orderBy(time, row)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    n = (F.row_number().over(w) - 1).cast("long")
-    spent = F.coalesce(F.sum(F.col(amount).cast("double")).over(before), F.lit(0.0))
-    with_history = df.select("*", n.alias("__n"), spent.alias("__spent"), F.lag(time).over(w).alias("__last"), F.first(time).over(w).alias("__first"))
+    rows = df.count()
+    sliced, before = _slices(df, key, time, amount) if rows > stats.PART_ROWS else (df.withColumn("__slice", F.lit(0)), None)
+    w = Window.partitionBy(*key, "__slice").orderBy(time, row)
+    spent = F.coalesce(F.sum(F.col(amount).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    found = sliced.select("*", (F.row_number().over(w) - 1).cast("long").alias("__n"), spent.alias("__spent"), F.lag(time).over(w).alias("__last"), F.first(time).over(w).alias("__first"))
+    if before is not None:
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        joined = found.join(F.broadcast(before), [*same, F.col("__slice") == F.col("__of")], "left")
+        found = joined.select(
+            *[F.col(f"`{c}`") for c in df.columns], (F.col("__n") + zero("__before_n")).alias("__n"), (F.col("__spent") + zero("__before_spent")).alias("__spent"),
+            F.coalesce("__last", "__before_last").alias("__last"), F.coalesce("__before_first", "__first").alias("__first"),
+        )
     n, dt = F.col("__n"), F.col(time)
     ratio = F.when(n == 0, F.lit(1.0)).otherwise(S.clip(S.divide(F.col(amount).cast("double"), S.divide(F.col("__spent"), n)), 0.0, 100.0))
-    return with_history.select(
+    return found.select(
         *df.columns, n.cast("int").alias("card_prior_txn_count"), (n == 0).cast("tinyint").alias("card_is_first_seen"), F.coalesce(F.log1p((dt - F.col("__last")).cast("double")), F.lit(-1.0)).alias("card_time_since_last"),
         (n / ((dt - F.col("__first")) / 86400.0 + 1)).alias("card_velocity"), ratio.alias("amt_to_avg_card_ratio"),
     )
 
 
+def _slices(df: DataFrame, key: list[str], time: str, amount: str) -> tuple[DataFrame, DataFrame | None]:
+    """df with the slice of time that a row of a hot card is in (0 for others), and for each slice of a hot card the sums of those before it.
+
+    Hot cards have over PART_ROWS rows each, so they and their slices are few: rows over PART_ROWS.
+    """
+    names = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(key)]
+    counts = df.groupBy(*names).count().where(F.col("count") > stats.PART_ROWS)
+    hot = counts.select(*[f"__k{i}" for i in range(len(key))], F.ceil(F.col("count") / stats.PART_ROWS).cast("int").alias("__slices"))
+    hot = kept(hot)
+    if hot.isEmpty():
+        return df.withColumn("__slice", F.lit(0)), None
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    own = [f"__k{i}" for i in range(len(key))]
+    most = hot.agg(F.max("__slices")).first()[0]
+    shares = [i / most for i in range(1, most)]
+    edges = kept(df.join(F.broadcast(hot), same).groupBy(*own).agg(F.array_distinct(F.percentile_approx(F.col(time).cast("double"), shares, 10 * most)).alias("__edges")))
+    marked = df.join(F.broadcast(edges), same, "left").withColumn("__slice", F.coalesce(stats.bucket_of(F.col(time).cast("double"), F.col("__edges")), F.lit(0)))
+    sums = marked.where("__edges IS NOT NULL").groupBy(*own, F.col("__slice").alias("__of")).agg(F.count("*").alias("n"), F.sum(F.col(amount).cast("double")).alias("s"), F.min(time).alias("first"), F.max(time).alias("last"))
+    w = Window.partitionBy(*own).orderBy("__of")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*own, "__of", F.sum("n").over(earlier).alias("__before_n"), F.sum("s").over(earlier).alias("__before_spent"), F.max("last").over(earlier).alias("__before_last"), F.min("first").over(Window.partitionBy(*own)).alias("__before_first"))
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], "__slice"), kept(before)
+
+
 def row_flags(df: DataFrame) -> DataFrame:
     """missing_crucial_info (how many of nine are missing) and email_match, for the columns that there are."""
     out = df.withColumn("missing_crucial_info", S.null_count([F.col(c) for c in CRUCIAL if c in df.columns]).cast("tinyint"))

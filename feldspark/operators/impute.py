@@ -45,9 +45,14 @@ def standardised(c: str, mean: float, std: float) -> Column:
     return F.coalesce((F.col(f"`{c}`").cast("double") - F.lit(mean)) / F.lit(std), F.lit(0.0))
 
 
+def hashed(key: Column, seed: int) -> Column:
+    """The hash by which rows are picked: md5 of key and seed, which any SQL has."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def reference(train: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n training rows: those with the least hashes of key and seed, whatever the partitioning. Keys are picked first, then joined."""
-    picked = train.select(key).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    picked = train.select(key).orderBy(hashed(F.col(key), seed), key).limit(n)
     return train.join(F.broadcast(picked), key)
 
 
@@ -96,9 +101,10 @@ def knn_fill(df: DataFrame, ref: DataFrame, key: str, anchor_columns: list[Colum
     spark = df.sparkSession
     names = [f"__a{i}" for i in range(len(anchor_columns))]
     own = [F.col(f"`{c}`").cast("double").alias(c) for c in targets]
+    rows, width = ref.count(), 1 + len(names) + len(own)
+    if rows * width > REFERENCE_VALUES:
+        raise ValueError(f"a reference of {rows} rows and {width} columns is too large; lower knn_ref")
     base = ref.select(F.col(key).alias("__key"), *[a.alias(n) for a, n in zip(anchor_columns, names, strict=True)], *own).orderBy("__key").toPandas()
-    if base.shape[0] * base.shape[1] > REFERENCE_VALUES:
-        raise ValueError(f"a reference of {base.shape[0]} rows and {base.shape[1]} columns is too large; lower knn_ref")
     shared = spark.sparkContext.broadcast((base[names].to_numpy(np.float64), base[targets].to_numpy(np.float64)))
     rest = [c for c in df.columns if c not in targets]
     schema = df.select(*[f"`{c}`" for c in rest]).schema

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..roles import NUMERIC
+from .tables import kept
 
-#: Columns of one aggregation, rows that an order statistic is read from at last, bounds that a column's values are parted by.
-BLOCK, GATHER, BOUNDS = 48, 200_000, 64
+#: Columns of one aggregation, rows of a bracket that one task counts, rows that one task sorts (about).
+BLOCK, GATHER, PART_ROWS = 48, 200_000, 1_000_000
 
 
 def blocks(columns: list[str], size: int = BLOCK) -> Iterable[list[str]]:
@@ -88,7 +89,8 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
     """Exact quantiles with linear interpolation; None for a column without values.
 
     Order statistics are bracketed by approximate quantiles until a bracket holds no more than GATHER rows, which are
-    then counted by value: no task ever sorts or holds a column, at any number of rows.
+    then counted by value and added up on the executors: no task ever sorts or holds a column, at any number of rows, and
+    what comes to the driver is the values asked for.
     """
     out: dict[str, list[float] | None] = {}
     for part in blocks(columns):
@@ -102,20 +104,9 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
         while open_:
             small = {k: v for k, v in open_.items() if v[0] <= GATHER}
             if small:
-                by_column = {c: [k for k in small if k[0] == c] for c in {k[0] for k in small}}
-                inside = [_q(c).cast("double").isNotNull() & _any(_within(c, k) for k in ks) for c, ks in by_column.items()]
-                pairs = F.array(*[F.when(w, F.struct(F.lit(c).alias("column"), _q(c).cast("double").alias("value"))) for w, c in zip(inside, by_column, strict=True)])
-                rows = df.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x")).groupBy("x.column", "x.value").count().collect()
-                values: dict[str, list[tuple[float, int]]] = {c: [] for c in by_column}
-                for r in rows:
-                    values[r["column"]].append((r["value"], r["count"]))
-                for (c, low, high), (_, ranks) in small.items():
-                    at, todo = 0, sorted(ranks)
-                    for v, k in sorted(x for x in values[c] if low < x[0] <= high or low == float("-inf") == x[0]):
-                        while todo and _offset(ranks, todo[0]) < at + k:
-                            wanted[c][todo.pop(0)] = v
-                        at += k
-                    del open_[c, low, high]
+                _read_ranks(df, small, wanted)
+                for k in small:
+                    del open_[k]
                 continue
             open_ = _narrowed(df, open_, wanted)
         for c in part:
@@ -124,6 +115,26 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
     return out
 
 
+def _read_ranks(df: DataFrame, brackets: dict, wanted: dict) -> None:
+    """The values at the ranks of small brackets, by running counts of the values of each."""
+    keys = list(brackets)
+    columns = list(dict.fromkeys(k[0] for k in keys))
+    own = {c: [i for i, k in enumerate(keys) if k[0] == c] for c in columns}
+    value = {c: _q(c).cast("double") for c in columns}
+    # brackets of a column don't overlap
+    which = {c: F.coalesce(*[F.when(_within(c, keys[i]) & value[c].isNotNull(), F.lit(i)) for i in own[c]]) for c in columns}
+    pairs = F.array(*[F.struct(which[c].alias("i"), value[c].alias("value")) for c in columns])
+    rows = df.select(F.inline(pairs)).where("i IS NOT NULL")
+    counts = rows.groupBy("i", "value").count()
+    after = F.sum("count").over(Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    places = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(i), F.array(*[F.lit(_offset(brackets[k][1], r)).cast("long") for r in sorted(brackets[k][1])]))])
+    summed = counts.withColumn("after", after).withColumn("before", F.col("after") - F.col("count")).withColumn("places", places[F.col("i")])
+    hit = F.filter("places", lambda r: (r >= F.col("before")) & (r < F.col("after")))
+    for r in summed.select("i", "value", hit.alias("hit")).where(F.size("hit") > 0).collect():
+        ranks = brackets[keys[r["i"]]][1]
+        wanted[keys[r["i"]][0]] |= {x + getattr(ranks, "below", 0): r["value"] for x in r["hit"]}
+
+
 class _Ranks(set):
     """Ranks with the number of values below their bracket."""
 
@@ -134,13 +145,6 @@ def _offset(ranks: set, r: int) -> int:
     return r - getattr(ranks, "below", 0)
 
 
-def _any(conditions) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
-
-
 def _within(c: str, key: tuple[str, float, float]) -> Column:
     _, low, high = key
     out = F.lit(True)
@@ -188,49 +192,55 @@ def _interpolated(values: dict[int, float], p: float, n: int) -> float:
     return float(a + (b - a) * (at - low))
 
 
-def bounds(df: DataFrame, columns: list[str], parts: int = BOUNDS) -> dict[str, list[float]]:
-    """Rising values that part each column into about equal pieces; any values would do, so approximate quantiles are fine."""
-    shares = [i / parts for i in range(1, parts)]
-    found = _per_column(df, columns, q=lambda c: F.percentile_approx(_q(c).cast("double"), shares, 1000))
-    return {c: sorted(set(v["q"] or [])) for c, v in found.items()}
-
-
 def bucket_of(value: Column, edges: Column) -> Column:
     """How many edges are at or below the value."""
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
+def parts_of(rows: int) -> int:
+    """Parts in which a task has about PART_ROWS rows."""
+    return max(1, -(-rows // PART_ROWS))
+
+
 def positions(df: DataFrame, order: list[str], into: str = "position") -> DataFrame:
-    """df with each row's number in the order given, from 0. The first column of the order parts the rows into buckets of
-    its values, whose counts are added up; rows are numbered within their bucket, so nothing is sorted in one task."""
-    edges = F.array(*[F.lit(x) for x in bounds(df.select(F.col(order[0]).cast("double").alias("o")), ["o"])["o"]]).cast("array<double>")
-    parted = df.withColumn("__bucket", F.coalesce(bucket_of(F.col(order[0]).cast("double"), edges), F.lit(-1)))
-    sizes = parted.groupBy("__bucket").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("__bucket").alias("__b"), before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
-    return parted.withColumn("__own", own).join(F.broadcast(offsets), F.col("__bucket") == F.col("__b")).select(*[_q(c) for c in df.columns], (F.col("__before") + F.col("__own")).cast("long").alias(into))
+    """df with each row's number in the order given, from 0; nulls come first, rows that are equal in all of the order in any order.
+
+    Rows are parted by ranges of the whole order, as many as their number asks for, so rows of one time may be in several
+    parts; each part is sorted and numbered, and the numbers of rows in the parts before are added.
+    """
+    ranged = df.repartitionByRange(parts_of(df.count()), *order).sortWithinPartitions(*order)
+    # the number of a row within its part, and the part's number above
+    numbered = kept(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).cast("int")
+    offsets, total = [], 0
+    for r in sorted(numbered.groupBy(part.alias("part")).count().collect()):
+        offsets.append((r["part"], total))
+        total += r["count"]
+    told = df.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    own = (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(into)
+    return numbered.join(F.broadcast(told), part == F.col("__part")).select(*[_q(c) for c in df.columns if c != into], own)
 
 
 def auc(df: DataFrame, columns: list[str], label: str, ties: str = "average", order: list[str] | None = None) -> dict[str, float]:
     """Area under the curve of each column against a 0/1 label, the better of both directions; nulls and NaN are 0.
 
     ties "average" gives equal values their mean rank; "ordinal" numbers them in the order of `order`. 0.5 if a class is empty.
-    Rows are counted by value first, and ranks are sums of the counts before, by buckets of values.
+    Rows are counted by value first, and ranks are sums of the counts before. Counts are parted by ranges of values (and of
+    the order, where that tells equal values apart), as many as the rows ask for.
     """
     out: dict[str, float] = {}
     zero = lambda c: F.coalesce(F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double")), F.lit(0.0))
+    ordered = order or [] if ties == "ordinal" else []
+    n = df.count()
     for part in blocks(columns):
-        clean = df.select(F.col(label).cast("int").alias("__y"), *(order or []), *[zero(c).alias(f"`{c}`".strip("`")) for c in part if c not in (order or [])])
-        edges = bounds(clean, part)
-        table = F.create_map(*[x for c in part for x in (F.lit(c), F.array(*[F.lit(float(e)) for e in edges[c]]).cast("array<double>"))])
-        keys = ["column", "bucket", "value"] + (order or [] if ties == "ordinal" else [])
-        rows = long_form(clean, part, "double", "__y", *(order or []) if ties == "ordinal" else ()).withColumn("bucket", bucket_of(F.col("value"), table[F.col("column")]))
-        counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum((F.col("__y") == 1).cast("long")).alias("pos"))
+        clean = df.select(F.col(label).cast("int").alias("__y"), *ordered, *[zero(c).alias(c) for c in part if c not in ordered])
+        keys = ["column", "value", *ordered]
+        counts = long_form(clean, part, "double", "__y", *ordered).groupBy(*keys).agg(F.count("*").alias("n"), F.sum((F.col("__y") == 1).cast("long")).alias("pos"))
+        counts = kept(counts.repartitionByRange(parts_of(n * len(part)), *keys).withColumn("bucket", F.spark_partition_id()))
         sizes = counts.groupBy("column", "bucket").agg(F.sum("n").alias("size"))
         before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select("column", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-        inside = Window.partitionBy("column", "bucket").orderBy("value", *(order or [] if ties == "ordinal" else [])).rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("column", "bucket").orderBy("value", *ordered).rowsBetween(Window.unboundedPreceding, -1)
         ranked = counts.withColumn("less", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), ["column", "bucket"])
         sums = ranked.groupBy("column").agg(F.sum(F.col("pos") * (F.col("offset") + F.col("less") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("pos"), F.sum("n").alias("n")).collect()
         for r in sums:

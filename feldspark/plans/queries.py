@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import roles
 from ..config import Config
 from ..functions import scalars as S
-from ..operators import checks, clean, encode, engineer, flags, impute, reduce, scale, split, stats, winsor
-from ..sources import adapters, sinks
+from ..operators import checks, clean, encode, engineer, flags, impute, reduce, scale, split, stats, tables, winsor
+from ..sources import adapters, readers, sinks
+from .pipeline import Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,14 +63,20 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORD = "ord AS (SELECT o_orderkey AS TransactionID, CAST(floor(epoch(o_orderdate)) AS BIGINT) - 788918400 AS TransactionDT, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS isFraud, o_totalprice AS TransactionAmt, o_custkey AS card1, o_orderpriority AS ProductCD FROM orders)"
-IDENTITY = "SELECT c_custkey AS TransactionID, c_name AS id_name, c_acctbal AS id_01, c_mktsegment AS DeviceType FROM customer WHERE c_custkey % 4 <> 0"
-JOINED = f"j AS (SELECT o.o_orderkey AS id, o.o_orderpriority AS prio, o.o_totalprice AS amt, o.o_custkey AS cust, i.id_01, i.DeviceType FROM orders o LEFT JOIN ({IDENTITY}) i ON o.o_custkey = i.TransactionID)"
+# every customer is an identity row, of the order whose key is four times its own
+IDENTITY = "SELECT c_custkey * 4 AS TransactionID, c_acctbal AS id_01, c_mktsegment AS DeviceType FROM customer"
+JOINED = f"j AS (SELECT o.o_orderkey AS id, o.o_orderpriority AS prio, o.o_totalprice AS amt, o.o_custkey AS cust, i.id_01, i.DeviceType FROM orders o LEFT JOIN ({IDENTITY}) i ON o.o_orderkey = i.TransactionID)"
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("prio"), F.col("o_totalprice").alias("amt"), F.col("o_custkey").alias("cust"))
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("cust"), F.col("c_acctbal").alias("id_01"), F.col("c_mktsegment").alias("DeviceType"))
-    return o.join(c, "cust", "left").select("id", "prio", "amt", "cust", "id_01", "DeviceType")
+    o = readers.parquet(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey"]).toDF("TransactionID", "prio", "amt", "cust")
+    c = readers.parquet(spark, f"{sf_dir}/customer.parquet").select((F.col("c_custkey") * 4).alias("TransactionID"), F.col("c_acctbal").alias("id_01"), F.col("c_mktsegment").alias("DeviceType"))
+    return readers.join_identity(o, c).withColumnRenamed("TransactionID", "id").select("id", "prio", "amt", "cust", "id_01", "DeviceType")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared one, for queries that write files and read them again."""
+    return f"{tables.shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def sizes(df: DataFrame) -> Config:
@@ -200,10 +208,61 @@ def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.head_sample(orders(spark, sf_dir), 500).select("TransactionID", "TransactionDT")
 
 
-@query("SELECT vec_id FROM embeddings ORDER BY (vec_id * 7919 + 13) % 1009, vec_id LIMIT 100")
+@query("SELECT vec_id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id LIMIT 100")
 def reference_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample by an arithmetic hash of the key, so that it is the same at every partitioning."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").orderBy(F.expr("(vec_id * 7919 + 13) % 1009"), "vec_id").limit(100)
+    """The rows that an imputation refers to, the same at every partitioning."""
+    return impute.reference(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id"), "vec_id", 100, Config().seed)
+
+
+# --- sources ---
+
+_CSV = {"TransactionID": "o_orderkey", "TransactionDT": "o_orderkey * 60", "isFraud": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END", "TransactionAmt": "o_totalprice", "ProductCD": "o_orderpriority", "card1": "o_custkey"}
+_CSV_ID = {"TransactionID": "c_custkey * 4", "id-01": "c_acctbal", "id-12": "c_mktsegment", "DeviceType": "c_name"}
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Transactions and identities as CSV files with the names of the canonical schema, and a folder for what is made of them."""
+    folder = scratch(spark, "csv")
+    for name, source, columns in (("t", "orders", _CSV), ("i", "customer", _CSV_ID)):
+        spark.read.parquet(f"{sf_dir}/{source}.parquet").select(*[F.expr(e).alias(c) for c, e in columns.items()]).write.csv(f"{folder}/{name}", header=True)
+    return f"{folder}/t", f"{folder}/i", f"{folder}/source"
+
+
+_CSV_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _CSV.items()) + " FROM orders"
+
+
+@query(f"WITH t AS ({_CSV_SQL}) SELECT CAST(TransactionID AS BIGINT) AS id, TransactionDT AS dt, CAST(isFraud AS BIGINT) AS y, round(CAST(CAST(TransactionAmt AS FLOAT) AS DOUBLE), 2) AS amt, ProductCD AS prod, CAST(card1 AS BIGINT) AS card1 FROM t")
+def typed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = readers.typed_csv(spark, csv_files(spark, sf_dir)[0])
+    return got.select(F.col("TransactionID").cast("long").alias("id"), F.col("TransactionDT").alias("dt"), F.col("isFraud").cast("long").alias("y"), F.round(F.col("TransactionAmt").cast("double"), 2).alias("amt"), F.col("ProductCD").alias("prod"), F.col("card1").cast("long").alias("card1"))
+
+
+@query("SELECT c_custkey * 4 AS id, round(CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE), 2) AS id_01, c_mktsegment AS id_12, c_name AS device FROM customer")
+def identity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = readers.identity_csv(spark, csv_files(spark, sf_dir)[1])
+    return got.select(F.col("TransactionID").cast("long").alias("id"), F.round(F.col("id_01").cast("double"), 2).alias("id_01"), "id_12", F.col("DeviceType").alias("device"))
+
+
+@query("SELECT c_custkey * 4 AS id, c_acctbal AS bal, c_mktsegment AS seg FROM customer")
+def inferred_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = readers.normalise_names(readers.inferred_csv(spark, csv_files(spark, sf_dir)[1]))
+    return got.select(F.col("TransactionID").cast("long").alias("id"), F.col("id_01").alias("bal"), F.col("id_12").alias("seg"))
+
+
+@query(f"WITH t AS ({_CSV_SQL}), i AS (SELECT c_custkey * 4 AS k, c_mktsegment AS seg FROM customer) SELECT count(*) AS n, count(seg) AS n_matched, sum(CASE WHEN isFraud = 1 AND seg IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_fraud_alone, (SELECT count(*) FROM t) = count(*) AS same_rows, 1 AS n_missing FROM t LEFT JOIN i ON TransactionID = k")
+def csv_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined source: made once, taken as it is the next time, made anew if forced; a file that isn't there is an error."""
+    t, i, out = csv_files(spark, sf_dir)
+    n = readers.csv_to_parquet(spark, t, i, out).count()
+    missing = 0
+    try:
+        readers.csv_to_parquet(spark, f"{t}-none", i, f"{out}-none")
+    except FileNotFoundError:
+        missing = 1
+    again = readers.csv_to_parquet(spark, f"{t}-none", i, out).count()  # taken as it is
+    got = readers.csv_to_parquet(spark, t, i, out, force=True)
+    counts = got.agg(F.count("*").alias("n"), F.count("id_12").alias("n_matched"), F.count_if((F.col("isFraud") == 1) & F.col("id_12").isNull()).alias("n_fraud_alone"))
+    return counts.select("*", F.lit(again == n).alias("same_rows"), F.lit(missing).alias("n_missing"))
 
 
 # --- cleaning ---
@@ -331,12 +390,21 @@ def tf_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn(spark, sf_dir).select("TransactionID", S.true_false(F.col("M1")).cast("int").alias("m1"))
 
 
-@query(f"""WITH {TXN}, {_VOCAB('card1')}, {_VOCAB('addr1')} SELECT TransactionID, round({_FOUND('addr1', 'n', 0)} * ln(1 + TransactionAmt), 5) AS addr_x_log, round({_FOUND('card1', 'n', 0)} * TransactionAmt, 5) AS card_x_amt FROM txn""")
+@query(f"""WITH {TXN}, {_VOCAB('card1')}, {_VOCAB('addr1')}, {_VOCAB('card4')}, h AS (SELECT TransactionID, row_number() OVER w - 1 AS n, TransactionAmt AS a,
+        coalesce(sum(TransactionAmt) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM txn WINDOW w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
+    r AS (SELECT TransactionID, CASE WHEN n = 0 THEN 1 ELSE greatest(0, least(100, a / (spent / n))) END AS ratio FROM h)
+    SELECT txn.TransactionID, round({_FOUND('addr1', 'n', 0)} * ln(1 + TransactionAmt), 5) AS addr_x_log, round({_FOUND('card1', 'n', 0)} * ratio, 4) AS card_x_ratio, round(ln(1 + {_FOUND('card1', 'n', 0)}), 6) AS card1_freq_log,
+        {_FOUND('card4', 'code', -1)} AS card4, CASE M1 WHEN 'T' THEN 1 WHEN 'F' THEN 0 ELSE -1 END AS m1, 0 AS n_strings FROM txn JOIN r USING (TransactionID)""")
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = engineer.amounts(txn(spark, sf_dir))
-    v = encode.fit(df.where(_HALF), ["card1", "addr1"])
-    out = encode.apply_frequency(encode.apply_frequency(df, v, "card1"), v, "addr1")
-    return out.select("TransactionID", rounded(F.col("addr1_freq") * F.col("TransactionAmt_log"), 5).alias("addr_x_log"), rounded(F.col("card1_freq") * F.col("TransactionAmt"), 5).alias("card_x_amt"))
+    """The whole encoding: frequencies, codes, T and F, products, and no string left."""
+    df = engineer.history(engineer.amounts(txn(spark, sf_dir)), ["card1"])
+    columns = {"frequency": ["card1", "addr1"], "pair": [], "true_false": ["M1"], "ordinal": ["card4"]}
+    v = encode.fit(df.where(_HALF), ["card1", "addr1", "card4", "M1"])
+    out = encode.transform(df, v, columns, Config())
+    return out.select(
+        "TransactionID", rounded("addr1_freq_x_amt_log", 5).alias("addr_x_log"), rounded("card1_freq_x_ratio", 4).alias("card_x_ratio"), rounded("card1_freq_log").alias("card1_freq_log"), F.col("card4").cast("long").alias("card4"),
+        F.col("M1").cast("int").alias("m1"), F.lit(len(roles.strings(out))).alias("n_strings"),
+    )
 
 
 # --- flags ---
@@ -411,6 +479,16 @@ def skew_log1p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, [(c, p.get("transform", "none")) for c, p in found.items()], "column string, transform string")
 
 
+_MADE = lambda c: f"CASE WHEN abs({_SKEW(c, 'cl')}) <= 0.9 THEN {_CLIP(c)} WHEN (SELECT min({c}) FROM cl) >= 0 THEN ln(1 + {_CLIP(c)}) ELSE sign({_CLIP(c)}) * ln(1 + abs({_CLIP(c)})) END"
+
+
+@query(f"WITH {KEYED}, cl AS (SELECT " + ", ".join(f"{_CLIP(c)} AS {c}" for c in _SHAPED) + f" FROM tr) SELECT {_ID}, " + ", ".join(f"round({_MADE(c)}, 5) AS {c}" for c in _SHAPED) + " FROM li")
+def winsor_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = keyed(spark, sf_dir)
+    out = winsor.transform(df, winsor.fit(train(df), list(_SHAPED), Config(skew_abs=0.9)))
+    return out.select(*_ID.split(", "), *[rounded(c, 5).alias(c) for c in _SHAPED])
+
+
 @query("SELECT c_custkey, round(sign(c_acctbal) * ln(1 + abs(c_acctbal)), 6) AS y FROM customer")
 def signed_log1p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", rounded(S.signed_log1p(F.col("c_acctbal"))).alias("y"))
@@ -472,7 +550,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("TransactionID"), *[at(i).alias(f"a{i}") for i in range(4)], F.when(F.col("vec_id") % 3 != 0, at(4)).alias("t1"), F.when(F.col("vec_id") % 5 != 1, at(5)).alias("t2"))
 
 
-_VEC = "e AS (SELECT vec_id AS id, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 4) AS a{i}" for i in range(4)) + ", CASE WHEN vec_id % 3 <> 0 THEN round(CAST(embedding[5] AS DOUBLE), 4) END AS t1, CASE WHEN vec_id % 5 <> 1 THEN round(CAST(embedding[6] AS DOUBLE), 4) END AS t2 FROM embeddings WHERE vec_id < 500)"
+_VEC = "e AS (SELECT vec_id AS id, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 4) AS a{i}" for i in range(4)) + ", CASE WHEN vec_id % 3 <> 0 THEN round(CAST(embedding[5] AS DOUBLE), 4) END AS t1, CASE WHEN vec_id % 5 <> 1 THEN round(CAST(embedding[6] AS DOUBLE), 4) END AS t2 FROM embeddings)"
 
 
 @query(
@@ -488,16 +566,33 @@ def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("TransactionID").alias("id"), rounded("t1").alias("t1"), rounded("t2").alias("t2"))
 
 
-@query()
+_OWN = ("a0", "a1", "t1", "t2")
+_ALL = " AND ".join(f"{c} IS NOT NULL" for c in _OWN)
+_NEAR = "m AS (SELECT id, avg(t1) AS t1, avg(t2) AS t2 FROM d WHERE k <= 5 GROUP BY id)"
+
+
+@query(
+    f"WITH {_VEC}, c AS (SELECT * FROM e WHERE {_ALL}), s AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _OWN) + " FROM c), z AS (SELECT e.id, t1, t2, " + ", ".join(f"coalesce(({c} - m_{c}) / s_{c}, 0) AS z_{c}" for c in _OWN)
+    + f" FROM e, s), y AS (SELECT z.* FROM z JOIN c USING (id)), d AS (SELECT q.id, r.t1, r.t2, row_number() OVER (PARTITION BY q.id ORDER BY round(" + " + ".join(f"power(q.z_{c} - r.z_{c}, 2)" for c in _OWN) + f", 9), r.id) AS k FROM z q, y r), {_NEAR} "
+    "SELECT e.id, round(coalesce(e.t1, m.t1), 6) AS t1, round(coalesce(e.t2, m.t2), 6) AS t2 FROM e JOIN m ON e.id = m.id"
+)
 def knn_self_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = vectors(spark, sf_dir)
-    return impute.knn_self_anchor(df, df, ["a0", "a1", "t1", "t2"], Config().knn_k, Config().knn_ref, Config().seed)
+    out = impute.knn_self_anchor(df, df, list(_OWN), Config().knn_k, Config().knn_ref, Config().seed)
+    return out.select(F.col("TransactionID").alias("id"), rounded("t1").alias("t1"), rounded("t2").alias("t2"))
 
 
-@query()
+_BOTH = " + ".join(f"CAST(q.{c} IS NOT NULL AND r.{c} IS NOT NULL AS INT)" for c in _OWN)
+
+
+@query(
+    f"WITH {_VEC}, d AS (SELECT q.id, r.t1, r.t2, row_number() OVER (PARTITION BY q.id ORDER BY round((" + " + ".join(f"coalesce(power(q.{c} - r.{c}, 2), 0)" for c in _OWN) + f") * 4.0 / ({_BOTH}), 9), r.id) AS k FROM e q, e r), {_NEAR} "
+    "SELECT e.id, round(coalesce(e.t1, m.t1, (SELECT avg(t1) FROM e)), 6) AS t1, round(coalesce(e.t2, m.t2, (SELECT avg(t2) FROM e)), 6) AS t2 FROM e JOIN m ON e.id = m.id"
+)
 def knn_nan_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = vectors(spark, sf_dir)
-    return impute.knn_nan_euclidean(df, df, ["a0", "a1", "t1", "t2"], Config().knn_k, Config().knn_ref, Config().seed)
+    out = impute.knn_nan_euclidean(df, df, list(_OWN), Config().knn_k, Config().knn_ref, Config().seed)
+    return out.select(F.col("TransactionID").alias("id"), rounded("t1").alias("t1"), rounded("t2").alias("t2"))
 
 
 # --- reduction ---
@@ -619,12 +714,83 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("name", "track_a", "track_b", "importance_gain", F.col("importance_rank").cast("long").alias("importance_rank"))
 
 
-@query(f"WITH {LINE} SELECT split, count(*) AS n, round(sum(price), 2) AS total FROM li GROUP BY 1")
+def exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Orders with their splits, and the folder that they are exported to."""
+    df = orders(spark, sf_dir)
+    placed, folder = split.assign(df, sizes(df)).withColumn("x", F.col("TransactionAmt") / 3), scratch(spark, "export")
+    sinks.write_splits(placed, {"sel": ["TransactionAmt", "x"], "pca": ["x"]}, folder)
+    return placed, folder
+
+
+@query(f"WITH {ORD}, {SPLIT_SQL} SELECT TransactionID, CASE split WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'monitor' END AS part, round(CAST(CAST(TransactionAmt AS FLOAT) AS DOUBLE), 2) AS amt, round(CAST(CAST(TransactionAmt / 3 AS FLOAT) AS DOUBLE), 1) AS x, TransactionDT AS dt FROM sp")
 def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = li(spark, sf_dir)
-    parts = [df.where(F.col("split") == k) for k in range(3)]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return whole.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    """Meta and features of all splits as exported, put together again."""
+    folder = exported(spark, sf_dir)[1]
+    parts = []
+    for name in split.NAMES:
+        meta, sel, pca = (sinks.read_split(spark, folder, k, name) for k in ("meta", "features_sel", "features_pca"))
+        parts.append(meta.select("TransactionID", "TransactionDT").join(sel.select("TransactionID", "TransactionAmt"), "TransactionID").join(pca, "TransactionID").withColumn("part", F.lit(name)))
+    double = lambda c, d: F.round(F.col(c).cast("double"), d)
+    return sinks.union(parts).select("TransactionID", "part", double("TransactionAmt", 2).alias("amt"), double("x", 1).alias("x"), F.col("TransactionDT").alias("dt"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS card1, round(o_totalprice, 2) AS amt FROM orders")
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as CSV with the identifiers in a file beside them, read again and joined."""
+    path = scratch(spark, "features")
+    sinks.write_csv(orders(spark, sf_dir).select("TransactionID", "card1", "TransactionAmt"), path, ["TransactionID", "card1"])
+    own, ids = (readers.inferred_csv(spark, p) for p in (path, f"{path}_ids"))
+    return own.join(ids, "TransactionID").select(F.col("TransactionID").cast("long").alias("id"), F.col("card1").cast("long").alias("card1"), F.round("TransactionAmt", 2).alias("amt"))
+
+
+def run_of(spark: SparkSession, sf_dir: str, stage: str) -> Pipeline:
+    """The pipeline over all transactions up to a stage, which resumes from what the stages before it left."""
+    df = txn(spark, sf_dir)
+    n = df.count()
+    p = Pipeline(spark, Config(train_n=int(n * SHARES[0]), val_n=int(n * SHARES[1]), test_n=int(n * SHARES[2]), window_rows=max(1, n // 100), windows=20), scratch(spark, "run"))
+    p.run(df, stage)
+    return p
+
+
+_RUN = SPLIT_SQL.replace("FROM ord", "FROM txn").replace("ord.*", "txn.*")
+
+
+@query(f"WITH {TXN}, {_RUN} SELECT TransactionID, TransactionDT, CAST(isFraud AS BIGINT) AS y, CAST(split AS BIGINT) AS split, CAST(window_id AS BIGINT) AS window_id FROM sp")
+def pipeline_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of splits and windows that a run writes."""
+    made = spark.read.parquet(f"{run_of(spark, sf_dir, 'split').folder}/meta")
+    return made.select("TransactionID", "TransactionDT", F.col("isFraud").cast("long").alias("y"), F.col("split").cast("long").alias("split"), F.col("window_id").cast("long").alias("window_id"))
+
+
+_SEEN = ("card4", "card6", "P_emaildomain", "ProductCD", "M4")
+
+
+@query(
+    f"WITH {TXN}, {_RUN}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce({c}, 'unknown') AS value, count(*) AS n FROM sp WHERE split = 0 GROUP BY ALL" for c in _SEEN)
+    + ") SELECT \"column\", value, n, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) - 1 AS code FROM c"
+)
+def pipeline_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoders that a run writes, after its checkpoints of the stages before; a second run resumes after them."""
+    p = run_of(spark, sf_dir, "encode")
+    again = Pipeline(spark, p.cfg, p.folder.rsplit("/", 1)[0])
+    again.run(stage="encode")
+    if list(again.timings) != ["encode"]:
+        raise RuntimeError(f"resumed with {list(again.timings)}")
+    made = spark.read.parquet(f"{again.folder}/encoders").where(F.col("column").isin(*_SEEN))
+    return made.select("column", "value", F.col("count").alias("n"), F.col("code").cast("long").alias("code"))
+
+
+@query(f"WITH {TXN}, {_RUN}, t AS (SELECT * FROM sp WHERE split = 0) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(median({c}), 6) AS center, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr FROM t" for c in ("TransactionAmt", "C2")) + ")")
+def pipeline_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameters of scaling that a run keeps as JSON, of columns that no stage before changes beyond their quartiles."""
+    p = run_of(spark, sf_dir, "scale")
+    known = sinks.load_json(spark, f"{p.folder}/params_scale.json")
+    rows = []
+    for c in ("TransactionAmt", "C2"):
+        if known["winsor"].get(c, {}).get("transform"):
+            raise RuntimeError(f"{c} was transformed")
+        rows.append((c, round(known["scale"][c]["center"], 6), round(known["scale"][c]["scale"], 6)))
+    return table(spark, rows, "column string, center double, iqr double")
 
 
 @query(f"WITH {LINE}, s AS (SELECT * FROM li) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, count(*) FILTER (isinf(CAST({c} AS DOUBLE))) AS n_inf FROM s" for c in adapters.LINES) + ")")
@@ -637,26 +803,69 @@ def monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.monotonic(txn(spark, sf_dir), ["card1"], "TransactionDT", "C2")
 
 
-@query("SELECT 'causal' AS \"check\", true AS ok")
+_SPOILT = "TransactionID % 97 = 0"
+
+
+@query(f"WITH {TXN}, s AS (SELECT TransactionID FROM txn ORDER BY md5(CAST(TransactionID AS VARCHAR) || ':42'), TransactionID LIMIT 1000) SELECT 'right' AS given, 0 = 0 * count(*) AS ok, 0 AS n_wrong FROM s UNION ALL SELECT 'spoilt', count(*) = 0, count(*) FROM s WHERE {_SPOILT}")
 def causality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, ok, _ = checks.causal(engineer.history(txn(spark, sf_dir), ["card1"]), ["card1"])
-    return table(spark, [(name, ok)], "check string, ok boolean")
+    """The recount of a thousand rows, over right counts and over counts of which some are one too many."""
+    right = engineer.history(txn(spark, sf_dir), ["card1"])
+    spoilt = right.withColumn("card_prior_txn_count", F.col("card_prior_txn_count") + F.expr(f"CAST({_SPOILT} AS INT)"))
+    rows = []
+    for given, df in (("right", right), ("spoilt", spoilt)):
+        _, ok, detail = checks.causal(df, ["card1"])
+        rows.append((given, ok, int(detail.split()[0])))
+    return table(spark, rows, "given string, ok boolean, n_wrong int")
+
 
+_OTHER = ", ".join(f"CASE WHEN split <> 0 THEN coalesce({c} * 2 + 1, 1) ELSE {c} END AS {c}" for c in _SHAPED)
+_EQUAL = lambda where: " AND ".join(f"(SELECT median({c}) FROM li {where}) = (SELECT median({c}) FROM o {where})" for c in _SHAPED)
 
-@query("SELECT 'fitted_on_train' AS \"check\", true AS ok")
+
+@query(f"WITH {LINE}, o AS (SELECT split, {_OTHER} FROM li) SELECT 'train' AS fitted_on, {_EQUAL('WHERE split = 0')} AS ok UNION ALL SELECT 'all', {_EQUAL('')}")
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits on the training rows, which values elsewhere don't change, and on all rows, which they do."""
     df = li(spark, sf_dir)
-    name, ok, _ = checks.fitted_on_train(lambda t: (scale.fit(t, list(_SHAPED)), winsor.fit(t, list(_SHAPED), Config())), df, train(df))
-    return table(spark, [(name, ok)], "check string, ok boolean")
+    fit = lambda t: (scale.fit(t, list(_SHAPED)), winsor.fit(t, list(_SHAPED), Config()))
+    found = {"train": checks.fitted_on_train(lambda t: fit(train(t)), df, list(_SHAPED)), "all": checks.fitted_on_train(fit, df, list(_SHAPED))}
+    return table(spark, [(k, ok) for k, (_, ok, _) in found.items()], "fitted_on string, ok boolean")
+
 
+_ORDERED = lambda rel: f"(SELECT bool_and(coalesce(first >= l, true)) FROM (SELECT first, lag(last) OVER (ORDER BY split) AS l FROM (SELECT split, min(TransactionDT) AS first, max(TransactionDT) AS last FROM {rel} GROUP BY 1)))"
+_SIZED = lambda rel: f"(SELECT bool_and(CASE split WHEN 0 THEN k = a WHEN 1 THEN k = b WHEN 2 THEN k = c ELSE true END) FROM (SELECT split, count(*) AS k FROM {rel} GROUP BY 1), n)"
+_HOLES = lambda cs: " AND ".join(f"count(*) = count({c})" for c in cs)
+_NEAR_PAIR = lambda cs: " AND ".join(f"abs(corr(coalesce({a}, 0), coalesce({b}, 0))) < 0.95" for i, a in enumerate(cs) for b in cs[:i])
 
-@query("SELECT 'splits_in_order' AS \"check\", true AS ok UNION ALL SELECT 'row_total', true UNION ALL SELECT 'same_columns', true")
+
+@query(f"""WITH {ORD}, {SPLIT_SQL}, {LINE}, bad AS (SELECT * REPLACE (CASE WHEN TransactionID % 50 = 0 THEN (split + 1) % 4 ELSE split END AS split) FROM sp), med AS (SELECT median(price) AS m FROM tr)
+    SELECT 'splits_in_order' AS "check", 'right' AS given, {_ORDERED('sp')} AND {_SIZED('sp')} AS ok UNION ALL SELECT 'splits_in_order', 'spoilt', {_ORDERED('bad')} AND {_SIZED('bad')}
+    UNION ALL SELECT 'row_total', 'right', (SELECT count(*) FROM sp) = (SELECT count(*) FROM orders) UNION ALL SELECT 'row_total', 'spoilt', (SELECT count(*) FROM sp WHERE split < 3) = (SELECT count(*) FROM orders)
+    UNION ALL SELECT 'no_null_or_inf', 'right', {_HOLES(('qty', 'price', 'tax'))} FROM li UNION ALL SELECT 'no_null_or_inf', 'spoilt', {_HOLES(('qty', 'price', 'q30'))} FROM li
+    UNION ALL SELECT 'uncorrelated', 'right', {_NEAR_PAIR(('qty', 'tax', 'debt'))} FROM tr UNION ALL SELECT 'uncorrelated', 'spoilt', {_NEAR_PAIR(('price', 'tax', 'p03', 'copy'))} FROM (SELECT *, price * 2 AS copy FROM tr)
+    UNION ALL SELECT 'scaled_medians', 'right', abs(median(price - m)) <= 0.001 FROM tr, med UNION ALL SELECT 'scaled_medians', 'spoilt', abs(median(price)) <= 0.001 FROM tr
+    UNION ALL SELECT 'all_float', 'right', typeof(CAST(price AS FLOAT)) = 'FLOAT' FROM (SELECT price FROM li LIMIT 1) UNION ALL SELECT 'all_float', 'spoilt', typeof(price) = 'FLOAT' FROM (SELECT price FROM li LIMIT 1)
+    UNION ALL SELECT 'same_columns', 'right', count(*) = 2 FROM (DESCRIBE SELECT price, tax FROM li) UNION ALL SELECT 'same_columns', 'spoilt', count(*) = 2 FROM (DESCRIBE SELECT price FROM li)""")
 def output_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = orders(spark, sf_dir)
-    cfg = sizes(df)
+    """Each check of a run's outputs over right ones and over spoilt ones."""
+    df, items = orders(spark, sf_dir), li(spark, sf_dir)
+    cfg, own = sizes(df), train(items)
     placed = split.assign(df, cfg)
-    found = [checks.splits_in_order(placed, cfg), checks.row_total(placed, df.count()), checks.same_columns([placed.where(F.col("split") == k) for k in range(4)])]
-    return table(spark, [(n, ok) for n, ok, _ in found], "check string, ok boolean")
+    bad = placed.withColumn("split", F.when(F.col("TransactionID") % 50 == 0, (F.col("split") + 1) % 4).otherwise(F.col("split")))
+    middle = impute.medians(own, ["price"])["price"]
+    n = df.count()
+    floats = items.select(F.col("price").cast("float").alias("price"))
+    loose = Config(protect=())
+    found = {
+        "right": [
+            checks.splits_in_order(placed, cfg), checks.row_total(placed, n), checks.no_null_or_inf(items.select("qty", "price", "tax")), checks.uncorrelated(own, ["qty", "tax", "debt"], loose),
+            checks.scaled_medians(own.select((F.col("price") - middle).alias("price")), ["price"]), checks.all_float(floats), checks.same_columns([items.select("price", "tax"), own.select("price", "tax")]),
+        ],
+        "spoilt": [
+            checks.splits_in_order(bad, cfg), checks.row_total(placed.where("split < 3"), n), checks.no_null_or_inf(items.select("qty", "price", "q30")), checks.uncorrelated(own.withColumn("copy", F.col("price") * 2), ["price", "tax", "p03", "copy"], loose),
+            checks.scaled_medians(own, ["price"]), checks.all_float(items.select("price")), checks.same_columns([items.select("price", "tax"), own.select("price")]),
+        ],
+    }
+    return table(spark, [(name, given, ok) for given, rows in found.items() for name, ok, _ in rows], "check string, given string, ok boolean")
 
 
 # --- variants ---
@@ -676,8 +885,7 @@ def hash_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TXN} SELECT TransactionID, row_number() OVER (PARTITION BY card1, addr1 ORDER BY TransactionDT, TransactionID) - 1 AS n FROM txn")
 def cumulative_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("card1", "addr1").orderBy("TransactionDT", "TransactionID")
-    return txn(spark, sf_dir).select("TransactionID", (F.row_number().over(w) - 1).cast("long").alias("n"))
+    return engineer.running_count(txn(spark, sf_dir), ["card1", "addr1"], split.ORDER, "n").select("TransactionID", "n")
 
 
 @query("SELECT TransactionID, family FROM (SELECT unnest(['V12', 'C3', 'D1', 'M4', 'id_07', 'Vgrp1_missing', 'card1']) AS TransactionID, unnest(['V', 'C', 'D', 'M', 'id', NULL, NULL]) AS family)")

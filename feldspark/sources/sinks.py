@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, is_dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,11 @@ def read_split(spark: SparkSession, folder: str, name: str, split: str) -> DataF
     return spark.read.parquet(f"{folder}/{name}").where(F.col("split_name") == split).drop("split_name")
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, which have the same columns in whatever order."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def plain(value: Any) -> Any:
     """Parameters as JSON has them: numpy's numbers and arrays, tuples and dataclasses become plain."""
     if is_dataclass(value) and not isinstance(value, type):

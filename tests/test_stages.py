@@ -118,7 +118,8 @@ def test_scale(spark):
 def test_fit_sees_train_alone(spark):
     df = spark.createDataFrame([(i, i % 3, float(i * (1 + 100 * (i % 3)))) for i in range(90)], "TransactionID int, split int, x double")
     fit = lambda t: (scale.fit(t, ["x"]), winsor.fit(t, ["x"], Config()))
-    assert checks.fitted_on_train(fit, df, df.where("split = 0"))[1]
+    assert checks.fitted_on_train(lambda t: fit(split.train(t)), df, ["x"])[1]
+    assert not checks.fitted_on_train(fit, df, ["x"])[1]
 
 
 def test_impute_plan():
