@@ -35,11 +35,9 @@ def fit(train: DataFrame, cfg: Config) -> dict[str, list[str]]:
     rates = stats.missing_rates(train, columns)
     missing = [c for c in columns if rates[c] > cfg.drop_missing]
     left = [c for c in columns if c not in missing]
-    distinct = stats.distinct_counts(train, left)
-    constant = [c for c in left if distinct[c] <= 1]
-    left = [c for c in left if c not in constant]
-    shares = stats.top_shares(train, left)
-    return {"missing": missing, "constant": constant, "near_constant": [c for c in left if shares[c] >= cfg.near_const_share]}
+    constant = stats.constant(train, left)
+    near = stats.dominated(train, [c for c in left if c not in constant], cfg.near_const_share)
+    return {"missing": missing, "constant": constant, "near_constant": near}
 
 
 def transform(df: DataFrame, params: dict[str, list[str]]) -> DataFrame:

@@ -21,6 +21,8 @@ ORDINAL = ("ProductCD", "card4", "card6", "DeviceType")
 TRUE_FALSE = tuple(f"M{i}" for i in range(1, 10))
 #: Rows of a vocabulary that may be broadcast (about 60 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Values of a column that are looked up in a literal.
+FEW = 64
 
 
 def fit(train: DataFrame, columns: list[str], top: int = 50_000, missing: str = UNKNOWN) -> DataFrame:
@@ -81,18 +83,40 @@ def plan(df: DataFrame) -> dict[str, list[str]]:
     return {"frequency": frequency, "pair": pair, "true_false": flags, "ordinal": ordinal}
 
 
-def transform(df: DataFrame, vocabulary: DataFrame, columns: dict[str, list[str]], cfg: Config, flags_by_code: tuple[str, ...] = (), total: int | None = None) -> DataFrame:
-    """All encodings of the plan; the strings they came from go. flags_by_code: M columns that aren't T and F alone."""
-    out = df
-    n = total if cfg.freq_normalize else None
+def _found(df: DataFrame, vocabulary: DataFrame, wanted: dict[str, tuple[str, str]], default: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """df joined with what the vocabulary has, and a column of it for each name: name -> (column, count or code).
+
+    Columns of few values are looked up in a literal; the others' vocabularies are joined, broadcast while they are small.
+    """
     known = sizes(vocabulary)
-    for c in columns["frequency"]:
-        out = apply_frequency(out, vocabulary, c, total=n, size=known.get(c, 0))
-    for c in columns["pair"]:
-        out = apply_frequency(out, vocabulary, c, "card_addr_freq", total=n, size=known.get(c, 0))
-    for c in columns["ordinal"] + list(flags_by_code):
-        out = apply_ordinal(out, vocabulary, c, missing_code=cfg.missing_code, size=known.get(c, 0))
-    mapped = [c for c in columns["true_false"] if c not in flags_by_code]
+    of = {c: what for c, what in wanted.values()}
+    few = [c for c in of if known.get(c, 0) <= FEW]
+    words: dict[str, list] = {c: [] for c in few}
+    for r in vocabulary.where(F.col("column").isin(few)).collect() if few else []:
+        words[r["column"]] += [F.lit(r["value"]), F.lit(r[of[r["column"]]]).cast("long")]
+    values: dict[str, Column] = {}
+    for c, what in of.items():
+        text = S.text_of(F.col(f"`{c}`"), UNKNOWN)
+        if c in few:
+            values[c] = F.coalesce(F.create_map(*words[c])[text], default) if words[c] else default
+            continue
+        own = vocabulary.where(F.col("column") == c).select(F.col("value").alias(f"__value_{c}"), F.col(what).cast("long").alias(f"__found_{c}"))
+        df = df.join(F.broadcast(own) if known[c] <= BROADCAST_ROWS else own, text == F.col(f"__value_{c}"), "left")
+        values[c] = F.coalesce(F.col(f"__found_{c}"), default)
+    return df, {name: values[c] for name, (c, _) in wanted.items()}
+
+
+def transform(df: DataFrame, vocabulary: DataFrame, columns: dict[str, list[str]], cfg: Config, flags_by_code: tuple[str, ...] = (), total: int | None = None) -> DataFrame:
+    """All encodings of the plan in one projection; the strings they came from go. flags_by_code: M columns that aren't T and F alone."""
+    counted = {f"{c}_freq": (c, "count") for c in columns["frequency"]} | {"card_addr_freq": (c, "count") for c in columns["pair"]}
+    coded = {c: (c, "code") for c in columns["ordinal"] + list(flags_by_code)}
+    out, counts = _found(df, vocabulary, counted, F.lit(0).cast("long"))
+    out, codes = _found(out, vocabulary, coded, F.lit(-1).cast("long"))
+    share = (lambda c: c / F.lit(float(max(total, 1)))) if cfg.freq_normalize and total is not None else (lambda c: c.cast("double"))
+    mapped = {c: S.true_false(F.col(c)) for c in columns["true_false"] if c not in flags_by_code}
+    code = lambda c: codes[c] if cfg.missing_code is None else F.when(F.col(f"`{c}`").isNull(), cfg.missing_code).otherwise(codes[c])
+    own = [mapped[c].alias(c) if c in mapped else code(c).cast("int").alias(c) if c in codes else F.col(f"`{c}`") for c in df.columns if c not in counts]
+    out = out.select(*own, *[share(c).alias(name) for name, c in counts.items()])
     added = []
     if "card1_freq" in out.columns:
         added.append(F.log1p("card1_freq").alias("card1_freq_log"))
@@ -100,6 +124,5 @@ def transform(df: DataFrame, vocabulary: DataFrame, columns: dict[str, list[str]
         added.append((F.col("card1_freq") * F.col("amt_to_avg_card_ratio")).alias("card1_freq_x_ratio"))
     if {"addr1_freq", "TransactionAmt_log"} <= set(out.columns):
         added.append((F.col("addr1_freq") * F.col("TransactionAmt_log")).alias("addr1_freq_x_amt_log"))
-    out = out.select(*[S.true_false(F.col(c)).alias(c) if c in mapped else F.col(f"`{c}`") for c in out.columns], *added)
-    left = roles.strings(out)
-    return out.drop(*left)
+    left = set(roles.strings(out))
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c not in left], *added)

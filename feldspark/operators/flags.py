@@ -36,20 +36,21 @@ def groups(df: DataFrame, columns: list[str], key: str) -> list[list[str]]:
         aggregates = [F.struct(F.sum(F.when(F.col(f"`{c}`").isNull(), row_hash)).alias("h"), F.count_if(F.col(f"`{c}`").isNull()).alias("n")).alias(c) for c in part]
         found = df.agg(*aggregates).first()
         row |= {c: (found[c]["h"], found[c]["n"]) for c in part}
-    buckets: dict[tuple, list[list[str]]] = {}
-    pairs = [(c, d) for i, c in enumerate(columns) for d in columns[:i] if row[c] == row[d]]
-    differ: dict[tuple[str, str], bool] = {}
-    for part in stats.blocks(pairs):
-        counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull() != F.col(f"`{d}`").isNull()).alias(f"p{i}") for i, (c, d) in enumerate(part)]).first()
-        differ |= {p: counts[f"p{i}"] > 0 for i, p in enumerate(part)}
+    found_groups: list[list[str]] = []
+    alike: dict[tuple, list[str]] = {}
     for c in columns:
-        own = buckets.setdefault(row[c], [])
-        home = next((g for g in own if not differ[c, g[0]]), None)
-        if home:
-            home.append(c)
-        else:
-            own.append([c])
-    return sorted((g for b in buckets.values() for g in b), key=lambda g: columns.index(g[0]))
+        alike.setdefault(row[c], []).append(c)
+    left = list(alike.values())
+    while left:
+        # each column against the first of its group; those that differ are a group of their own to look at
+        pairs = [(g[0], c) for g in left for c in g[1:]]
+        differ: dict[str, bool] = {}
+        for part in stats.blocks(pairs):
+            counts = df.agg(*[F.count_if(F.col(f"`{a}`").isNull() != F.col(f"`{c}`").isNull()).alias(f"p{i}") for i, (a, c) in enumerate(part)]).first()
+            differ |= {c: counts[f"p{i}"] > 0 for i, (_, c) in enumerate(part)}
+        found_groups += [[c for c in g if not differ.get(c)] for g in left]
+        left = [other for g in left if (other := [c for c in g if differ.get(c)])]
+    return sorted(found_groups, key=lambda g: columns.index(g[0]))
 
 
 def name(group: list[str]) -> str:

@@ -123,10 +123,7 @@ def knn_fill(df: DataFrame, ref: DataFrame, key: str, anchor_columns: list[Colum
                     near = nearest(b[names].to_numpy(np.float64)[todo], points, k, nan_aware)
                     part = np.where(np.isnan(part), _mean_of(known, near), part)
                 values[todo] = np.where(np.isnan(part), fallback, part)
-            b = b[rest].copy()
-            for i, c in enumerate(targets):
-                b[c] = values[:, i]
-            yield b
+            yield pd.concat([b[rest], pd.DataFrame(values, columns=targets, index=b.index)], axis=1)
 
     source = df.select(*[f"`{c}`" for c in rest], *own, *[a.alias(n) for a, n in zip(anchor_columns, names, strict=True)])
     return source.mapInPandas(run, schema).select(*[f"`{c}`" for c in df.columns])

@@ -17,8 +17,8 @@ def features(df: DataFrame) -> list[str]:
 
 def hard_prune(train: DataFrame, columns: list[str], cfg: Config) -> tuple[list[str], list[str]]:
     """(kept, dropped): columns of hardly any deviation or of one value nearly throughout go, unless protected."""
-    spread, shares = stats.moments(train, columns), stats.top_shares(train, columns)
-    bad = [c for c in columns if c not in cfg.protect and ((spread[c]["std"] or 0.0) < 1e-6 or shares[c] >= cfg.near_const_share)]
+    spread, near = stats.moments(train, columns), stats.dominated(train, columns, cfg.near_const_share)
+    bad = [c for c in columns if c not in cfg.protect and ((spread[c]["std"] or 0.0) < 1e-6 or c in near)]
     return [c for c in columns if c not in bad], bad
 
 
@@ -42,9 +42,10 @@ def greedy_correlation(order: list[str], matrix: np.ndarray, names: list[str], t
     return [c for c in order if c not in gone], [c for c in order if c in gone]
 
 
-def correlation_prune(train: DataFrame, columns: list[str], aucs: dict[str, float], cfg: Config) -> tuple[list[str], list[str]]:
+def correlation_prune(columns: list[str], matrix: np.ndarray, aucs: dict[str, float], cfg: Config) -> tuple[list[str], list[str]]:
+    """(kept, dropped) of columns, whose correlations are the matrix, those of the best AUC first."""
     order = sorted(columns, key=lambda c: -aucs[c])
-    return greedy_correlation(order, stats.correlations(train, columns), columns, cfg.corr_thr, cfg.protect)
+    return greedy_correlation(order, matrix, columns, cfg.corr_thr, cfg.protect)
 
 
 def gbt_importance(train: DataFrame, columns: list[str], label: str = "isFraud", seed: int = 42, rounds: int = 20) -> dict[str, float]:
@@ -82,8 +83,8 @@ def psi_screen(train: DataFrame, val: DataFrame, columns: list[str], cfg: Config
     return [c for c in columns if not cfg.drift_filter or c not in high or c in cfg.protect], found
 
 
-def fit_components(train: DataFrame, columns: list[str], null_counts: dict[str, int], cfg: Config, most: int = 10) -> list[dict]:
-    """For each block of columns of equal null count (2 at least): mean, deviation and the components that are kept.
+def fit_components(train: DataFrame, columns: list[str], null_counts: dict[str, int], cfg: Config, most: int = 10, matrix: np.ndarray | None = None) -> list[dict]:
+    """For each block of columns of equal null count (2 at least): mean, deviation and the components that are kept. matrix: correlations of the columns, if known.
 
     A block keeps the fewest components that explain pca_var of the variance, pca_max_per_block at most. The sign of a
     component is such that its largest loading is positive.
@@ -92,15 +93,20 @@ def fit_components(train: DataFrame, columns: list[str], null_counts: dict[str,
     for c in columns:
         by_count.setdefault(0 if cfg.pca_single_block else null_counts.get(c, 0), []).append(c)
     out = []
+    used = [c for own in by_count.values() if len(own) > 1 for c in own]
+    zero = train.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in used])
+    known = stats.moments(zero, used)
+    if matrix is None and used:
+        matrix, columns = stats.correlations(zero, used), used
+    at = {c: i for i, c in enumerate(columns)}
     for block, (_, own) in enumerate(sorted(by_count.items())):
         if len(own) < 2:
             continue
-        zero = train.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in own])
-        known = stats.moments(zero, own)
         std = np.array([(known[c]["std_pop"] or 0.0) + 1e-8 for c in own])
         real = np.array([known[c]["std_pop"] or 0.0 for c in own])
         # the covariance of standardised columns is their correlation, up to the 1e-8
-        cov = stats.correlations(zero, own) * np.outer(real / std, real / std)
+        places = [at[c] for c in own]
+        cov = matrix[np.ix_(places, places)] * np.outer(real / std, real / std)
         values, vectors = np.linalg.eigh(cov)
         order = np.argsort(values)[::-1][: min(most, len(own))]
         total = max(values.clip(0).sum(), 1e-12)
@@ -132,10 +138,13 @@ def fit(df: DataFrame, null_counts: dict[str, int], cfg: Config) -> dict:
         again = [c for g in duplicates(own_train, kept) for c in g[1:] if c not in cfg.protect]
         kept, dropped_hard = [c for c in kept if c not in again], dropped_hard + again
     aucs = stats.auc(own_train, kept, "isFraud", cfg.auc_ties, split.ORDER)
-    kept, dropped_corr = correlation_prune(own_train, kept, aucs, cfg)
+    pruned, matrix = kept, stats.correlations(own_train, kept)
+    kept, dropped_corr = correlation_prune(kept, matrix, aucs, cfg)
     importance = gbt_importance(own_train, kept, seed=cfg.seed) if cfg.importance == "gbt" else {c: aucs[c] for c in kept}
     track_a, psi = psi_screen(own_train, val, select_top(kept, importance, cfg.protect, cfg.k_sel), cfg)
-    components = fit_components(own_train, [c for c in kept if roles.family(c) == "V"], null_counts, cfg)
+    v = [c for c in kept if roles.family(c) == "V"]
+    places = [pruned.index(c) for c in v]
+    components = fit_components(own_train, v, null_counts, cfg, matrix=matrix[np.ix_(places, places)])
     names = [f"Vpca_b{b['block']}_{k}" for b in components for k in range(len(b["components"]))]
     track_b = cap_track([c for c in track_a if roles.family(c) != "V"] + names, importance, cfg.protect, cfg.track_b_max)
     return {"drop_hard": dropped_hard, "drop_corr": dropped_corr, "aucs": aucs, "importance": importance, "psi": psi, "track_a": track_a, "track_b": track_b, "components": components}

@@ -12,6 +12,8 @@ from .tables import kept
 
 #: Columns of one aggregation, rows of a bracket that one task counts, rows that one task sorts (about).
 BLOCK, GATHER, PART_ROWS = 48, 200_000, 1_000_000
+#: Columns of a pass over (column, value) pairs; rows up to which a column's distinct values are held by one task.
+PAIRED, HELD = 150, 500_000
 
 
 def blocks(columns: list[str], size: int = BLOCK) -> Iterable[list[str]]:
@@ -33,9 +35,28 @@ def _per_column(df: DataFrame, columns: list[str], **makers) -> dict[str, dict]:
     return out
 
 
+def _grouped(df: DataFrame, columns: list[str], aggregates: dict[str, Column], known: dict[str, float] | None = None) -> dict[str, dict]:
+    """Aggregates of `value` by column, over (column, value) pairs that are combined before the shuffle: one small plan however many columns.
+
+    known: a number of each column, as `known` beside the value; columns without one are left out.
+    """
+    out: dict[str, dict] = {}
+    for part in blocks([c for c in columns if known is None or known.get(c) is not None], PAIRED):
+        pairs = long_form(df, part, "double")
+        if known is not None:
+            told = df.sparkSession.createDataFrame([(c, float(known[c])) for c in part], "column string, known double")
+            pairs = pairs.join(F.broadcast(told), "column")
+        for r in pairs.groupBy("column").agg(*[a.alias(k) for k, a in aggregates.items()]).collect():
+            out[r["column"]] = {k: r[k] for k in aggregates}
+    return {c: out.get(c) or dict.fromkeys(aggregates) for c in columns}
+
+
 def missing_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    found = _per_column(df, columns, r=lambda c: F.avg(_q(c).isNull().cast("double")))
-    return {c: v["r"] or 0.0 for c, v in found.items()}
+    out: dict[str, float] = dict.fromkeys(columns, 0.0)
+    for part in blocks(columns, PAIRED):
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).isNull().cast("double").alias("value")) for c in part])
+        out |= {r["column"]: r["r"] for r in df.select(F.inline(pairs)).groupBy("column").agg(F.avg("value").alias("r")).collect()}
+    return out
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, int]:
@@ -73,25 +94,55 @@ def top_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """n, mean, std (of the sample), std_pop, min and max, nulls left out."""
-    return _per_column(
-        df, columns, n=lambda c: F.count(_q(c)), mean=lambda c: F.avg(_q(c)), std=lambda c: F.stddev_samp(_q(c)), std_pop=lambda c: F.stddev_pop(_q(c)), min=lambda c: F.min(_q(c)), max=lambda c: F.max(_q(c))
-    )
+    v = F.col("value")
+    found = _grouped(df, columns, {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "std_pop": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)})
+    return {c: m | {"n": m["n"] or 0} for c, m in found.items()}
 
 
-def skewness(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Third moment over the cubed deviation, both of the population; 0 for under 3 values or a deviation under 1e-10."""
-    known = moments(df, columns)
-    found = _per_column(df, columns, m3=lambda c: F.avg(F.pow(_q(c) - F.lit(known[c]["mean"]).cast("double"), F.lit(3.0))))
+def skewness(df: DataFrame, columns: list[str], known: dict[str, dict] | None = None) -> dict[str, float]:
+    """Third moment over the cubed deviation, both of the population; 0 for under 3 values or a deviation under 1e-10. known: moments() of the columns."""
+    known = known or moments(df, columns)
+    found = _grouped(df, columns, {"m3": F.avg(F.pow(F.col("value") - F.col("known"), F.lit(3.0)))}, {c: m["mean"] for c, m in known.items()})
     return {c: 0.0 if known[c]["n"] < 3 or (known[c]["std_pop"] or 0) < 1e-10 else found[c]["m3"] / known[c]["std_pop"] ** 3 for c in columns}
 
 
+def dominated(df: DataFrame, columns: list[str], share: float) -> list[str]:
+    """Columns of which one value takes `share` of all rows or more (over a half), nulls counted among the rows.
+
+    Such a value is in the middle of a numeric column's values, where an approximate median finds it; it is then
+    counted. Strings are counted by value.
+    """
+    if share <= 0.5:
+        raise ValueError("a share of over a half is needed")
+    numbers = [c for c in columns if is_numeric(df, c)]
+    n = df.count()
+    middle = {c: m["m"] for c, m in _grouped(df, numbers, {"m": F.percentile_approx("value", 0.5, 200)}).items()}
+    hits = _grouped(df, numbers, {"h": F.count_if(F.col("value") == F.col("known"))}, middle)
+    shares = {c: (hits[c]["h"] or 0) / n if n else 0.0 for c in numbers}
+    words = [c for c in columns if c not in numbers]
+    shares |= top_shares(df, words) if words else {}
+    return [c for c in columns if shares.get(c, 0.0) >= share]
+
+
+def constant(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns of one value or none, nulls apart."""
+    numbers = [c for c in columns if is_numeric(df, c)]
+    found = {c: r["one"] for c, r in _grouped(df, numbers, {"one": F.coalesce(F.min("value") == F.max("value"), F.lit(True))}).items()}
+    found |= {c: r["one"] for c, r in _per_column(df, [c for c in columns if c not in numbers], one=lambda c: F.coalesce(F.min(_q(c)) == F.max(_q(c)), F.lit(True))).items()}
+    return [c for c in columns if found[c] is not False]
+
+
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float] | None]:
     """Exact quantiles with linear interpolation; None for a column without values.
 
-    Order statistics are bracketed by approximate quantiles until a bracket holds no more than GATHER rows, which are
-    then counted by value and added up on the executors: no task ever sorts or holds a column, at any number of rows, and
-    what comes to the driver is the values asked for.
+    Up to HELD rows, the task of a column holds its distinct values. Beyond, order statistics are bracketed by approximate
+    quantiles until a bracket holds no more than GATHER rows, which are then counted by value and added up on the
+    executors: no task ever sorts or holds more of a column, at any number of rows, and what comes to the driver is the
+    values asked for.
     """
+    if df.count() <= HELD:
+        found = _grouped(df, columns, {"q": F.percentile("value", F.array(*map(F.lit, probabilities)))})
+        return {c: list(found[c]["q"]) if found[c]["q"] is not None else None for c in columns}
     out: dict[str, list[float] | None] = {}
     for part in blocks(columns):
         sizes = {c: v["n"] for c, v in _per_column(df, part, n=lambda c: F.count(_q(c))).items()}
@@ -232,7 +283,7 @@ def auc(df: DataFrame, columns: list[str], label: str, ties: str = "average", or
     zero = lambda c: F.coalesce(F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double")), F.lit(0.0))
     ordered = order or [] if ties == "ordinal" else []
     n = df.count()
-    for part in blocks(columns):
+    for part in blocks(columns, PAIRED):
         clean = df.select(F.col(label).cast("int").alias("__y"), *ordered, *[zero(c).alias(c) for c in part if c not in ordered])
         keys = ["column", "value", *ordered]
         counts = long_form(clean, part, "double", "__y", *ordered).groupBy(*keys).agg(F.count("*").alias("n"), F.sum((F.col("__y") == 1).cast("long")).alias("pos"))
@@ -267,7 +318,7 @@ def psi(base: DataFrame, other: DataFrame, columns: list[str], bins: int = 10, e
     edges = {c: sorted(set(q or [])) for c, q in quantiles(base, columns, [i / bins for i in range(bins + 1)]).items()}
     used = [c for c in columns if len(edges[c]) >= 2]
     out = dict.fromkeys(columns, 0.0)
-    for part in blocks(used):
+    for part in blocks(used, PAIRED):
         inner = F.create_map(*[x for c in part for x in (F.lit(c), F.array(*[F.lit(float(e)) for e in edges[c][1:-1]]).cast("array<double>"))])
 
         def shares(df: DataFrame) -> dict[str, dict[int, int]]:

@@ -17,8 +17,8 @@ def fit(train: DataFrame, columns: list[str], cfg: Config) -> dict[str, dict]:
     bounds = stats.quantiles(train, columns, list(cfg.winsor))
     params: dict[str, dict] = {c: {"low": bounds[c][0], "high": bounds[c][1]} for c in columns if bounds[c]}
     clipped = train.select(*[S.clip(F.col(f"`{c}`").cast("double"), p["low"], p["high"]).alias(c) for c, p in params.items()])
-    skew = stats.skewness(clipped, list(params))
     lowest = stats.moments(clipped, list(params))
+    skew = stats.skewness(clipped, list(params), lowest)
     for c, p in params.items():
         if abs(skew[c]) > cfg.skew_abs:
             p["transform"] = "yeo_johnson" if cfg.skew_method == "yeo_johnson" else "log1p" if (lowest[c]["min"] or 0) >= 0 else "signed_log1p"
