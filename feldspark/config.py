@@ -47,6 +47,9 @@ class Config:
     psi_high: float = 0.25
     auc_ties: str = "average"
     importance: str = "auc"
+    gbt_rounds: int = 20
+    # month and year are no features, since they tell the time of the split
+    exclude_time_proxies: bool = True
     # encoding
     freq_top: int = 50_000
     freq_normalize: bool = False
@@ -54,8 +57,8 @@ class Config:
     use_d1_uid: bool = True
     reference_epoch: int = 1_512_086_400
     day_of_week_offset: int = 4
+    # Features that reduction never drops, and raw columns that column pruning leaves alone
     protect: tuple[str, ...] = ("TransactionAmt_log", "card_velocity", "amt_to_avg_card_ratio", "transaction_hour", "card1_freq")
-    # raw columns that column pruning leaves alone
     never_drop: tuple[str, ...] = (
         *("TransactionAmt", "card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2", "ProductCD"),
         *(f"C{i}" for i in range(1, 15)),

@@ -30,7 +30,7 @@ def fit(train: DataFrame, columns: list[str], top: int = 50_000, missing: str =
     filled = train.select(*[S.text_of(F.col(f"`{c}`"), missing).alias(c) for c in columns])
     counts = stats.value_counts(filled, columns)
     # the most frequent of each bucket of values first, so that no task ranks all values of a column
-    parts = stats.parts_of(train.count())
+    parts = stats.parts_of(train.count(), train.sparkSession)
     order = [F.desc("count"), F.col("value")]
     bucketed = counts.withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(parts)))
     ahead = bucketed.withColumn("__n", F.row_number().over(Window.partitionBy("column", "__part").orderBy(*order))).where(F.col("__n") <= top)

@@ -16,11 +16,11 @@ KEY_PARTS = ("card1", "card2", "card3", "card5", "addr1")
 
 
 def temporal(df: DataFrame, cfg: Config = Config(), time: str = "TransactionDT") -> DataFrame:  # noqa: B008
-    """transaction_hour, _dow, is_weekend, part_of_day, transaction_month and _year."""
+    """transaction_hour, _dayofweek, _part_of_day, _month and _year, and is_weekend."""
     dt = F.col(time)
     hour, dow = S.hour(dt), S.day_of_week(dt, cfg.day_of_week_offset)
     return df.select(
-        "*", hour.alias("transaction_hour"), dow.alias("transaction_dow"), S.is_weekend(dow).alias("is_weekend"), S.part_of_day(hour).alias("part_of_day"),
+        "*", hour.alias("transaction_hour"), dow.alias("transaction_dayofweek"), S.is_weekend(dow).alias("is_weekend"), S.part_of_day(hour).alias("transaction_part_of_day"),
         S.month(dt, cfg.reference_epoch).alias("transaction_month"), S.year(dt, cfg.reference_epoch).alias("transaction_year"),
     )
 

@@ -11,8 +11,9 @@ from ..config import Config
 from . import split, stats
 
 
-def features(df: DataFrame) -> list[str]:
-    return [c for c in roles.numeric(df) if c not in roles.META]
+def features(df: DataFrame, cfg: Config = Config()) -> list[str]:  # noqa: B008
+    """Numeric columns that aren't meta; month and year of the time only if the configuration lets them in."""
+    return [c for c in roles.numeric(df, ()) if c not in roles.META or c in roles.TIME_PROXIES and not cfg.exclude_time_proxies]
 
 
 def hard_prune(train: DataFrame, columns: list[str], cfg: Config) -> tuple[list[str], list[str]]:
@@ -48,18 +49,28 @@ def correlation_prune(columns: list[str], matrix: np.ndarray, aucs: dict[str, fl
     return greedy_correlation(order, matrix, columns, cfg.corr_thr, cfg.protect)
 
 
-def gbt_importance(train: DataFrame, columns: list[str], label: str = "isFraud", seed: int = 42, rounds: int = 20) -> dict[str, float]:
-    """Importance of features in gradient-boosted trees, nulls as 0 and classes weighted to balance."""
+def gbt_importance(train: DataFrame, columns: list[str], label: str = "isFraud", seed: int = 42, rounds: int = 20, val: DataFrame | None = None) -> dict[str, float]:
+    """Gain of features in gradient-boosted trees, nulls as 0 and classes weighted to balance.
+
+    With validation rows, trees are added until their loss grows no less on those, `rounds` at most. 0 for all features if
+    the training rows are of one class.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    zero = train.select(F.col(label).cast("double").alias("__y"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    def cleaned(df: DataFrame, held: bool) -> DataFrame:
+        return df.select(F.col(label).cast("double").alias("__y"), F.lit(held).alias("__held"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in columns])
+
+    zero = cleaned(train, False)
     share = zero.agg(F.avg("__y")).first()[0] or 0.0
     if share in (0.0, 1.0):
         return dict.fromkeys(columns, 0.0)
-    data = VectorAssembler(inputCols=columns, outputCol="__v").transform(zero).withColumn("__w", F.when(F.col("__y") == 1, (1 - share) / share).otherwise(1.0)).select("__y", "__v", "__w")
-    model = GBTClassifier(labelCol="__y", featuresCol="__v", weightCol="__w", maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(data)
-    return dict(zip(columns, map(float, model.featureImportances.toArray()), strict=True))
+    rows = zero if val is None else zero.unionByName(cleaned(val, True))
+    data = VectorAssembler(inputCols=columns, outputCol="__v").transform(rows).withColumn("__w", F.when(F.col("__y") == 1, (1 - share) / share).otherwise(1.0)).select("__y", "__v", "__w", "__held")
+    model = GBTClassifier(labelCol="__y", featuresCol="__v", weightCol="__w", maxIter=rounds, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.6", seed=seed)
+    if val is not None:
+        model = model.setValidationIndicatorCol("__held")
+    return dict(zip(columns, map(float, model.fit(data).featureImportances.toArray()), strict=True))
 
 
 def select_top(columns: list[str], importance: dict[str, float], protect: tuple[str, ...], k: int) -> list[str]:
@@ -133,14 +144,14 @@ def fit(df: DataFrame, null_counts: dict[str, int], cfg: Config) -> dict:
     """Tracks A (selected) and B (with components in place of V columns), and what they were chosen by."""
     own_train = split.train(df) if cfg.fit_on == "train" else df
     val = df.where(F.col("split") == split.VAL)
-    kept, dropped_hard = hard_prune(own_train, features(df), cfg)
+    kept, dropped_hard = hard_prune(own_train, features(df, cfg), cfg)
     if cfg.drop_duplicates:
         again = [c for g in duplicates(own_train, kept) for c in g[1:] if c not in cfg.protect]
         kept, dropped_hard = [c for c in kept if c not in again], dropped_hard + again
     aucs = stats.auc(own_train, kept, "isFraud", cfg.auc_ties, split.ORDER)
     pruned, matrix = kept, stats.correlations(own_train, kept)
     kept, dropped_corr = correlation_prune(kept, matrix, aucs, cfg)
-    importance = gbt_importance(own_train, kept, seed=cfg.seed) if cfg.importance == "gbt" else {c: aucs[c] for c in kept}
+    importance = gbt_importance(own_train, kept, seed=cfg.seed, rounds=cfg.gbt_rounds, val=val) if cfg.importance == "gbt" else {c: aucs[c] for c in kept}
     track_a, psi = psi_screen(own_train, val, select_top(kept, importance, cfg.protect, cfg.k_sel), cfg)
     v = [c for c in kept if roles.family(c) == "V"]
     places = [pruned.index(c) for c in v]

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..roles import NUMERIC
 from .tables import kept
 
-#: Columns of one aggregation, rows of a bracket that one task counts, rows that one task sorts (about).
-BLOCK, GATHER, PART_ROWS = 48, 200_000, 1_000_000
+#: Columns of one aggregation, rows of a bracket that one task counts, rows that one task sorts (about, at most and at least).
+BLOCK, GATHER, PART_ROWS, SMALL_PART = 48, 200_000, 1_000_000, 10_000
 #: Columns of a pass over (column, value) pairs; rows up to which a column's distinct values are held by one task.
 PAIRED, HELD = 150, 500_000
 
@@ -248,9 +248,9 @@ def bucket_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
-def parts_of(rows: int) -> int:
-    """Parts in which a task has about PART_ROWS rows."""
-    return max(1, -(-rows // PART_ROWS))
+def parts_of(rows: int, spark: SparkSession) -> int:
+    """Parts in which a task has PART_ROWS rows at most (about); of fewer rows as many as there are cores, if a task has some thousands then."""
+    return max(1, -(-rows // PART_ROWS), min(spark.sparkContext.defaultParallelism, rows // SMALL_PART))
 
 
 def positions(df: DataFrame, order: list[str], into: str = "position") -> DataFrame:
@@ -259,7 +259,7 @@ def positions(df: DataFrame, order: list[str], into: str = "position") -> DataFr
     Rows are parted by ranges of the whole order, as many as their number asks for, so rows of one time may be in several
     parts; each part is sorted and numbered, and the numbers of rows in the parts before are added.
     """
-    ranged = df.repartitionByRange(parts_of(df.count()), *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(parts_of(df.count(), df.sparkSession), *order).sortWithinPartitions(*order)
     # the number of a row within its part, and the part's number above
     numbered = kept(ranged.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33).cast("int")
@@ -287,7 +287,7 @@ def auc(df: DataFrame, columns: list[str], label: str, ties: str = "average", or
         clean = df.select(F.col(label).cast("int").alias("__y"), *ordered, *[zero(c).alias(c) for c in part if c not in ordered])
         keys = ["column", "value", *ordered]
         counts = long_form(clean, part, "double", "__y", *ordered).groupBy(*keys).agg(F.count("*").alias("n"), F.sum((F.col("__y") == 1).cast("long")).alias("pos"))
-        counts = kept(counts.repartitionByRange(parts_of(n * len(part)), *keys).withColumn("bucket", F.spark_partition_id()))
+        counts = kept(counts.repartitionByRange(parts_of(n * len(part), df.sparkSession), *keys).withColumn("bucket", F.spark_partition_id()))
         sizes = counts.groupBy("column", "bucket").agg(F.sum("n").alias("size"))
         before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select("column", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))

@@ -20,8 +20,8 @@ def shared(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder, so that all that is read from it agrees."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df, written once as Parquet to the shared folder, so that all that is read from it agrees, by the columns that are asked for."""
+    spark = df.sparkSession
+    path = f"{shared(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -311,7 +311,7 @@ def column_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     TransactionDT // 3600 % 24 // 6 AS part, month(make_timestamp((TransactionDT + 1512086400) * 1000000)) AS month, year(make_timestamp((TransactionDT + 1512086400) * 1000000)) AS year FROM txn""")
 def temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = engineer.temporal(txn(spark, sf_dir))
-    names = {"transaction_hour": "hour", "transaction_dow": "dow", "is_weekend": "weekend", "part_of_day": "part", "transaction_month": "month", "transaction_year": "year"}
+    names = {"transaction_hour": "hour", "transaction_dayofweek": "dow", "is_weekend": "weekend", "transaction_part_of_day": "part", "transaction_month": "month", "transaction_year": "year"}
     return got.select("TransactionID", *[F.col(a).cast("long").alias(b) for a, b in names.items()])
 
 
@@ -697,8 +697,8 @@ def pca_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = train(li(spark, sf_dir)).withColumnRenamed("y", "isFraud")
-    return table(spark, list(reduce.gbt_importance(own, ["qty", "price", "tax", "q30"], rounds=5).items()), "column string, importance double")
+    df = li(spark, sf_dir).withColumnRenamed("y", "isFraud")
+    return table(spark, list(reduce.gbt_importance(train(df), ["qty", "price", "tax", "q30"], val=df.where("split = 1")).items()), "column string, importance double")
 
 
 # --- outputs and checks ---

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 # Names and families of the canonical schema.
 META = ("TransactionID", "TransactionDT", "isFraud", "split", "window_id", "card_key_id", "transaction_month", "transaction_year")
 STRINGS = ("ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain", "DeviceType", "DeviceInfo", *(f"M{i}" for i in range(1, 10)), *(f"id_{i}" for i in range(12, 39)))
-TIME_PARTS = ("transaction_hour", "transaction_dow", "is_weekend", "part_of_day")
+TIME_PROXIES = ("transaction_month", "transaction_year")
+TIME_PARTS = ("transaction_hour", "transaction_dayofweek", "is_weekend", "transaction_part_of_day")
 FAMILIES = {"V": r"V\d+", "C": r"C\d+", "D": r"D\d+", "M": r"M\d+", "id": r"id_\d+"}
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)

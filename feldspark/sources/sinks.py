@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import platform
 from dataclasses import asdict, is_dataclass
 from functools import reduce
 from typing import Any
 
+import numpy
+import pandas
+import pyarrow
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +96,7 @@ def source_of(name: str) -> str:
         return "flag"
     if name.endswith("_freq") or name.endswith("_freq_log"):
         return "encoded"
-    made = ("transaction_", "card_", "amt_", "card1_freq_x", "addr1_freq_x", "is_weekend", "part_of_day", "TransactionAmt_log", "missing_crucial_info", "email_match")
+    made = ("transaction_", "card_", "amt_", "card1_freq_x", "addr1_freq_x", "is_weekend", "TransactionAmt_log", "missing_crucial_info", "email_match")
     return "engineered" if name.startswith(made) else "raw"
 
 
@@ -120,7 +125,9 @@ def report(params: dict, timings: dict[str, float], counts: dict[str, int]) -> s
     dropped = [(k, len(v)) for k, v in clean.items()] + [("hard prune", len(reduced.get("drop_hard", ()))), ("correlation", len(reduced.get("drop_corr", ())))]
     lines += ["## Dropped columns", "", *table(("Reason", "Columns"), dropped)]
     lines += ["## Imputation", "", *table(("Method", "Columns"), [(m, sum(v == m for v in imputed.values())) for m in ("none", "knn", "median")])]
-    lines += ["## Missing flags", "", f"{len(params.get('flags', {}))} flags", ""]
+    lines += ["## Missing flags", "", *table(("Flag", "Taken from"), sorted(params.get("flags", {}).items()))]
     lines += ["## Selected features", "", *table(("Rank", "Feature", "Importance", "PSI"), [(i + 1, c, f"{importance.get(c, 0):.4f}", f"{psi.get(c, 0):.4f}") for i, c in enumerate(reduced.get("track_a", ()))])]
+    lines += ["## Features with components", "", *table(("Place", "Feature"), [(i + 1, c) for i, c in enumerate(reduced.get("track_b", ()))])]
     lines += ["## Least stable features", "", *table(("Feature", "PSI"), [(c, f"{v:.4f}") for c, v in sorted(psi.items(), key=lambda x: -x[1])[:10]])]
+    lines += ["## Versions", "", *table(("Part", "Version"), [("Python", platform.python_version()), *((m.__name__, m.__version__) for m in (pyspark, numpy, pandas, pyarrow))])]
     return "\n".join(lines)

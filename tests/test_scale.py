@@ -22,14 +22,14 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("rows", [50, 10**6])
-def test_positions(monkeypatch, hot, rows):
+def test_positions(spark, monkeypatch, hot, rows):
     monkeypatch.setattr(stats, "PART_ROWS", rows)
     placed = stats.positions(hot, ["TransactionDT", "TransactionID"])
     got = [(r["TransactionDT"], r["TransactionID"], r["position"]) for r in placed.collect()]
     assert [p for _, _, p in sorted(got)] == list(range(900))
     if rows == 50:
         # the hot time is dealt over several parts
-        ranged = hot.repartitionByRange(stats.parts_of(900), "TransactionDT", "TransactionID")
+        ranged = hot.repartitionByRange(stats.parts_of(900, spark), "TransactionDT", "TransactionID")
         sizes = [r["count"] for r in ranged.groupBy(stats.F.spark_partition_id()).count().collect()]
         assert max(sizes) <= 4 * rows
 

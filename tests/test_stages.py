@@ -230,3 +230,28 @@ def test_vector_queries_take_all_rows(spark, tmp_path):
                 found = t[[i], k] if not np.isnan(t[i, k]) else t[near, k][~np.isnan(t[near, k])]
                 want = found.mean() if len(found) else default[name][k]
                 assert got[name][i][c] == pytest.approx(want, abs=2e-6)
+
+
+def test_boosted_importance(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(600, 3))
+    rows = [(int(a + 0.1 * b > 0), float(a), float(b), float(c)) for a, b, c in x]
+    df = spark.createDataFrame(rows, "isFraud int, a double, b double, c double")
+    got = reduce.gbt_importance(df.limit(400), ["a", "b", "c"], rounds=5, val=df.limit(100))
+    assert max(got, key=got.get) == "a" and abs(sum(got.values()) - 1) < 1e-6
+    assert reduce.gbt_importance(df.where("isFraud = 1"), ["a", "b"]) == {"a": 0.0, "b": 0.0}
+
+
+def test_time_proxies(spark):
+    df = spark.createDataFrame([(1, 2, 3, 0.5)], "TransactionID int, transaction_month int, transaction_year int, x double")
+    assert reduce.features(df) == ["x"]
+    assert reduce.features(df, Config(exclude_time_proxies=False)) == ["transaction_month", "transaction_year", "x"]
+
+
+def test_dominated_and_constant_columns(spark):
+    rows = [(1.0 if i else 2.0, float(i), "a" if i else "b", None if i % 2 else 5.0, 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "near double, wide double, word string, holes double, one int")
+    from feldspark.operators import stats
+
+    assert stats.dominated(df, df.columns, 0.995) == ["near", "word", "one"]
+    assert stats.constant(df, df.columns) == ["holes", "one"]
