@@ -81,22 +81,24 @@ WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEF
 
 def _lm_sql(order: int, alpha: float) -> str:
     """Stupid backoff with the document's own n-grams left out, for each order."""
-    grams = "\n".join(
-        f""", g{k} AS (SELECT doc_id, i + {k - 1} AS at, array_to_string(ws[i:i + {k - 1}], ' ') AS g, {f"array_to_string(ws[i:i + {k - 2}], ' ')" if k > 1 else "''"} AS ctx
-            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w)),
-        o{k} AS (SELECT doc_id, g, count(*) AS c FROM g{k} GROUP BY 1, 2),
-        c{k} AS (SELECT o.doc_id, o.g, t.c - o.c AS c FROM o{k} o JOIN (SELECT g, sum(c) AS c FROM o{k} GROUP BY 1) t USING (g))"""
+    run = lambda first, last: " || ' ' || ".join(f"w{i}" for i in range(first, last - 1, -1))
+    lags = ", ".join(f"lag(word, {i}) OVER (PARTITION BY doc_id ORDER BY pos) AS w{i}" for i in range(1, order))
+    grams = f""", words AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+        lagged AS MATERIALIZED (SELECT doc_id, pos, word AS w0{", " if lags else ""}{lags} FROM words)""" + "".join(
+        f""", g{k} AS MATERIALIZED (SELECT doc_id, pos, {run(k - 1, 0)} AS g, {run(k - 1, 1) if k > 1 else "''"} AS ctx FROM lagged WHERE w{k - 1} IS NOT NULL),
+        o{k} AS MATERIALIZED (SELECT doc_id, g, count(*) AS c FROM g{k} GROUP BY 1, 2),
+        c{k} AS MATERIALIZED (SELECT o.doc_id, o.g, t.c - o.c AS c FROM o{k} o JOIN (SELECT g, sum(c) AS c FROM o{k} GROUP BY 1) t USING (g))"""
         for k in range(1, order + 1)
     )
-    joined = "\n".join(f"LEFT JOIN (SELECT g{k}.doc_id, g{k}.at, c{k}.c, {f'x.c' if k > 1 else 'NULL'} AS ctx FROM g{k} JOIN c{k} USING (doc_id, g) {f'JOIN c{k - 1} x ON x.doc_id = g{k}.doc_id AND x.g = g{k}.ctx' if k > 1 else ''}) p{k} ON p{k}.doc_id = g1.doc_id AND p{k}.at = g1.at" for k in range(1, order + 1))
+    joined = "\n".join(f"LEFT JOIN (SELECT g{k}.doc_id, g{k}.pos, c{k}.c, {f'x.c' if k > 1 else 'NULL'} AS ctx FROM g{k} JOIN c{k} USING (doc_id, g) {f'JOIN c{k - 1} x ON x.doc_id = g{k}.doc_id AND x.g = g{k}.ctx' if k > 1 else ''}) p{k} ON p{k}.doc_id = g1.doc_id AND p{k}.pos = g1.pos" for k in range(1, order + 1))
     cases = " ".join(
-        f"WHEN p{k}.c > 0 THEN power({alpha}, least({order}, g1.at) - {k}) * p{k}.c / {'p%d.ctx' % k if k > 1 else 'n.rest'}" for k in range(order, 0, -1)
+        f"WHEN p{k}.c > 0 THEN power({alpha}, least({order}, g1.pos) - {k}) * p{k}.c / {'p%d.ctx' % k if k > 1 else 'n.rest'}" for k in range(order, 0, -1)
     )
     return f"""
-        WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
-        n AS (SELECT doc_id, len(ws) AS n, greatest((SELECT sum(len(ws)) FROM w) - len(ws), 1)::DOUBLE AS rest FROM w)
+        WITH w AS MATERIALIZED (SELECT doc_id, {WORDS} AS ws FROM documents),
+        n AS MATERIALIZED (SELECT doc_id, len(ws) AS n, greatest((SELECT sum(len(ws)) FROM w) - len(ws), 1)::DOUBLE AS rest FROM w)
         {grams},
-        s AS (SELECT g1.doc_id, log10(CASE {cases} ELSE power({alpha}, least({order}, g1.at)) / n.rest END) AS s FROM g1 JOIN n ON n.doc_id = g1.doc_id {joined})
+        s AS (SELECT g1.doc_id, log10(CASE {cases} ELSE power({alpha}, least({order}, g1.pos)) / n.rest END) AS s FROM g1 JOIN n ON n.doc_id = g1.doc_id {joined})
         SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_tokens, round(coalesce(s.s, 0), 6) AS logprob, round(s.s / n.n, 6) AS mean_logprob
         FROM n LEFT JOIN (SELECT doc_id, sum(s) AS s FROM s GROUP BY 1) s ON s.doc_id = n.doc_id"""
 
