@@ -99,3 +99,35 @@ def test_a_leaking_fit_is_found(spark, sf_dir):
     leaking = lambda t: stats.quantiles(t, ["price", "debt"], [0.5])
     assert checks.fitted_on_train(honest, df, ["price", "debt"])[1]
     assert not checks.fitted_on_train(leaking, df, ["price", "debt"])[1]
+
+
+@pytest.fixture(scope="module")
+def many_cards(spark, tmp_path_factory):
+    """A folder with events of 60,000 users, each with one or two in the earlier half."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    rows = spark.range(75_000).selectExpr("id AS event_id", "timestampadd(SECOND, CAST(id AS INT), timestamp_ntz'2024-01-01 00:00:00') AS ts", "id % 60000 AS user_id", "'view' AS event_type", "CAST(id % 100 AS DOUBLE) AS value", "'' AS props")
+    rows.write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def against_sql(spark, folder, name):
+    import duckdb
+    from compare import rows_of, rows_of_sql
+    from feldspark.plans import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    got, want = rows_of(queries.QUERIES[name](spark, folder)), rows_of_sql(con, queries.ORACLE[name])
+    assert got[0] == want[0] and len(got[1]) == len(want[1])
+    assert [(g, w) for g, w in zip(got[1], want[1], strict=True) if g != w] == []
+
+
+def test_all_values_are_counted(spark, many_cards):
+    against_sql(spark, many_cards, "freq_encode")
+
+
+def test_codes_of_all_values(spark):
+    df = spark.range(50_100).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 3 AS STRING) AS b")
+    got = {(r["column"], r["value"]): (r["count"], r["code"]) for r in encode.fit(df, ["a", "b"], None).collect()}
+    assert [got["b", v] for v in "012"] == [(16_700, 0), (16_700, 1), (16_700, 2)]
+    assert {v: got["a", v] for _, v in got if _ == "a"} == {v: (1, i) for i, v in enumerate(sorted(map(str, range(50_100))))}
