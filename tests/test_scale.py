@@ -122,8 +122,9 @@ def against_sql(spark, folder, name):
     assert [(g, w) for g, w in zip(got[1], want[1], strict=True) if g != w] == []
 
 
-def test_all_values_are_counted(spark, many_cards):
-    against_sql(spark, many_cards, "freq_encode")
+@pytest.mark.parametrize("name", ["freq_encode", "freq_encode_pair"])
+def test_all_values_are_counted(spark, many_cards, name):
+    against_sql(spark, many_cards, name)
 
 
 def test_codes_of_all_values(spark):
