@@ -132,3 +132,21 @@ def test_codes_of_all_values(spark):
     got = {(r["column"], r["value"]): (r["count"], r["code"]) for r in encode.fit(df, ["a", "b"], None).collect()}
     assert [got["b", v] for v in "012"] == [(16_700, 0), (16_700, 1), (16_700, 2)]
     assert {v: got["a", v] for _, v in got if _ == "a"} == {v: (1, i) for i, v in enumerate(sorted(map(str, range(50_100))))}
+
+
+def test_sums_of_amounts_do_not_depend_on_parts(spark, monkeypatch, hot):
+    """To the last bit, with amounts that doubles don't hold exactly."""
+    df = hot.withColumn("TransactionAmt", stats.F.col("TransactionAmt") / 7 + stats.F.col("TransactionID") * 0.1)
+    found = []
+    for rows in (20, 50, 300, 10**6):
+        monkeypatch.setattr(stats, "PART_ROWS", rows)
+        found.append({r["TransactionID"]: r["amt_to_avg_card_ratio"] for r in engineer.history(df, ["card"]).collect()})
+    assert len(found[0]) == 900 and all(f == found[0] for f in found)
+
+
+def test_ratio_to_earlier_amounts_of_nothing(spark, tmp_path):
+    values = {1: [0.0, 5.0, 2.0], 2: [0.0, 0.0, 7.5], 3: [0.0, -4.0, 1.0], 4: [3.0, -3.0, 2.0]}
+    rows = [(u * 10 + i, f"2024-01-0{i + 1} 00:00:00", u, "view", v, "") for u, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", stats.F.col("ts").cast("timestamp_ntz"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    against_sql(spark, str(tmp_path), "card_causal")
