@@ -122,7 +122,7 @@ def against_sql(spark, folder, name):
     assert [(g, w) for g, w in zip(got[1], want[1], strict=True) if g != w] == []
 
 
-@pytest.mark.parametrize("name", ["freq_encode", "freq_encode_pair"])
+@pytest.mark.parametrize("name", ["freq_encode", "freq_encode_pair", "interactions"])
 def test_all_values_are_counted(spark, many_cards, name):
     against_sql(spark, many_cards, name)
 
