@@ -150,3 +150,57 @@ def test_ratio_to_earlier_amounts_of_nothing(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", stats.F.col("ts").cast("timestamp_ntz"))
     df.write.parquet(f"{tmp_path}/events.parquet")
     against_sql(spark, str(tmp_path), "card_causal")
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "alike", "far"])
+def test_nearest_by_blocks(monkeypatch, kind):
+    """The same rows in the same order as the plain search, with many equal distances, equal rows and distant ones, and padding."""
+    import numpy as np
+    from feldspark.operators import impute
+
+    monkeypatch.setattr(impute, "LARGE", 1)
+    rnd = np.random.default_rng(5)
+    base = {"spread": rnd.normal(size=(3001, 6)), "ties": rnd.integers(0, 3, (3001, 6)).astype(float), "alike": np.ones((3001, 6)), "far": rnd.normal(size=(3001, 6)) * 1e4}[kind]
+    query = np.concatenate([base[:150], rnd.normal(size=(150, 6))])
+    for k in (1, 5, 200):
+        assert (impute.finder(base, k)(query) == impute.nearest(query, base, k)).all()
+    assert (impute.finder(base[:3], 5)(query) == impute.nearest(query, base[:3], 5)).all()
+
+
+def test_nearest_by_blocks_takes_less_time():
+    import time
+
+    import numpy as np
+    from feldspark.operators import impute
+
+    rnd = np.random.default_rng(5)
+    base, query = rnd.normal(size=(50_000, 8)), rnd.normal(size=(640, 8))
+    took = []
+    for find in (lambda q: impute.nearest(q, base, 5), impute.finder(base, 5)):
+        find(query[:64])
+        began = time.process_time()
+        find(query)
+        took.append(time.process_time() - began)
+    assert took[1] < took[0] / 3
+
+
+@pytest.mark.parametrize("gather", [20, 1000])
+def test_quantiles_of_large_tables(spark, monkeypatch, gather):
+    """With values that take many ranks, nulls, infinities and a column without values; cuts are counted in several jobs."""
+    import numpy as np
+    from feldspark.operators import stats as st
+
+    monkeypatch.setattr(st, "HELD", 0)
+    monkeypatch.setattr(st, "GATHER", gather)
+    monkeypatch.setattr(st, "COUNTED", 7)
+    rnd = np.random.default_rng(6)
+    n = 6000
+    columns = {"a": rnd.normal(size=n), "b": np.where(rnd.random(n) < 0.9, 4.0, rnd.integers(0, 9, n)), "c": np.where(rnd.random(n) < 0.3, None, rnd.exponential(size=n)), "d": np.where(rnd.random(n) < 0.2, np.inf, np.where(rnd.random(n) < 0.2, -np.inf, rnd.normal(size=n))), "e": np.full(n, None)}
+    df = spark.createDataFrame([tuple(None if v is None else float(v) for v in r) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns)).cache()
+    # places that fall on ranks, so that no infinity is interpolated
+    got = st.quantiles(df, ["a", "b", "c", "e"], [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])
+    for c in "abc":
+        own = [float(v) for v in columns[c] if v is not None]
+        assert got[c] == pytest.approx(np.quantile(own, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]).tolist())
+    assert got["e"] is None
+    assert st.quantiles(df, ["d"], [0.5])["d"] == pytest.approx([np.median(columns["d"].astype(float))])
