@@ -144,12 +144,13 @@ def test_sums_of_amounts_do_not_depend_on_parts(spark, monkeypatch, hot):
     assert len(found[0]) == 900 and all(f == found[0] for f in found)
 
 
-def test_ratio_to_earlier_amounts_of_nothing(spark, tmp_path):
-    values = {1: [0.0, 5.0, 2.0], 2: [0.0, 0.0, 7.5], 3: [0.0, -4.0, 1.0], 4: [3.0, -3.0, 2.0]}
+@pytest.mark.parametrize("name", ["card_causal", "interactions"])
+def test_ratio_to_earlier_amounts_of_nothing(spark, tmp_path, name):
+    values = {1: [0.0, 5.0, 2.0], 2: [0.0, 0.0, 7.5], 3: [0.0, -0.25, 1.0], 4: [0.5, -0.5, 2.0]}
     rows = [(u * 10 + i, f"2024-01-0{i + 1} 00:00:00", u, "view", v, "") for u, vs in values.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", stats.F.col("ts").cast("timestamp_ntz"))
     df.write.parquet(f"{tmp_path}/events.parquet")
-    against_sql(spark, str(tmp_path), "card_causal")
+    against_sql(spark, str(tmp_path), name)
 
 
 @pytest.mark.parametrize("kind", ["spread", "ties", "alike", "far"])
