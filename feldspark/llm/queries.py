@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, html_extract, jaccard_join, language_id, lm_scoring, matroska, secret_scan, sharding
+from . import bpe, chat_format, collocations, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, matroska, secret_scan, sharding, sort_means
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -68,7 +68,19 @@ def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-FUNCTIONS = (op1_html_extract, op2_decontaminate, op3_lm_scoring, op4_chat_format, op5_matroska, op6_bpe, op7_jaccard_join, op8_secret_scan, op9_language_id, op10_jump_hash)
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"))
+
+
+FUNCTIONS = (op1_html_extract, op2_decontaminate, op3_lm_scoring, op4_chat_format, op5_matroska, op6_bpe, op7_jaccard_join, op8_secret_scan, op9_language_id, op10_jump_hash, op11_sort_means, op12_collocations, op13_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -116,7 +128,55 @@ def _components_sql(table: str, width: int, percent: int) -> str:
         components AS (SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = w.doc_id), w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id))"""
 
 
+def _means_sql(k: int, rounds: int, seed: int, scale: int, dimensions: int) -> str:
+    """k-means by all distances, a table for each round's centroids and assignments."""
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = f"""
+        c0 AS MATERIALIZED (SELECT c, x FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS c, x FROM v WHERE vec_id IS NOT NULL) WHERE c < {k})"""
+    for i in range(rounds + 1):
+        steps += f""",
+        a{i} AS MATERIALIZED (SELECT n, vec_id, v.x, c, {apart} AS d FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1)"""
+        if i < rounds:
+            steps += f""",
+        s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY 1, 2),
+        m{i} AS (SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY j) AS x FROM s{i} GROUP BY 1),
+        c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c)"""
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}),{steps}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
 ORACLE = {
+    "op11_sort_means": _means_sql(sort_means.CLUSTERS, sort_means.ROUNDS, sort_means.SEED, sort_means.SCALE, sort_means.DIMENSIONS),
+    "op12_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+        f1 AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY 1, 2),
+        f2 AS MATERIALIZED (SELECT lang, x.a AS a, x.b AS b, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: {'a': ws[i], 'b': ws[i + 1]})) AS x FROM w) GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+        f3 AS MATERIALIZED (SELECT lang, x.a AS a, x.b AS b, x.c AS c, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]})) AS x FROM w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+        inner2 AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY 1, 2, 3),
+        cuts AS (
+            SELECT t.lang, t.a || ' ' || t.b AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS k
+            FROM f2 t JOIN f1 x ON x.lang = t.lang AND x.x = t.a JOIN f1 y ON y.lang = t.lang AND y.x = t.b
+                LEFT JOIN inner2 i ON i.lang = t.lang AND i.a = t.a AND i.b = t.b
+            WHERE i.f IS NULL OR 100 * i.f < 50 * t.f
+            UNION ALL SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, x.f, y.f, 1
+            FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.x = t.a JOIN f2 y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+            UNION ALL SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, x.f, y.f, 2
+            FROM f3 t JOIN f2 x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN f1 y ON y.lang = t.lang AND y.x = t.c),
+        scored AS (SELECT lang, phrase, a, l, r, k, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM n WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)""",
     "op3_lm_scoring": _lm_sql(lm_scoring.ORDER, lm_scoring.ALPHA),
     "op7_jaccard_join": f"WITH RECURSIVE {_components_sql('documents', 4, 85)} SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id FROM components",
     "op4_chat_format": r"""

@@ -13,7 +13,7 @@ def test_sql(spark, duck, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert [q.split("_")[0] for q in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_contract_columns(spark, sf_dir):
@@ -26,6 +26,9 @@ def test_contract_columns(spark, sf_dir):
         "op8_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
         "op9_language_id": {"doc_id", "held_out", "lang_pred", "score"},
         "op10_jump_hash": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+        "op11_sort_means": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+        "op12_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
+        "op13_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
     }
     for name, columns in want.items():
         assert columns <= set(queries.queries()[name](spark, sf_dir).columns)
