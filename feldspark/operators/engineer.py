@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +13,8 @@ from .tables import kept
 # Columns whose missing values are counted together.
 CRUCIAL = ("card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2", "P_emaildomain")
 KEY_PARTS = ("card1", "card2", "card3", "card5", "addr1")
-#: Rows, or blocks of rows, that are added up one by one.
-FAN = 16
+#: Units of an amount: sums of amounts are taken in whole millionths.
+UNITS = 1_000_000
 
 
 def temporal(df: DataFrame, cfg: Config = Config(), time: str = "TransactionDT") -> DataFrame:  # noqa: B008
@@ -58,35 +56,51 @@ def running_count(df: DataFrame, key: list[str], order: list[str], into: str) ->
     return df.withColumn(into, (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long"))
 
 
+def units(amount: Column) -> Column:
+    """An amount as a whole number of units, of which sums are exact in any order; missing ones are null."""
+    return F.rint(amount.cast("double") * UNITS).cast("decimal(38,0)")
+
+
+def ratio(own: Column, n: Column, spent: Column) -> Column:
+    """An amount over the mean of n earlier ones that are `spent` in all, within [0, 100], and 1 if there is none.
+
+    Both are whole units. Over earlier amounts of 0 in all it is what an infinite one is clipped to: 100, 0 for a negative amount.
+    """
+    over = S.clip(S.divide(own.cast("double") * n, spent.cast("double")), 0.0, 100.0)
+    return F.when(n == 0, F.lit(1.0)).when(spent == 0, F.when(own < 0, 0.0).when(own >= 0, 100.0)).otherwise(over)
+
+
 def history(df: DataFrame, key: list[str], time: str = "TransactionDT", row: str = "TransactionID", amount: str = "TransactionAmt") -> DataFrame:
     """card_prior_txn_count, card_is_first_seen, card_time_since_last, card_velocity and amt_to_avg_card_ratio.
 
     Each depends on the card's earlier rows alone: those before it in (time, row). Rows of a card that has more than a
-    task sorts are parted by slices of time, and what lies in the slices before is added. The ratio is null where earlier
-    amounts are 0 in all.
+    task sorts are parted by slices of time, and what lies in the slices before is added: numbers, times and exact sums,
+    so the result is the same to the last bit for any slices. Missing amounts count as 0 in sums, and have no ratio.
     """
     most = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    sliced, before = _slices(df, key, time) if most > stats.PART_ROWS else (df.withColumn("__slice", F.lit(0)), None)
-    w = Window.partitionBy(*key, "__slice").orderBy(time, row)
-    found = sliced.select("*", (F.row_number().over(w) - 1).cast("long").alias("__n"), F.lag(time).over(w).alias("__last"), F.first(time).over(w).alias("__first"))
+    sliced, before = _slices(df, key, time, amount) if most > stats.PART_ROWS else (df, None)
+    w = Window.partitionBy(*key, *(["__slice"] if before is not None else [])).orderBy(time, row)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("decimal(38,0)")
+    found = sliced.select(
+        "*", (F.row_number().over(w) - 1).cast("long").alias("__n"), F.lag(time).over(w).alias("__last"), F.first(time).over(w).alias("__first"), F.coalesce(F.sum(units(F.col(amount))).over(earlier), none).alias("__spent"),
+    )
     if before is not None:
         same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
         joined = found.join(F.broadcast(before), [*same, F.col("__slice") == F.col("__of")], "left")
         found = joined.select(
             *[F.col(f"`{c}`") for c in df.columns], (F.col("__n") + F.coalesce(F.col("__before_n"), F.lit(0))).alias("__n"),
-            F.coalesce("__last", "__before_last").alias("__last"), F.coalesce("__before_first", "__first").alias("__first"),
+            F.coalesce("__last", "__before_last").alias("__last"), F.coalesce("__before_first", "__first").alias("__first"), (F.col("__spent") + F.coalesce("__before_spent", none)).alias("__spent"),
         )
-    found = _spent(found, key, amount, most, before is not None)
     n, dt = F.col("__n"), F.col(time)
-    ratio = F.when(n == 0, F.lit(1.0)).otherwise(S.clip(S.divide(F.col(amount).cast("double"), S.divide(F.col("__spent"), n)), 0.0, 100.0))
     return found.select(
         *df.columns, n.cast("int").alias("card_prior_txn_count"), (n == 0).cast("tinyint").alias("card_is_first_seen"), F.coalesce(F.log1p((dt - F.col("__last")).cast("double")), F.lit(-1.0)).alias("card_time_since_last"),
-        (n / ((dt - F.col("__first")) / 86400.0 + 1)).alias("card_velocity"), ratio.alias("amt_to_avg_card_ratio"),
+        (n / ((dt - F.col("__first")) / 86400.0 + 1)).alias("card_velocity"), ratio(units(F.col(amount)), n, F.col("__spent")).alias("amt_to_avg_card_ratio"),
     )
 
 
-def _slices(df: DataFrame, key: list[str], time: str) -> tuple[DataFrame, DataFrame]:
-    """df with the slice of time that a row of a hot card is in (0 for others), and for each slice of a hot card the number and times of the rows before it.
+def _slices(df: DataFrame, key: list[str], time: str, amount: str) -> tuple[DataFrame, DataFrame]:
+    """df with the slice of time that a row of a hot card is in (0 for others), and for each slice of a hot card the number, times and amounts of the rows before it.
 
     Hot cards have over PART_ROWS rows each, so they and their slices are few: rows over PART_ROWS.
     """
@@ -100,52 +114,13 @@ def _slices(df: DataFrame, key: list[str], time: str) -> tuple[DataFrame, DataFr
     shares = [i / most for i in range(1, most)]
     edges = kept(df.join(F.broadcast(hot), same).groupBy(*own).agg(F.array_distinct(F.percentile_approx(F.col(time).cast("double"), shares, 10 * most)).alias("__edges")))
     marked = df.join(F.broadcast(edges), same, "left").withColumn("__slice", F.coalesce(stats.bucket_of(F.col(time).cast("double"), F.col("__edges")), F.lit(0)))
-    sums = marked.where("__edges IS NOT NULL").groupBy(*own, F.col("__slice").alias("__of")).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
+    sums = marked.where("__edges IS NOT NULL").groupBy(*own, F.col("__slice").alias("__of")).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), F.sum(units(F.col(amount))).alias("spent"))
     w = Window.partitionBy(*own).orderBy("__of")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*own, "__of", F.sum("n").over(earlier).alias("__before_n"), F.max("last").over(earlier).alias("__before_last"), F.min("first").over(Window.partitionBy(*own)).alias("__before_first"))
+    before = sums.select(*own, "__of", F.sum("n").over(earlier).alias("__before_n"), F.max("last").over(earlier).alias("__before_last"), F.min("first").over(Window.partitionBy(*own)).alias("__before_first"), F.sum("spent").over(earlier).alias("__before_spent"))
     return marked.select(*[F.col(f"`{c}`") for c in df.columns], "__slice"), kept(before)
 
 
-def _spent(df: DataFrame, key: list[str], amount: str, most: int, hot: bool) -> DataFrame:
-    """df with __spent, the sum of the amounts before row __n of its card, 0 if there is none. most: rows of the largest card.
-
-    Amounts are added by a tree, as SQL engines do for windows: whole blocks of the largest size first, then the blocks that
-    are a FAN-th of it, then rows. So a sum depends to the last bit on the rows and their order alone, and its error hardly
-    grows with them. Blocks of about a task's rows of a hot card are added in tasks of their own, and then their sums.
-    """
-    value = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
-    levels = next(k for k in range(64) if FAN**k >= most)
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    if not hot:
-        return _summands(df, key, "__n", value, levels).select(*columns, _total(F.col("__parts")).alias("__spent"))
-    base = max(1, round(math.log(stats.PART_ROWS, FAN)))
-    marked = df.withColumn("__block", F.floor(F.col("__n") / FAN**base)).repartition(*key, "__block")
-    rows = kept(_summands(marked, [*key, "__block"], "__n", value, base))
-    blocks = rows.groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(key)], F.col("__block").alias("__of")).agg(F.max("__whole").alias("__sum"))
-    above = _summands(blocks, [f"__k{i}" for i in range(len(key))], "__of", F.col("__sum"), max(0, levels - base)).withColumnRenamed("__parts", "__above").where("__of > 0").drop("__sum", "__whole")
-    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    joined = rows.join(F.broadcast(kept(above)), [*same, F.col("__block") == F.col("__of")], "left")
-    none = F.array().cast("array<double>")
-    return joined.select(*columns, _total(F.concat(F.coalesce("__above", none), "__parts")).alias("__spent"))
-
-
-def _summands(df: DataFrame, parted: list[str], at: str, value: Column, levels: int) -> DataFrame:
-    """df with __parts, the sums of the blocks before a row and then the single values, within blocks of FAN ** levels rows; and __whole, such a block's sum on its last row."""
-    out = df.withColumn("__whole", value).withColumn("__parts", F.array().cast("array<double>"))
-    for size in (FAN ** (k + 1) for k in range(levels)):
-        before = Window.partitionBy(*parted, F.floor(F.col(at) / size)).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-        listed = out.withColumn("__earlier", F.collect_list("__whole").over(before))
-        whole = F.when(F.col(at) % size == size - 1, _total(F.concat("__earlier", F.array("__whole"))))
-        out = listed.select(*[F.col(f"`{c}`") for c in df.columns], F.concat("__earlier", "__parts").alias("__parts"), whole.alias("__whole"))
-    return out
-
-
-def _total(values: Column) -> Column:
-    """The sum of an array, from its first value to its last."""
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
-
 def row_flags(df: DataFrame) -> DataFrame:
     """missing_crucial_info (how many of nine are missing) and email_match, for the columns that there are."""
     out = df.withColumn("missing_crucial_info", S.null_count([F.col(c) for c in CRUCIAL if c in df.columns]).cast("tinyint"))
