@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+import math
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..roles import NUMERIC
 from .tables import kept
 
-#: Columns of one aggregation, rows of a bracket that one task counts, rows that one task sorts (about, at most and at least).
+#: Columns of one aggregation, different values of a bracket that one task orders, rows that one task sorts (about, at most and at least).
 BLOCK, GATHER, PART_ROWS, SMALL_PART = 48, 200_000, 1_000_000, 10_000
 #: Columns of a pass over (column, value) pairs; rows up to which a column's distinct values are held by one task.
 PAIRED, HELD = 150, 500_000
-#: Approximate quantiles are right within a share of 1 / ACCURACY; cuts counted at a time (two numbers each, which is as much as Spark compiles).
-ACCURACY, COUNTED = 1000, 45
 
 
 def blocks(columns: list[str], size: int = BLOCK) -> Iterable[list[str]]:
@@ -136,111 +136,145 @@ def constant(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float] | None]:
-    """Exact quantiles with linear interpolation; None for a column without values.
+    """Exact quantiles with linear interpolation; None for a column without values. NaN is no value.
 
-    Up to HELD rows, the task of a column holds its distinct values. Beyond, order statistics are bracketed by approximate
-    quantiles until a bracket holds no more than GATHER rows, which are then counted by value and added up on the
-    executors: no task ever sorts or holds more of a column, at any number of rows, and what comes to the driver is the
-    values asked for.
+    Up to HELD rows, the task of a column holds its distinct values. Beyond, one pass makes a sketch of each column, from
+    which come brackets around the order statistics that are asked for, and one pass counts the values in the brackets by
+    value and those between by number: the counts say which values the order statistics are. Only where a bracket has over
+    GATHER different values, or a sketch was wrong, is it narrowed by a sketch of its own and counted again. What comes to the
+    driver is a few numbers for each column, and no task holds more of a column than a bracket.
     """
+    value = lambda c: F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double"))
+    own = df.select(*[value(c).alias(str(i)) for i, c in enumerate(columns)])
+    names = own.columns
     if df.count() <= HELD:
-        found = _grouped(df, columns, {"q": F.percentile("value", F.array(*map(F.lit, probabilities)))})
-        return {c: list(found[c]["q"]) if found[c]["q"] is not None else None for c in columns}
-    out: dict[str, list[float] | None] = {}
-    for part in blocks(columns):
-        sizes = {c: v["n"] for c, v in _per_column(df, part, n=lambda c: F.count(_q(c))).items()}
-        wanted: dict[str, dict[int, float]] = {c: {} for c in part}
-        open_: dict[tuple[str, float | None, float | None], tuple[int, set[int]]] = {}
-        for c in part:
-            if sizes[c]:
-                ranks = {r for p in probabilities for r in (int(p * (sizes[c] - 1)), min(int(p * (sizes[c] - 1)) + 1, sizes[c] - 1))}
-                open_[c, None, None] = sizes[c], ranks
-        while open_:
-            small = {k: v for k, v in open_.items() if v[0] <= GATHER}
-            if small:
-                _read_ranks(df, small, wanted)
-                for k in small:
-                    del open_[k]
-                continue
-            open_ = _narrowed(df, open_, wanted)
-        for c in part:
-            n = sizes[c]
-            out[c] = [_interpolated(wanted[c], p, n) for p in probabilities] if n else None
+        found = _grouped(own, names, {"q": F.percentile("value", F.array(*map(F.lit, probabilities)))})
+        return {c: list(found[i]["q"]) if found[i]["q"] is not None else None for c, i in zip(columns, names, strict=True)}
+    sketches = _sketches(own, dict.fromkeys(names, (-_INF, _INF)))
+    sizes = {r["c"]: r["n"] for r in sketches.select("c", F.kll_sketch_get_n_double("s").alias("n")).collect()}
+    places = {c: sorted({r for p in probabilities for r in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))}) for c, n in sizes.items() if n}
+    brackets = _around(own, {c: [(-_INF, _INF, 0, sizes[c], p)] for c, p in places.items()}, sketches)
+    wanted: dict[str, dict[int, float]] = {c: {} for c in places}
+    while brackets:
+        brackets = _counted(own, brackets, wanted)
+    return {c: [_interpolated(wanted[i], p, sizes[i]) for p in probabilities] if i in places else None for c, i in zip(columns, names, strict=True)}
+
+
+_INF = float("inf")
+#: Values that a sketch keeps (it is right within about 2.4 / SKETCH ** 0.94 of all values), how many times that brackets reach, and groups of parts whose sketches are merged first.
+SKETCH, REACH, MERGED = 4000, 3.0, 256
+#: Steps of the shares at which sketches are read.
+GRID = 1000
+
+
+def _sketches(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """(c, s): a sketch of each column's values within a range, stored; one pass. Sketches of parts of the table are merged for all columns together first."""
+    inside = lambda c, low, high: F.when((_q(c) >= F.lit(low)) & (_q(c) <= F.lit(high)), _q(c))
+    parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("part")).agg(*[F.kll_sketch_agg_double(inside(c, *r), F.lit(SKETCH)).alias(c) for c, r in ranges.items()])
+    listed = parts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), _q(c).alias("s")) for c in ranges])))
+    return kept(listed.groupBy("c").agg(F.kll_merge_agg_double("s").alias("s")))
+
+
+def _grid(sketches: DataFrame) -> dict[str, list[float]]:
+    """Approximate quantiles of each column at GRID + 1 evenly spaced shares."""
+    told = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    found = sketches.where(F.kll_sketch_get_n_double("s") > 0).select("c", F.kll_sketch_get_quantile_double("s", told).alias("q"))
+    return {r["c"]: r["q"] for r in found.collect()}
+
+
+def _around(df: DataFrame, zones: dict[str, list[tuple]], sketches: DataFrame | None = None) -> dict[str, list[tuple]]:
+    """Brackets (low, high, least rank, number of values, ranks) within zones of the same form, around their ranks; zones of a column are sketched one pass after the other."""
+    out: dict[str, list[tuple]] = {c: [] for c in zones}
+    error = REACH * 2.446 / SKETCH**0.9433
+    for k in range(max((len(z) for z in zones.values()), default=0)):
+        own = {c: z[k] for c, z in zones.items() if len(z) > k}
+        spans: dict[str, list[list[int]]] = {}
+        for c, (_, _, _, n, ranks) in own.items():
+            # ranks that are close to each other have one bracket
+            groups = spans[c] = [[ranks[0]]]
+            for r in ranks[1:]:
+                if (r - groups[-1][-1]) / n <= 2 * error:
+                    groups[-1].append(r)
+                else:
+                    groups.append([r])
+        grid = _grid(sketches if sketches is not None else _sketches(df, {c: z[:2] for c, z in own.items()}))
+        for c, (low, high, first, n, _) in own.items():
+            for g in spans[c]:
+                # a bracket that reaches over the end of the zone ends there
+                from_, to = math.floor(((g[0] - first) / n - error) * GRID), math.ceil(((g[-1] + 1 - first) / n + error) * GRID)
+                a = low if from_ <= 0 or c not in grid else grid[c][from_]
+                b = high if to >= GRID or c not in grid else grid[c][to]
+                if out[c] and a <= out[c][-1][1]:
+                    last = out[c].pop()
+                    a, b, g = last[0], max(b, last[1]), sorted(last[4] + g)
+                out[c].append((a, b, first, n, g))
     return out
 
 
-def _read_ranks(df: DataFrame, brackets: dict, wanted: dict) -> None:
-    """The values at the ranks of small brackets, by running counts of the values of each."""
-    keys = list(brackets)
-    columns = list(dict.fromkeys(k[0] for k in keys))
-    own = {c: [i for i, k in enumerate(keys) if k[0] == c] for c in columns}
-    value = {c: _q(c).cast("double") for c in columns}
-    # brackets of a column don't overlap
-    held = [_within(k[0], k) & value[k[0]].isNotNull() for k in keys]
-    which = {c: F.coalesce(*[F.when(held[i], F.lit(i)) for i in own[c]]) for c in columns}
-    pairs = F.array(*[F.struct(which[c].alias("i"), value[c].alias("value")) for c in columns])
-    # most rows are in no bracket
-    rows = df.where(reduce(lambda a, b: a | b, held)).select(F.inline(pairs)).where("i IS NOT NULL")
-    counts = rows.groupBy("i", "value").count()
-    after = F.sum("count").over(Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    places = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(i), F.array(*[F.lit(_offset(brackets[k][1], r)).cast("long") for r in sorted(brackets[k][1])]))])
-    summed = counts.withColumn("after", after).withColumn("before", F.col("after") - F.col("count")).withColumn("places", places[F.col("i")])
-    hit = F.filter("places", lambda r: (r >= F.col("before")) & (r < F.col("after")))
-    for r in summed.select("i", "value", hit.alias("hit")).where(F.size("hit") > 0).collect():
-        ranks = brackets[keys[r["i"]]][1]
-        wanted[keys[r["i"]][0]] |= {x + getattr(ranks, "below", 0): r["value"] for x in r["hit"]}
-
-
-class _Ranks(set):
-    """Ranks with the number of values below their bracket."""
-
-    below = 0
-
-
-def _offset(ranks: set, r: int) -> int:
-    return r - getattr(ranks, "below", 0)
-
-
-def _within(c: str, key: tuple[str, float | None, float | None]) -> Column:
-    """Whether a value lies between the ends of a bracket, which aren't in it; None is no end."""
-    _, low, high = key
-    v, out = _q(c).cast("double"), F.lit(True)
-    if low is not None:
-        out = out & (v > F.lit(low))
-    if high is not None:
-        out = out & (v < F.lit(high))
-    return out
-
-
-def _narrowed(df: DataFrame, brackets: dict, wanted: dict) -> dict:
-    """Brackets cut at approximate quantiles around their ranks. A cut is a value of the column: it answers the ranks that it
-    takes itself and is in no bracket then, so every round takes at least one value off."""
-    keys = list(brackets)
-    shares = []
-    for key in keys:
-        n, ranks = brackets[key]
-        places = [_offset(ranks, r) / max(n - 1, 1) for r in ranks]
-        shares.append(sorted({min(1.0, max(0.0, x + d)) for x in places for d in (-0.002, 0.0, 0.002)}))
-    inside = [F.when(_within(k[0], k), _q(k[0]).cast("double")) for k in keys]
-    row = df.agg(*[F.percentile_approx(c, s, ACCURACY).alias(str(i)) for i, (c, s) in enumerate(zip(inside, shares, strict=True))]).first()
-    cuts = [(k, x) for i, k in enumerate(keys) for x in sorted(set(row[str(i)]))]
-    counted: dict = {}
-    for part in blocks(cuts, COUNTED):
-        aggregates = [F.count_if(own).alias(f"{name}{i}") for i, (k, x) in enumerate(part) for name, own in (("lt", _within(k[0], (k[0], k[1], x))), ("le", _within(k[0], (k[0], k[1], None)) & (_q(k[0]).cast("double") <= F.lit(x))))]
-        found = df.agg(*aggregates).first()
-        counted |= {cut: (found[f"lt{i}"], found[f"le{i}"]) for i, cut in enumerate(part)}
-    out: dict = {}
-    for k in keys:
-        n, ranks = brackets[k]
-        start, done, low = getattr(ranks, "below", 0), 0, k[1]
-        for x, lt, le in [*((x, *counted[own, x]) for own, x in cuts if own == k), (k[2], n, n)]:
-            between = _Ranks(r for r in ranks if start + done <= r < start + lt)
-            between.below = start + done
-            if between:
-                out[k[0], low, x] = lt - done, between
-            wanted[k[0]] |= {r: x for r in ranks if start + lt <= r < start + le}
-            done, low = le, x
-    return out
+def _counted(df: DataFrame, brackets: dict[str, list[tuple]], wanted: dict[str, dict[int, float]]) -> dict[str, list[tuple]]:
+    """The values at the brackets' ranks, by one pass that counts all values: those in a bracket by value, those between by zone. Gives brackets that are still open."""
+    columns = [c for c in brackets if brackets[c]]
+    lows = [np.array([b[0] for b in brackets[c]]) for c in columns]
+    highs = [np.array([b[1] for b in brackets[c]]) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Zone 2i is below bracket i (and above the one before), zone 2i + 1 is bracket i."""
+        between = [np.zeros(2 * len(x) + 1, np.int64) for x in lows]
+        held: list[list[np.ndarray]] = [[] for _ in columns]
+        n = 0
+
+        def told() -> pa.RecordBatch:
+            at, zone, value, count = [], [], [], []
+            for i, own in enumerate(held):
+                some, number = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0), np.zeros(0, np.int64))
+                own.clear()
+                outside = np.flatnonzero(between[i])
+                at.append(np.full(len(some) + len(outside), i))
+                zone.append(np.concatenate([2 * np.searchsorted(lows[i], some, "right") - 1, outside]))
+                value.append(np.concatenate([some, np.zeros(len(outside))]))
+                count.append(np.concatenate([number, between[i][outside]]))
+                between[i][:] = 0
+            made = [np.concatenate(x) for x in (at, zone, value, count)]
+            return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.int32()), pa.array(made[2]), pa.array(made[3], pa.int64())], names=["i", "zone", "value", "count"])
+
+        for b in batches:
+            for i in range(len(columns)):
+                v = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                after = np.searchsorted(lows[i], v, "right")
+                inside = (after > 0) & (v <= highs[i][after - 1])
+                between[i] += np.bincount(2 * after[~inside], minlength=len(between[i]))
+                held[i].append(v[inside] + 0.0)
+                n += len(held[i][-1])
+            if n > GATHER * 10:
+                yield told()
+                n = 0
+        yield told()
+
+    rows = df.select(*[_q(c) for c in columns]).mapInArrow(run, "i int, zone int, value double, count long")
+    counts = kept(rows.groupBy("i", "zone", "value").agg(F.sum("count").alias("count")))
+    sizes = {(columns[r["i"]], r["zone"]): (r["n"], r["different"]) for r in counts.groupBy("i", "zone").agg(F.sum("count").alias("n"), F.count("*").alias("different")).collect()}
+    reading: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    left: dict[str, list[tuple]] = {}
+    for i, c in enumerate(columns):
+        below = 0
+        for zone in range(2 * len(brackets[c]) + 1):
+            n, different = sizes.get((c, zone), (0, 0))
+            ranks = [r for b in brackets[c] for r in b[4] if below <= r < below + n]
+            if ranks and zone % 2 and different <= GATHER:
+                reading[i, zone] = [(r, r - below) for r in ranks]
+            elif ranks:
+                edge = [-_INF, *[x for b in brackets[c] for x in b[:2]], _INF]
+                left.setdefault(c, []).append((edge[zone], edge[zone + 1], below, n, ranks))
+            below += n
+    if reading:
+        places = df.sparkSession.createDataFrame([(i, z, [p for _, p in x]) for (i, z), x in reading.items()], "i int, zone int, places array<long>")
+        after = F.sum("count").over(Window.partitionBy("i", "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        summed = counts.join(F.broadcast(places), ["i", "zone"]).withColumn("after", after).withColumn("before", F.col("after") - F.col("count"))
+        hit = F.filter("places", lambda r: (r >= F.col("before")) & (r < F.col("after")))
+        for r in summed.select("i", "zone", "value", hit.alias("hit")).where(F.size("hit") > 0).collect():
+            rank_of = {p: rank for rank, p in reading[r["i"], r["zone"]]}
+            wanted[columns[r["i"]]] |= {rank_of[p]: r["value"] for p in r["hit"]}
+    return _around(df, left) if left else {}
 
 
 def _interpolated(values: dict[int, float], p: float, n: int) -> float:
@@ -279,6 +313,35 @@ def positions(df: DataFrame, order: list[str], into: str = "position") -> DataFr
     return numbered.join(F.broadcast(told), part == F.col("__part")).select(*[_q(c) for c in df.columns if c != into], own)
 
 
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in an order that begins with a number; nulls come first, rows that are equal in all of it in any order.
+
+    Up to SMALL_PART rows are merged by one task. More are cut off first: an approximate quantile of the first column leaves
+    hardly more than n rows (those equal to it stay), which are numbered in ranges of the order.
+    """
+    if n <= SMALL_PART:
+        return df.orderBy(*order).limit(n)
+    total, first = df.count(), _q(order[0])
+    share, own = 1.0 if not total else min(1.0, 1.02 * n / total + 0.001), df
+    while share < 1:
+        cut = df.agg(F.percentile_approx(first, share, 10_000).alias("cut")).first()["cut"]
+        own = df.where(first.isNull() | (first <= F.lit(cut).cast(df.schema[order[0]].dataType)))
+        if cut is not None and own.count() >= n:
+            break
+        share, own = share * 2, df
+    placed = positions(own, order, "__place")
+    return placed.where(F.col("__place") < n).drop("__place")
+
+
+def rows_at(df: DataFrame, order: list[str], places: Iterable[int]) -> dict[int, Row]:
+    """The values of the order's columns in the rows at some places of that order (from 0); places beyond the last row are left out.
+
+    Nothing but these columns is read, parted by ranges and sorted.
+    """
+    found = positions(df.select(*order), order, "__place").where(F.col("__place").isin(sorted(set(places)))).collect()
+    return {r["__place"]: r for r in found}
+
+
 def auc(df: DataFrame, columns: list[str], label: str, ties: str = "average", order: list[str] | None = None) -> dict[str, float]:
     """Area under the curve of each column against a 0/1 label, the better of both directions; nulls and NaN are 0.
 
@@ -320,8 +383,6 @@ def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 def psi(base: DataFrame, other: DataFrame, columns: list[str], bins: int = 10, eps: float = 1e-6) -> dict[str, float]:
     """Population stability of other against base over base's distinct quantiles, the outer ones open; 0 with under 2 edges or no rows."""
-    import math
-
     edges = {c: sorted(set(q or [])) for c, q in quantiles(base, columns, [i / bins for i in range(bins + 1)]).items()}
     used = [c for c in columns if len(edges[c]) >= 2]
     out = dict.fromkeys(columns, 0.0)
