@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from . import stats
+from . import neighbours, stats
 
 # Columns that may be anchors, in the order of preference.
 ANCHORS = ("TransactionAmt_log", "transaction_hour", "card1_freq", "addr1_freq", "card_prior_txn_count", "card_velocity", *(f"C{i}" for i in range(1, 15)))
 #: Values of the reference rows that may be broadcast (8 bytes each), rows whose distances are held at a time.
 REFERENCE_VALUES, ROWS = 16_000_000, 256
+#: Keys of reference rows that are broadcast (some 50 bytes each).
+BROADCAST_KEYS = 1_000_000
 #: Reference rows from which on they are searched by blocks.
 LARGE = 5000
 
@@ -54,8 +56,11 @@ def hashed(key: Column, seed: int) -> Column:
 
 def reference(train: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n training rows: those with the least hashes of key and seed, whatever the partitioning. Keys are picked first, then joined."""
-    picked = train.select(key).orderBy(hashed(F.col(key), seed), key).limit(n)
-    return train.join(F.broadcast(picked), key)
+    md5 = hashed(F.col(key), seed)
+    # the first 60 bits of the hash, which sort as it does
+    first = F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
+    keys = stats.first_rows(train.select(first.alias("__first"), md5.alias("__md5"), key), ["__first", "__md5", key], n).select(key)
+    return train.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, key)
 
 
 def _distances(a: np.ndarray, b: np.ndarray, nan_aware: bool) -> np.ndarray:
@@ -137,7 +142,10 @@ def nearest(query: np.ndarray, base: np.ndarray, k: int, nan_aware: bool = False
 
 
 def finder(base: np.ndarray, k: int, nan_aware: bool = False) -> Callable[[np.ndarray], np.ndarray]:
-    """nearest() for many queries of one base; a large one is searched by blocks, where all coordinates are within single precision's range."""
+    """nearest() for many queries of one base; a large one is searched by blocks, where all coordinates are within single precision's range, or by patterns of what its rows have."""
+    if nan_aware and len(base) >= LARGE and neighbours.Patterns.worth(base):
+        index = neighbours.Patterns(base)
+        return lambda query: index.nearest(query, k)
     within = lambda x: bool((np.abs(x) < 1e15).all())
     blocks = Blocks(base) if not nan_aware and len(base) >= LARGE and within(base) else None
     return lambda query: blocks.nearest(query, min(k, len(base))) if blocks and within(query) else nearest(query, base, k, nan_aware)
@@ -153,15 +161,18 @@ def _mean_of(targets: np.ndarray, near: np.ndarray) -> np.ndarray:
 def knn_fill(df: DataFrame, ref: DataFrame, key: str, anchor_columns: list[Column], targets: list[str], k: int, defaults: dict[str, float], nan_aware: bool = False) -> DataFrame:
     """df with missing targets as the mean of those that the k nearest reference rows have, or the default.
 
-    The reference is collected and broadcast: its size is bounded by the number of rows asked of reference(), and checked.
-    df passes through in Arrow batches, and only rows with a missing target are compared.
+    A reference of REFERENCE_VALUES values at most is collected and broadcast: df passes through in Arrow batches, and only
+    rows with a missing target are compared. A larger one stays where it is, and both sides meet in cells (neighbours.fill);
+    for distances over shared coordinates alone, which have no such cells, it is an error.
     """
     spark = df.sparkSession
     names = [f"__a{i}" for i in range(len(anchor_columns))]
     own = [F.col(f"`{c}`").cast("double").alias(c) for c in targets]
     rows, width = ref.count(), 1 + len(names) + len(own)
     if rows * width > REFERENCE_VALUES:
-        raise ValueError(f"a reference of {rows} rows and {width} columns is too large; lower knn_ref")
+        if nan_aware:
+            raise ValueError(f"a reference of {rows} rows and {width} columns is too large; lower knn_ref")
+        return neighbours.fill(df, ref, key, anchor_columns, targets, k, defaults)
     base = ref.select(F.col(key).alias("__key"), *[a.alias(n) for a, n in zip(anchor_columns, names, strict=True)], *own).orderBy("__key").toPandas()
     shared = spark.sparkContext.broadcast((base[names].to_numpy(np.float64), base[targets].to_numpy(np.float64)))
     rest = [c for c in df.columns if c not in targets]
