@@ -54,6 +54,8 @@ class Config:
     freq_top: int = 50_000
     freq_normalize: bool = False
     missing_code: int | None = None
+    # whether M columns with other values than T and F are coded by rank, instead of -1 for these values
+    flags_by_rank: bool = False
     use_d1_uid: bool = True
     reference_epoch: int = 1_512_086_400
     day_of_week_offset: int = 4

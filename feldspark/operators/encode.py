@@ -1,11 +1,13 @@
 """Encoders fitted on training rows: frequencies, ordinal codes, T/F maps and interactions.
 
-A vocabulary is a table (column, value, count, code); all columns are counted in one pass. The pipeline's is bounded by
-`freq_top` values a column; a column's is broadcast while its values, which are counted, are few, and joined by shuffle beyond.
+A vocabulary is a table (column, value, count, code); all columns are counted in one pass. In the pipeline frequencies are
+those of the `freq_top` most frequent values, codes those of all; a column's vocabulary is broadcast while its values, which are counted, are few, and joined by shuffle beyond.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +28,25 @@ BROADCAST_ROWS = 1_000_000
 FEW = 64
 
 
-def fit(train: DataFrame, columns: list[str], top: int | None = 50_000, missing: str = UNKNOWN) -> DataFrame:
-    """(column, value, count, code): the `top` most frequent values of each column, or all (None); code is the rank by count, then value."""
+def fit(train: DataFrame, columns: list[str], top: int | None = 50_000, missing: str = UNKNOWN, whole: Collection[str] = ()) -> DataFrame:
+    """(column, value, count, code): the `top` most frequent values of each column, or all (None, and for columns in `whole`); code is the rank by count, then value.
+
+    How many values have each count, of which there are few, tells the least count that is among the first `top`; values
+    below it are left out before any ranking. Ranks are positions in ranges of the whole order, less that of the column's
+    first value, so no task ranks all values of a column.
+    """
     filled = train.select(*[S.text_of(F.col(f"`{c}`"), missing).alias(c) for c in columns])
-    counts = stats.value_counts(filled, columns)
-    if top is None:
-        # ranks are positions in ranges of the whole order, less that of the column's first value
-        placed = stats.positions(kept(counts.withColumn("__down", -F.col("count"))), ["column", "__down", "value"], "__position")
-        first = placed.groupBy("column").agg(F.min("__position").alias("__first"))
-        return placed.join(F.broadcast(first), "column").select("column", "value", "count", (F.col("__position") - F.col("__first")).alias("code"))
-    # the most frequent of each bucket of values first, so that no task ranks all values of a column
-    parts = stats.parts_of(train.count(), train.sparkSession)
-    order = [F.desc("count"), F.col("value")]
-    bucketed = counts.withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(parts)))
-    ahead = bucketed.withColumn("__n", F.row_number().over(Window.partitionBy("column", "__part").orderBy(*order))).where(F.col("__n") <= top)
-    ranked = ahead.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy(*order)) - 1)
-    return ranked.where(F.col("code") < top).select("column", "value", "count", "code")
+    counts = kept(stats.value_counts(filled, columns))
+    cut = [c for c in columns if c not in whole] if top is not None else []
+    if cut:
+        ladder = counts.where(F.col("column").isin(cut)).groupBy("column", "count").agg(F.count("*").alias("values"))
+        above = F.coalesce(F.sum("values").over(Window.partitionBy("column").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        least = ladder.withColumn("above", above).where(F.col("above") < top).groupBy("column").agg(F.min("count").alias("least"))
+        counts = counts.join(F.broadcast(least), "column", "left").where(F.col("least").isNull() | (F.col("count") >= F.col("least"))).drop("least")
+    placed = stats.positions(counts.withColumn("__down", -F.col("count")), ["column", "__down", "value"], "__position")
+    first = placed.groupBy("column").agg(F.min("__position").alias("__first"))
+    ranked = placed.join(F.broadcast(first), "column").select("column", "value", "count", (F.col("__position") - F.col("__first")).alias("code"))
+    return ranked.where(~F.col("column").isin(cut) | (F.col("code") < top)) if cut else ranked
 
 
 def sizes(vocabulary: DataFrame) -> dict[str, int]:

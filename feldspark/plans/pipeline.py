@@ -6,6 +6,7 @@ import time
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import roles
 from ..config import Config
@@ -87,9 +88,11 @@ class Pipeline:
         columns = encode.plan(df)
         every = [c for own in columns.values() for c in own]
         if every:
-            sinks.write_parquet(encode.fit(self.fitted(df), every, self.cfg.freq_top), f"{self.folder}/encoders")
+            # frequencies are capped, codes aren't
+            whole = columns["ordinal"] + columns["true_false"]
+            sinks.write_parquet(encode.fit(self.fitted(df), every, self.cfg.freq_top, whole=whole), f"{self.folder}/encoders")
         vocabulary = self.spark.read.parquet(f"{self.folder}/encoders") if every else self.spark.createDataFrame([], "column string, value string, count long, code int")
-        coded = [c for c in columns["true_false"] if not encode.is_true_false(vocabulary, c)]
+        coded = [c for c in columns["true_false"] if self.cfg.flags_by_rank and not encode.is_true_false(vocabulary, c)]
         self.params["encode"] = {"plan": columns, "flags_by_code": coded}
         return encode.transform(df, vocabulary, columns, self.cfg, tuple(coded), self.params["train_n"])
 
@@ -99,7 +102,7 @@ class Pipeline:
 
     def flags(self, df: DataFrame) -> DataFrame:
         rates = {c: r for c, r in self.params["missing_rate"].items() if c in df.columns}
-        self.params["flags"] = flags.fit(df, self.fitted(df), rates, self.cfg)
+        self.params["flags"] = flags.fit(df, rates, self.cfg, F.col("split") == split.TRAIN if self.cfg.fit_on == "train" else None)
         return flags.transform(df, self.params["flags"])
 
     def winsor(self, df: DataFrame) -> DataFrame:

@@ -95,24 +95,33 @@ SPLIT_SQL = f"""
 KEY_SQL = "coalesce(CAST(card1 AS VARCHAR), 'na') || '_' || coalesce(CAST(card2 AS VARCHAR), 'na') || '_' || coalesce(CAST(card3 AS VARCHAR), 'na') || '_' || coalesce(CAST(card5 AS VARCHAR), 'na') || '_' || coalesce(CAST(addr1 AS VARCHAR), 'na') || '_' || CAST(TransactionDT // 86400 - coalesce(D1, -9999) AS VARCHAR)"
 
 
-def history(df: DataFrame) -> DataFrame:
-    """The histories of cards, with the ratio as SQL has it where earlier amounts are 0 in all: clipped from an infinite one, not null."""
-    amount = F.col("TransactionAmt")
-    return engineer.history(df, ["card1"]).withColumn("amt_to_avg_card_ratio", F.coalesce("amt_to_avg_card_ratio", F.when(amount < 0, 0.0).when(amount.isNotNull(), 100.0)))
+# amounts in whole millionths, so that sums and quotients of both sides are of the same whole numbers
+UNITS_SQL = f"CAST(round_even(TransactionAmt * {engineer.UNITS}, 0) AS DECIMAL(38,0))"
+SPENT_SQL = f"coalesce(sum({UNITS_SQL}) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+RATIO_SQL = "CASE WHEN n = 0 THEN 1 WHEN spent = 0 THEN CASE WHEN a < 0 THEN 0 WHEN a >= 0 THEN 100 END ELSE greatest(0, least(100, CAST(a AS DOUBLE) * n / CAST(spent AS DOUBLE))) END"
+
+
+def half_up(c: Column | str, digits: int) -> Column:
+    """Rounded by the arithmetic of half_up_sql, so that halves of the last digit go the same way."""
+    return F.floor((F.col(c) if isinstance(c, str) else c) * F.lit(float(10**digits)) + F.lit(0.5)).cast("double") / F.lit(float(10**digits))
+
+
+def half_up_sql(e: str, digits: int) -> str:
+    return f"floor(({e}) * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE"
 
 
 @query(f"""
     WITH {TXN}, h AS (SELECT *, row_number() OVER w - 1 AS n, TransactionDT - lag(TransactionDT) OVER w AS gap, min(TransactionDT) OVER (PARTITION BY card1) AS first_dt,
-        coalesce(sum(TransactionAmt) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
+        {UNITS_SQL} AS a, {SPENT_SQL} AS spent
         FROM txn WINDOW w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID))
     SELECT TransactionID, n AS prior_n, CASE WHEN n = 0 THEN 1 ELSE 0 END AS first_seen, round(CASE WHEN gap IS NULL THEN -1 ELSE ln(1 + gap) END, 6) AS since_last,
-        round(n / ((TransactionDT - first_dt) / 86400.0 + 1), 6) AS velocity, round(CASE WHEN n = 0 THEN 1 ELSE greatest(0, least(100, TransactionAmt / (spent / n))) END, 6) AS ratio
+        round(n / ((TransactionDT - first_dt) / 86400.0 + 1), 6) AS velocity, {half_up_sql(RATIO_SQL, 6)} AS ratio
     FROM h""")
 def card_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = history(txn(spark, sf_dir))
+    got = engineer.history(txn(spark, sf_dir), ["card1"])
     return got.select(
         "TransactionID", F.col("card_prior_txn_count").cast("long").alias("prior_n"), F.col("card_is_first_seen").cast("int").alias("first_seen"), rounded("card_time_since_last").alias("since_last"),
-        rounded("card_velocity").alias("velocity"), rounded("amt_to_avg_card_ratio").alias("ratio"),
+        rounded("card_velocity").alias("velocity"), half_up("amt_to_avg_card_ratio", 6).alias("ratio"),
     )
 
 
@@ -396,19 +405,18 @@ def tf_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn(spark, sf_dir).select("TransactionID", S.true_false(F.col("M1")).cast("int").alias("m1"))
 
 
-@query(f"""WITH {TXN}, {_VOCAB('card1')}, {_VOCAB('addr1')}, {_VOCAB('card4')}, h AS (SELECT TransactionID, row_number() OVER w - 1 AS n, TransactionAmt AS a,
-        coalesce(sum(TransactionAmt) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM txn WINDOW w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
-    r AS (SELECT TransactionID, CASE WHEN n = 0 THEN 1 ELSE greatest(0, least(100, a / (spent / n))) END AS ratio FROM h)
-    SELECT txn.TransactionID, round({_FOUND('addr1', 'n', 0)} * ln(1 + TransactionAmt), 5) AS addr_x_log, round({_FOUND('card1', 'n', 0)} * ratio, 4) AS card_x_ratio, round(ln(1 + {_FOUND('card1', 'n', 0)}), 6) AS card1_freq_log,
+@query(f"""WITH {TXN}, {_VOCAB('card1')}, {_VOCAB('addr1')}, {_VOCAB('card4')}, h AS (SELECT TransactionID, row_number() OVER w - 1 AS n, {UNITS_SQL} AS a, {SPENT_SQL} AS spent FROM txn WINDOW w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
+    r AS (SELECT TransactionID, {RATIO_SQL} AS ratio FROM h)
+    SELECT txn.TransactionID, {half_up_sql(_FOUND('addr1', 'n', 0) + " * ln(1 + TransactionAmt)", 5)} AS addr_x_log, {half_up_sql(_FOUND('card1', 'n', 0) + " * ratio", 4)} AS card_x_ratio, round(ln(1 + {_FOUND('card1', 'n', 0)}), 6) AS card1_freq_log,
         {_FOUND('card4', 'code', -1)} AS card4, CASE M1 WHEN 'T' THEN 1 WHEN 'F' THEN 0 ELSE -1 END AS m1, 0 AS n_strings FROM txn JOIN r USING (TransactionID)""")
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole encoding: frequencies, codes, T and F, products, and no string left."""
-    df = history(engineer.amounts(txn(spark, sf_dir)))
+    df = engineer.history(engineer.amounts(txn(spark, sf_dir)), ["card1"])
     columns = {"frequency": ["card1", "addr1"], "pair": [], "true_false": ["M1"], "ordinal": ["card4"]}
     v = encode.fit(df.where(_HALF), ["card1", "addr1", "card4", "M1"], None)
     out = encode.transform(df, v, columns, Config())
     return out.select(
-        "TransactionID", rounded("addr1_freq_x_amt_log", 5).alias("addr_x_log"), rounded("card1_freq_x_ratio", 4).alias("card_x_ratio"), rounded("card1_freq_log").alias("card1_freq_log"), F.col("card4").cast("long").alias("card4"),
+        "TransactionID", half_up("addr1_freq_x_amt_log", 5).alias("addr_x_log"), half_up("card1_freq_x_ratio", 4).alias("card_x_ratio"), rounded("card1_freq_log").alias("card1_freq_log"), F.col("card4").cast("long").alias("card4"),
         F.col("M1").cast("int").alias("m1"), F.lit(len(roles.strings(out))).alias("n_strings"),
     )
 
@@ -433,7 +441,7 @@ def missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flag_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = txn(spark, sf_dir)
     own = flags.candidates(list(_FLAGGED), stats.missing_rates(df, list(_FLAGGED)), Config())
-    return table(spark, [(flags.name(g), len(g)) for g in flags.groups(df, own, "TransactionID")], "flag string, n long")
+    return table(spark, [(flags.name(g), len(g)) for g in flags.groups(df, own)], "flag string, n long")
 
 
 @query(f"WITH {TXN} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END), 9) AS rate FROM txn" for c in ("D1", "C1", "C2", "V1")) + ") WHERE rate > 0.05 AND rate <= 0.9 OR rate > 0 AND (\"column\" LIKE 'C%' OR \"column\" LIKE 'D%')")
@@ -518,10 +526,24 @@ def log1p_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, [(c, c in made, round(means[f"{c}_log1p"]["mean"], 6) if c in made else None) for c in _SHAPED], "column string, logged boolean, mean double")
 
 
-@query()
+_LAMBDAS = tuple(k / 4 for k in range(-8, 13))
+_YEO = lambda c: f"CASE WHEN {c} >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + {c}) ELSE (power(1 + {c}, lam) - 1) / lam END ELSE CASE WHEN lam = 2 THEN -ln(1 - {c}) ELSE -(power(1 - {c}, 2 - lam) - 1) / (2 - lam) END END"
+
+
+@query(
+    f"WITH {LINE}, g AS (SELECT unnest([{', '.join(map(str, _LAMBDAS))}])::DOUBLE AS lam), p AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", lam, (lam - 1) * avg(CASE WHEN {c} = 0 THEN 0 ELSE sign({c}) * ln(1 + abs({c})) END) - ln(greatest(var_pop({_YEO(c)}), 1e-300)) / 2 AS x FROM tr, g WHERE {c} IS NOT NULL GROUP BY lam" for c in _SHAPED)
+    + ") SELECT \"column\", lam, round(x, 6) AS per_row, row_number() OVER (PARTITION BY \"column\" ORDER BY x DESC, lam) = 1 AS best, true AS near FROM p"
+)
 def yeo_johnson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winsor.best_lambdas(train(li(spark, sf_dir)), list(_SHAPED))
-    return table(spark, [(c, round(v, 3)) for c, v in found.items()], "column string, lambda double")
+    """The log-likelihood a row of each lambda of a grid, whether it is the grid's best, and whether the refined lambda is next to it."""
+    own = train(li(spark, sf_dir))
+    found = winsor.likelihoods(winsor.value_table(own, list(_SHAPED)), {c: list(_LAMBDAS) for c in _SHAPED})
+    refined = winsor.best_lambdas(own, list(_SHAPED))
+    n = stats.moments(own, list(_SHAPED))
+    best = {c: _LAMBDAS[max(range(len(_LAMBDAS)), key=v.__getitem__)] for c, v in found.items()}
+    rows = [(c, lam, round(x / n[c]["n"], 6), lam == best[c], abs(refined[c] - best[c]) < _LAMBDAS[1] - _LAMBDAS[0]) for c, v in found.items() for lam, x in zip(_LAMBDAS, v, strict=True)]
+    return table(spark, rows, "column string, lam double, per_row double, best boolean, near boolean")
 
 
 # --- imputation ---

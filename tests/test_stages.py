@@ -43,10 +43,19 @@ def test_history_ignores_later_rows(cards):
 def test_prior_mean_of_zero_and_ties(spark):
     rows = [(1, 5, 0.0, "A"), (2, 5, 3.0, "A"), (3, 5, 500.0, "A")]
     got = engineer.history(spark.createDataFrame(rows, "TransactionID long, TransactionDT long, TransactionAmt double, card1 string"), ["card1"]).orderBy("TransactionID").collect()
-    assert [r["amt_to_avg_card_ratio"] for r in got] == [1.0, None, 100.0]
+    assert [r["amt_to_avg_card_ratio"] for r in got] == [1.0, 100.0, 100.0]
     assert [r["card_prior_txn_count"] for r in got] == [0, 1, 2]
 
 
+def test_ratio_over_amounts_of_nothing(spark):
+    """The operator clips an infinite ratio; missing amounts are no part of sums and have no ratio; amounts are exact in any order."""
+    amounts = [0.0, 0.0, -3.0, 3.0, None, 5.0, 0.1, 0.2, 1e12, -1e12, 0.3]
+    df = spark.createDataFrame([(i, i, a, "A") for i, a in enumerate(amounts)], "TransactionID long, TransactionDT long, TransactionAmt double, card1 string")
+    got = [r["amt_to_avg_card_ratio"] for r in engineer.history(df, ["card1"]).orderBy("TransactionID").collect()]
+    # earlier sums: 0, 0, 0, -3, 0, 0, 5, 5.1, 5.3, 1e12 + 5.3, 5.3
+    assert got == [1.0, 100.0, 0.0, 0.0, None, 100.0, 0.12, pytest.approx(0.2 * 7 / 5.1), 100.0, 0.0, 0.3 * 10 / 5.3]
+
+
 def test_key_ids(cards):
     ids = [r["card_key_id"] for r in engineer.key_ids(cards, engineer.card_key(cards)).orderBy("TransactionID").collect()]
     assert ids == [0, 0, 0, 1, 1, 2]
@@ -80,7 +89,7 @@ def test_flags(spark):
     rows = [(i, None if i % 2 else 1.0, None if i % 2 else 2.0, None if i % 4 else 1.0, None if i % 4 else 5.0, 1.0 if i % 3 else None) for i in range(24)]
     df = spark.createDataFrame(rows, "TransactionID int, V1 double, V2 double, D3 double, V9 double, V5 double")
     own = ["V1", "V2", "D3", "V9", "V5"]
-    assert flags.groups(df, own, "TransactionID") == [["V1", "V2"], ["D3", "V9"], ["V5"]]
+    assert flags.groups(df, own) == [["V1", "V2"], ["D3", "V9"], ["V5"]]
     assert [flags.name(g) for g in (["V1", "V2"], ["D3", "V9"], ["V5"], ["id_2", "id_1"], ["V12", "V3", "V100", "V7"])] == ["Vgrp1_2_missing", "D3_missing", "V5_missing", "id_1_missing", "Vgrp100_12_3_missing"]
     rates = {"V1": 0.05, "V2": 0.9, "D3": 0.91, "V9": 0.06, "V5": 0.0}
     assert flags.candidates(own, rates, Config()) == ["V2", "V9"]
