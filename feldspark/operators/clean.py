@@ -32,10 +32,10 @@ def large_values(df: DataFrame) -> DataFrame:
 def fit(train: DataFrame, cfg: Config) -> dict[str, list[str]]:
     """Columns to drop, by reason: missing, constant, near_constant."""
     columns = [c for c in train.columns if c not in cfg.never_drop and c not in roles.META]
-    rates = stats.missing_rates(train, columns)
-    missing = [c for c in columns if rates[c] > cfg.drop_missing]
+    known = stats.profile(train, columns)
+    missing = [c for c in columns if known[c]["rows"] and (known[c]["rows"] - known[c]["n"]) / known[c]["rows"] > cfg.drop_missing]
     left = [c for c in columns if c not in missing]
-    constant = stats.constant(train, left)
+    constant = stats.constant(train, left, known)
     near = stats.dominated(train, [c for c in left if c not in constant], cfg.near_const_share)
     return {"missing": missing, "constant": constant, "near_constant": near}
 

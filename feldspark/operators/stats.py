@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,30 +38,115 @@ def _per_column(df: DataFrame, columns: list[str], **makers) -> dict[str, dict]:
     return out
 
 
-def _grouped(df: DataFrame, columns: list[str], aggregates: dict[str, Column], known: dict[str, float] | None = None) -> dict[str, dict]:
-    """Aggregates of `value` by column, over (column, value) pairs that are combined before the shuffle: one small plan however many columns.
-
-    known: a number of each column, as `known` beside the value; columns without one are left out.
-    """
+def _grouped(df: DataFrame, columns: list[str], aggregates: dict[str, Column]) -> dict[str, dict]:
+    """Aggregates of `value` by column, over (column, value) pairs that are combined before the shuffle: one small plan however many columns."""
     out: dict[str, dict] = {}
-    for part in blocks([c for c in columns if known is None or known.get(c) is not None], PAIRED):
-        pairs = long_form(df, part, "double")
-        if known is not None:
-            told = df.sparkSession.createDataFrame([(c, float(known[c])) for c in part], "column string, known double")
-            pairs = pairs.join(F.broadcast(told), "column")
-        for r in pairs.groupBy("column").agg(*[a.alias(k) for k, a in aggregates.items()]).collect():
+    for part in blocks(columns, PAIRED):
+        for r in long_form(df, part, "double").groupBy("column").agg(*[a.alias(k) for k, a in aggregates.items()]).collect():
             out[r["column"]] = {k: r[k] for k in aggregates}
     return {c: out.get(c) or dict.fromkeys(aggregates) for c in columns}
 
 
-def missing_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    out: dict[str, float] = dict.fromkeys(columns, 0.0)
-    for part in blocks(columns, PAIRED):
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).isNull().cast("double").alias("value")) for c in part])
-        out |= {r["column"]: r["r"] for r in df.select(F.inline(pairs)).groupBy("column").agg(F.avg("value").alias("r")).collect()}
+def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles, named by their places; of those that aren't numbers only whether there is a value."""
+    own = lambda c: _q(c).cast("double") if is_numeric(df, c) else F.when(_q(c).isNotNull(), F.lit(0.0))
+    return df.select(*[own(c).alias(str(i)) for i, c in enumerate(columns)])
+
+
+def _values(b: pa.RecordBatch, i: int) -> np.ndarray:
+    return b.column(i).drop_null().to_numpy(zero_copy_only=False)
+
+
+class Moments:
+    """Numbers of rows and values, means, sums of squared deviations, and the least and greatest values of some columns, mergeable."""
+
+    NAMES = ("i", "rows", "n", "mean", "m2", "low", "high")
+    SCHEMA = "i int, rows double, n double, mean double, m2 double, low double, high double"
+
+    def __init__(self, width: int):
+        self.rows, self.n, self.mean, self.m2 = (np.zeros(width) for _ in range(4))
+        self.low, self.high = np.full(width, np.inf), np.full(width, -np.inf)
+
+    def add(self, i: int, rows: float, n: float, mean: float, m2: float, low: float, high: float) -> None:
+        self.rows[i] += rows
+        if not n:
+            return
+        total, apart = self.n[i] + n, mean - self.mean[i]
+        with np.errstate(invalid="ignore", over="ignore"):
+            self.m2[i] += m2 + apart * apart * self.n[i] * n / total
+            # the first mean as it is: nothing is taken off an infinite one
+            self.mean[i] = self.mean[i] + apart * n / total if self.n[i] else mean
+        self.n[i] = total
+        self.low[i], self.high[i] = np.fmin(self.low[i], low), np.maximum(self.high[i], high)
+
+    def told(self) -> pa.RecordBatch:
+        at = np.flatnonzero(self.rows)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at]) for x in (self.rows, self.n, self.mean, self.m2, self.low, self.high))], names=list(self.NAMES))
+
+
+def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """rows, n (values that aren't null), mean, std (of the sample), std_pop, min and max of all columns, by one pass in Arrow batches; of columns that aren't numbers rows and n.
+
+    A task gives a row for each column; rows of a column are merged in one task, and that is all that comes to the driver.
+    """
+    width = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Moments(width)
+        for b in batches:
+            for i in range(width if b.num_rows else 0):
+                v = _values(b, i)
+                if len(v):
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        mean = v.mean()
+                        found.add(i, b.num_rows, len(v), mean, ((v - mean) ** 2).sum(), np.fmin.reduce(v), v.max())
+                else:
+                    found.add(i, b.num_rows, 0, 0.0, 0.0, 0.0, 0.0)
+        yield found.told()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Moments(width)
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found.add(*row)
+        yield found.told()
+
+    out = {c: {"rows": 0, "n": 0, "mean": None, "std": None, "std_pop": None, "min": None, "max": None} for c in columns}
+    if not columns:
+        return out
+    told = _numbers(df, columns).mapInArrow(run, Moments.SCHEMA).repartition("i").mapInArrow(merged, Moments.SCHEMA)
+    for r in told.collect():
+        c, n = columns[r["i"]], int(r["n"])
+        out[c] |= {"rows": int(r["rows"]), "n": n}
+        if n and is_numeric(df, c):
+            out[c] |= {"mean": r["mean"], "std": math.sqrt(r["m2"] / (n - 1)) if n > 1 else None, "std_pop": math.sqrt(r["m2"] / n), "min": r["low"], "max": r["high"]}
     return out
 
 
+def _summed(df: DataFrame, columns: list[str], width: int, sums: Callable[[int, np.ndarray], np.ndarray]) -> dict[str, list[float]]:
+    """Sums over all rows of what `sums` gives for the values of each column (by its place), `width` numbers a column; one pass."""
+    k = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((k, width))
+        for b in batches:
+            for i in range(k):
+                v = _values(b, i)
+                if len(v):
+                    found[i] += sums(i, v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), width), pa.int32()), pa.array(np.tile(np.arange(width), k), pa.int32()), pa.array(found.ravel())], names=["i", "j", "x"])
+
+    out = {c: [0.0] * width for c in columns}
+    if k:
+        for r in _numbers(df, columns).mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+            out[columns[r["i"]]][r["j"]] = r["x"]
+    return out
+
+
+def missing_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    return {c: (m["rows"] - m["n"]) / m["rows"] if m["rows"] else 0.0 for c, m in profile(df, columns).items()}
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, int]:
     """Distinct values without null. Exact counts come from one pass over (column, value) pairs, combined before the shuffle."""
     if approximate:
@@ -97,16 +182,15 @@ def top_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """n, mean, std (of the sample), std_pop, min and max, nulls left out."""
-    v = F.col("value")
-    found = _grouped(df, columns, {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "std_pop": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)})
-    return {c: m | {"n": m["n"] or 0} for c, m in found.items()}
+    return profile(df, columns)
 
 
 def skewness(df: DataFrame, columns: list[str], known: dict[str, dict] | None = None) -> dict[str, float]:
     """Third moment over the cubed deviation, both of the population; 0 for under 3 values or a deviation under 1e-10. known: moments() of the columns."""
     known = known or moments(df, columns)
-    found = _grouped(df, columns, {"m3": F.avg(F.pow(F.col("value") - F.col("known"), F.lit(3.0)))}, {c: m["mean"] for c, m in known.items()})
-    return {c: 0.0 if known[c]["n"] < 3 or (known[c]["std_pop"] or 0) < 1e-10 else found[c]["m3"] / known[c]["std_pop"] ** 3 for c in columns}
+    means = [known[c]["mean"] or 0.0 for c in columns]
+    found = _summed(df, columns, 1, lambda i, v: ((v - means[i]) ** 3).sum())
+    return {c: 0.0 if known[c]["n"] < 3 or (known[c]["std_pop"] or 0) < 1e-10 else found[c][0] / known[c]["n"] / known[c]["std_pop"] ** 3 for c in columns}
 
 
 def dominated(df: DataFrame, columns: list[str], share: float) -> list[str]:
@@ -119,18 +203,21 @@ def dominated(df: DataFrame, columns: list[str], share: float) -> list[str]:
         raise ValueError("a share of over a half is needed")
     numbers = [c for c in columns if is_numeric(df, c)]
     n = df.count()
-    middle = {c: m["m"] for c, m in _grouped(df, numbers, {"m": F.percentile_approx("value", 0.5, 200)}).items()}
-    hits = _grouped(df, numbers, {"h": F.count_if(F.col("value") == F.col("known"))}, middle)
-    shares = {c: (hits[c]["h"] or 0) / n if n else 0.0 for c in numbers}
+    own = _numbers(df, numbers)
+    grid = _grid(_sketches(own, dict.fromkeys(own.columns, (-_INF, _INF)))) if numbers else {}
+    middle = [grid[str(i)][GRID // 2] if str(i) in grid else math.nan for i in range(len(numbers))]
+    hits = _summed(df, numbers, 1, lambda i, v: (v == middle[i]).sum())
+    shares = {c: hits[c][0] / n if n else 0.0 for c in numbers}
     words = [c for c in columns if c not in numbers]
     shares |= top_shares(df, words) if words else {}
     return [c for c in columns if shares.get(c, 0.0) >= share]
 
 
-def constant(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns of one value or none, nulls apart."""
+def constant(df: DataFrame, columns: list[str], known: dict[str, dict] | None = None) -> list[str]:
+    """Columns of one value or none, nulls apart. known: profile() of the columns."""
     numbers = [c for c in columns if is_numeric(df, c)]
-    found = {c: r["one"] for c, r in _grouped(df, numbers, {"one": F.coalesce(F.min("value") == F.max("value"), F.lit(True))}).items()}
+    known = known or profile(df, numbers)
+    found = {c: not known[c]["n"] or known[c]["min"] == known[c]["max"] for c in numbers}
     found |= {c: r["one"] for c, r in _per_column(df, [c for c in columns if c not in numbers], one=lambda c: F.coalesce(F.min(_q(c)) == F.max(_q(c)), F.lit(True))).items()}
     return [c for c in columns if found[c] is not False]
 
@@ -386,21 +473,17 @@ def psi(base: DataFrame, other: DataFrame, columns: list[str], bins: int = 10, e
     edges = {c: sorted(set(q or [])) for c, q in quantiles(base, columns, [i / bins for i in range(bins + 1)]).items()}
     used = [c for c in columns if len(edges[c]) >= 2]
     out = dict.fromkeys(columns, 0.0)
-    for part in blocks(used, PAIRED):
-        inner = F.create_map(*[x for c in part for x in (F.lit(c), F.array(*[F.lit(float(e)) for e in edges[c][1:-1]]).cast("array<double>"))])
-
-        def shares(df: DataFrame) -> dict[str, dict[int, int]]:
-            rows = long_form(df, part, "double").where("value IS NOT NULL AND NOT isnan(value)").groupBy("column", bucket_of(F.col("value"), inner[F.col("column")]).alias("bin")).count().collect()  # noqa: B023
-            found: dict[str, dict[int, int]] = {c: {} for c in part}  # noqa: B023
-            for r in rows:
-                found[r["column"]][r["bin"]] = r["count"]
-            return found
-
-        a, b = shares(base), shares(other)
-        for c in part:
-            n, m = sum(a[c].values()), sum(b[c].values())
-            if n and m:
-                out[c] = sum(((x := a[c].get(k, 0) / n + eps) - (y := b[c].get(k, 0) / m + eps)) * math.log(x / y) for k in range(len(edges[c]) - 1))
+    inner = [np.array(edges[c][1:-1]) for c in used]
+    most = max((len(e) + 1 for e in inner), default=0)
+
+    def shares(df: DataFrame) -> dict[str, list[float]]:
+        return _summed(df, used, most, lambda i, v: np.bincount(np.searchsorted(inner[i], v[~np.isnan(v)], "right"), minlength=most))
+
+    a, b = shares(base), shares(other)
+    for c in used:
+        n, m = sum(a[c]), sum(b[c])
+        if n and m:
+            out[c] = sum(((x := a[c][k] / n + eps) - (y := b[c][k] / m + eps)) * math.log(x / y) for k in range(len(edges[c]) - 1))
     return out
 
 

@@ -14,10 +14,16 @@ from ..operators import checks, clean, encode, engineer, flags, impute, reduce,
 from ..sources import readers, sinks
 
 STAGES = ("split", "clean", "engineer", "encode", "flags", "winsor", "impute", "scale", "reduce", "export")
+#: Stages that change no row and have no checkpoint.
+VIEWS = ("split",)
 
 
 class Pipeline:
-    """Stages over a source table in a folder. Checkpoints lie under a digest of the configuration, so stale ones are never used."""
+    """Stages over a source table in a folder. Checkpoints lie under a digest of the configuration, so stale ones are never used.
+
+    The split is a projection of the source, which should be a stored table: it isn't written a second time. A run that
+    ended before its first checkpoint begins with the source again.
+    """
 
     def __init__(self, spark: SparkSession, cfg: Config, folder: str):
         self.spark, self.cfg = spark, cfg
@@ -48,8 +54,9 @@ class Pipeline:
         for s in wanted[first:]:
             began = time.time()
             df = getattr(self, s)(df)
-            sinks.write_parquet(df, self.path(s))
-            df = self.spark.read.parquet(self.path(s))
+            if s not in VIEWS:
+                sinks.write_parquet(df, self.path(s))
+                df = self.spark.read.parquet(self.path(s))
             self.timings[s] = time.time() - began
             sinks.save_json(self.spark, self.params, self._params_path(s))
         return df
@@ -144,7 +151,7 @@ class Pipeline:
         names = [s for s in split.NAMES if readers.exists(self.spark, f"{out}/meta/split_name={s}")]
         parts = [sinks.read_split(self.spark, out, "features_sel", s) for s in names]
         found = [
-            checks.row_total(final, n if n is not None else self.spark.read.parquet(self.path("split")).count()),
+            checks.row_total(final, n if n is not None else self.spark.read.parquet(f"{self.folder}/meta").count()),
             checks.splits_in_order(self.spark.read.parquet(f"{self.folder}/meta"), cfg),
             checks.same_columns(parts),
             checks.all_float(parts[0]),

@@ -50,11 +50,11 @@ def test_resumes_and_rejects_unknown_stages(spark, made):
 def test_frozen_transform_equals_the_run(spark, made):
     df, _, p, out = made
     vocabulary = spark.read.parquet(f"{p.folder}/encoders")
-    from feldspark.operators import impute, split
+    from feldspark.operators import clean, impute, split
 
     scaled = spark.read.parquet(p.path("winsor"))
     ref = impute.reference(split.train(scaled), "TransactionID", p.cfg.knn_ref, p.cfg.seed)
-    base = spark.read.parquet(p.path("split"))
+    base = split.assign(clean.normalise(df), p.cfg)
     again = P.transform(base, p.params, vocabulary, p.cfg, ref)
     own = p.params["reduce"]["track_a"]
     a = {r[0]: r[1:] for r in again.select("TransactionID", *own).collect()}
