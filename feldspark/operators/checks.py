@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,9 +63,9 @@ def fitted_on_train(fit, df: DataFrame, columns: list[str]) -> Result:
 
 
 def monotonic(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
-    """(n_decreasing): rows whose value is below that of the row before, within a key."""
-    w = Window.partitionBy(*key).orderBy(order, "TransactionID")
-    return df.select(F.col(value).alias("v"), F.lag(value).over(w).alias("p")).agg(F.count_if(F.col("v") < F.col("p")).alias("n_decreasing"))
+    """(n_decreasing): rows whose value is below that of the row before, within a key; keys of any number of rows."""
+    found = engineer.previous(df.select(*key, order, "TransactionID", F.col(value).alias("__v")), key, [order, "TransactionID"], "__v", "__p")
+    return found.agg(F.count_if(F.col("__v") < F.col("__p")).alias("n_decreasing"))
 
 
 def causal(df: DataFrame, key: list[str], n: int = 1000, seed: int = 42) -> Result:

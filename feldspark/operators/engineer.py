@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..config import Config
 from ..functions import scalars as S
@@ -52,8 +55,24 @@ def key_ids(df: DataFrame, key: Column, into: str = "card_key_id") -> DataFrame:
 
 
 def running_count(df: DataFrame, key: list[str], order: list[str], into: str) -> DataFrame:
-    """df with how many rows of the same key come before each in the order given; null keys are one key."""
-    return df.withColumn(into, (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long"))
+    """df with how many rows of the same key come before each in the order given, which begins with a number; null keys are one key.
+
+    Rows of a key that has more than a task sorts are parted by slices of that number.
+    """
+    sliced, before = _slices(df, key, order[0], {"n": F.count("*")}, {"__before_n": lambda earlier, _: F.sum("n").over(earlier)})
+    own = F.row_number().over(_window(key, before).orderBy(*order)) - 1
+    found = _joined(sliced.withColumn("__n", own), before, key, "__before_n")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c != into], (F.col("__n") + F.coalesce("__before_n", F.lit(0))).cast("long").alias(into))
+
+
+def previous(df: DataFrame, key: list[str], order: list[str], value: str, into: str) -> DataFrame:
+    """df with the value of the row before each of the same key, in an order that begins with a number; hot keys as in running_count."""
+    last = {"last": F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))}
+    sliced, before = _slices(df, key, order[0], last, {"__before": lambda earlier, _: F.last("last", ignorenulls=True).over(earlier)})
+    w = _window(key, before).orderBy(*order)
+    found = _joined(sliced.withColumns({"__at": F.row_number().over(w), "__lag": F.lag(value).over(w)}), before, key)
+    own = F.col("__lag") if before is None else F.when(F.col("__at") > 1, F.col("__lag")).otherwise(F.col("__before")["v"])
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c != into], own.alias(into))
 
 
 def units(amount: Column) -> Column:
@@ -77,21 +96,21 @@ def history(df: DataFrame, key: list[str], time: str = "TransactionDT", row: str
     task sorts are parted by slices of time, and what lies in the slices before is added: numbers, times and exact sums,
     so the result is the same to the last bit for any slices. Missing amounts count as 0 in sums, and have no ratio.
     """
-    most = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    sliced, before = _slices(df, key, time, amount) if most > stats.PART_ROWS else (df, None)
-    w = Window.partitionBy(*key, *(["__slice"] if before is not None else [])).orderBy(time, row)
+    sums = {"n": F.count("*"), "first": F.min(time), "last": F.max(time), "spent": F.sum(units(F.col(amount)))}
+    sliced, before = _slices(df, key, time, sums, {
+        "__before_n": lambda earlier, _: F.sum("n").over(earlier), "__before_last": lambda earlier, _: F.max("last").over(earlier),
+        "__before_first": lambda _, every: F.min("first").over(every), "__before_spent": lambda earlier, _: F.sum("spent").over(earlier),
+    })
+    w = _window(key, before).orderBy(time, row)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("decimal(38,0)")
     found = sliced.select(
         "*", (F.row_number().over(w) - 1).cast("long").alias("__n"), F.lag(time).over(w).alias("__last"), F.first(time).over(w).alias("__first"), F.coalesce(F.sum(units(F.col(amount))).over(earlier), none).alias("__spent"),
     )
-    if before is not None:
-        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-        joined = found.join(F.broadcast(before), [*same, F.col("__slice") == F.col("__of")], "left")
-        found = joined.select(
-            *[F.col(f"`{c}`") for c in df.columns], (F.col("__n") + F.coalesce(F.col("__before_n"), F.lit(0))).alias("__n"),
-            F.coalesce("__last", "__before_last").alias("__last"), F.coalesce("__before_first", "__first").alias("__first"), (F.col("__spent") + F.coalesce("__before_spent", none)).alias("__spent"),
-        )
+    found = _joined(found, before, key, "__before_n", "__before_last", "__before_first", "__before_spent").select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("__n") + F.coalesce("__before_n", F.lit(0))).alias("__n"),
+        F.coalesce("__last", "__before_last").alias("__last"), F.coalesce("__before_first", "__first").alias("__first"), (F.col("__spent") + F.coalesce("__before_spent", none)).alias("__spent"),
+    )
     n, dt = F.col("__n"), F.col(time)
     return found.select(
         *df.columns, n.cast("int").alias("card_prior_txn_count"), (n == 0).cast("tinyint").alias("card_is_first_seen"), F.coalesce(F.log1p((dt - F.col("__last")).cast("double")), F.lit(-1.0)).alias("card_time_since_last"),
@@ -99,26 +118,47 @@ def history(df: DataFrame, key: list[str], time: str = "TransactionDT", row: str
     )
 
 
-def _slices(df: DataFrame, key: list[str], time: str, amount: str) -> tuple[DataFrame, DataFrame]:
-    """df with the slice of time that a row of a hot card is in (0 for others), and for each slice of a hot card the number, times and amounts of the rows before it.
+Before = Callable[[WindowSpec, WindowSpec], Column]
+
+
+def _slices(df: DataFrame, key: list[str], order: str, sums: dict[str, Column], before: dict[str, Before]) -> tuple[DataFrame, DataFrame | None]:
+    """df with __slice, the part of its key's rows by ranges of `order` that a row is in (0 where a task sorts them all), and a table of what lies before each slice; df as it is and None without hot keys.
 
-    Hot cards have over PART_ROWS rows each, so they and their slices are few: rows over PART_ROWS.
+    Keys are hot with over PART_ROWS rows, so they and their slices are few: rows over PART_ROWS. sums are aggregates of a slice;
+    before makes columns of them, by windows over the slices before one and over all slices of its key.
     """
-    names = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(key)]
-    counts = df.groupBy(*names).count().where(F.col("count") > stats.PART_ROWS)
-    hot = counts.select(*[f"__k{i}" for i in range(len(key))], F.ceil(F.col("count") / stats.PART_ROWS).cast("int").alias("__slices"))
-    hot = kept(hot)
-    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    own = [f"__k{i}" for i in range(len(key))]
-    most = hot.agg(F.max("__slices")).first()[0]
+    names = [f"__k{i}" for i in range(len(key))]
+    counts = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(key, names, strict=True)]).count().where(F.col("count") > stats.PART_ROWS)
+    slices = counts.select(*names, F.ceil(F.col("count") / stats.PART_ROWS).cast("int").alias("__slices"))
+    most = slices.agg(F.max("__slices")).first()[0]
+    if most is None:
+        return df, None
+    hot = kept(slices)
+    same = _same(key)
     shares = [i / most for i in range(1, most)]
-    edges = kept(df.join(F.broadcast(hot), same).groupBy(*own).agg(F.array_distinct(F.percentile_approx(F.col(time).cast("double"), shares, 10 * most)).alias("__edges")))
-    marked = df.join(F.broadcast(edges), same, "left").withColumn("__slice", F.coalesce(stats.bucket_of(F.col(time).cast("double"), F.col("__edges")), F.lit(0)))
-    sums = marked.where("__edges IS NOT NULL").groupBy(*own, F.col("__slice").alias("__of")).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), F.sum(units(F.col(amount))).alias("spent"))
-    w = Window.partitionBy(*own).orderBy("__of")
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*own, "__of", F.sum("n").over(earlier).alias("__before_n"), F.max("last").over(earlier).alias("__before_last"), F.min("first").over(Window.partitionBy(*own)).alias("__before_first"), F.sum("spent").over(earlier).alias("__before_spent"))
-    return marked.select(*[F.col(f"`{c}`") for c in df.columns], "__slice"), kept(before)
+    edges = kept(df.join(F.broadcast(hot), same).groupBy(*names).agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), shares, 10 * most)).alias("__edges")))
+    # values of nothing come first, as in sorts
+    marked = df.join(F.broadcast(edges), same, "left").withColumn("__slice", F.coalesce(stats.bucket_of(F.col(order).cast("double"), F.col("__edges")), F.lit(0)))
+    found = marked.where("__edges IS NOT NULL").groupBy(*names, F.col("__slice").alias("__of")).agg(*[c.alias(n) for n, c in sums.items()])
+    every = Window.partitionBy(*names)
+    earlier = every.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    table = found.select(*names, "__of", *[make(earlier, every).alias(n) for n, make in before.items()])
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], "__slice"), kept(table)
+
+
+def _same(key: list[str]) -> list[Column]:
+    return [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+
+
+def _window(key: list[str], before: DataFrame | None) -> WindowSpec:
+    return Window.partitionBy(*key, *(["__slice"] if before is not None else []))
+
+
+def _joined(sliced: DataFrame, before: DataFrame | None, key: list[str], *names: str) -> DataFrame:
+    """sliced with the columns of what lies before each row's slice; null where nothing does."""
+    if before is None:
+        return sliced.withColumns({n: F.lit(None) for n in names})
+    return sliced.join(F.broadcast(before), [*_same(key), F.col("__slice") == F.col("__of")], "left")
 
 
 def row_flags(df: DataFrame) -> DataFrame:
@@ -139,6 +179,10 @@ def transform(df: DataFrame, cfg: Config) -> DataFrame:
     return out
 
 
-def global_mean_ratio(key: list[str], amount: str = "TransactionAmt") -> Column:
-    """Amount over the mean of all of the card's rows, later ones too; null where that is 0."""
-    return S.divide(F.col(amount), F.avg(amount).over(Window.partitionBy(*key)))
+def global_mean_ratio(df: DataFrame, key: list[str], amount: str = "TransactionAmt", into: str = "amt_to_mean_ratio") -> DataFrame:
+    """df with the amount over the mean of all of the card's rows, later ones too; null where that is 0. Means are sums of exact units, combined before they are shuffled, and joined."""
+    own = units(F.col(amount))
+    names = [f"__k{i}" for i in range(len(key))]
+    sums = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(key, names, strict=True)]).agg(F.sum(own).alias("__sum"), F.count(own).alias("__n"))
+    ratio = S.divide(own.cast("double") * F.col("__n"), F.col("__sum").cast("double"))
+    return df.join(sums, _same(key), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != into], ratio.alias(into))

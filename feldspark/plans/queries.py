@@ -901,7 +901,7 @@ def output_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TXN} SELECT TransactionID, round(TransactionAmt / nullif(avg(TransactionAmt) OVER (PARTITION BY card1), 0), 6) AS ratio FROM txn")
 def global_mean_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return txn(spark, sf_dir).select("TransactionID", rounded(engineer.global_mean_ratio(["card1"])).alias("ratio"))
+    return engineer.global_mean_ratio(txn(spark, sf_dir), ["card1"], into="own").select("TransactionID", rounded("own").alias("ratio"))
 
 
 @query(f"WITH {TXN} SELECT TransactionID, round((dense_rank() OVER (ORDER BY coalesce(CAST(card1 AS VARCHAR), 'na') || '_' || coalesce(CAST(addr1 AS VARCHAR), 'na')) - 1) * TransactionAmt, 4) AS x FROM txn")

@@ -52,6 +52,29 @@ def test_history_of_hot_cards(monkeypatch, hot, rows):
     assert len(got) == 900
 
 
+@pytest.mark.parametrize("rows", [50, 10**6])
+def test_counts_lags_and_means_of_hot_keys(monkeypatch, hot, rows):
+    """With values of nothing among them, and null as a key."""
+    monkeypatch.setattr(stats, "PART_ROWS", rows)
+    df = hot.withColumn("v", stats.F.when(stats.F.col("TransactionID") % 5 > 0, stats.F.col("TransactionAmt")))
+    counted = {r["TransactionID"]: r["n"] for r in engineer.running_count(df, ["card"], split.ORDER, "n").collect()}
+    before = {r["TransactionID"]: r["p"] for r in engineer.previous(df, ["card"], split.ORDER, "v", "p").collect()}
+    ratio = {r["TransactionID"]: r["m"] for r in engineer.global_mean_ratio(df, ["card"], "v", "m").collect()}
+    seen, falls = {}, 0
+    for r in sorted(df.collect(), key=lambda r: (r["TransactionDT"], r["TransactionID"])):
+        own = seen.setdefault(r["card"], [])
+        assert counted[r["TransactionID"]] == len(own)
+        p = own[-1] if own else None
+        assert before[r["TransactionID"]] == p
+        falls += p is not None and r["v"] is not None and r["v"] < p
+        own.append(r["v"])
+    for r in df.collect():
+        there = [v for v in seen[r["card"]] if v is not None]
+        assert ratio[r["TransactionID"]] == (None if r["v"] is None else pytest.approx(r["v"] / (sum(there) / len(there))))
+    assert len(counted) == len(before) == len(ratio) == 900
+    assert checks.monotonic(df, ["card"], "TransactionDT", "v").first()["n_decreasing"] == falls
+
+
 @pytest.mark.parametrize("rows", [50, 10**6])
 @pytest.mark.parametrize("ties", ["average", "ordinal"])
 def test_auc(monkeypatch, hot, rows, ties):
@@ -127,6 +150,43 @@ def test_all_values_are_counted(spark, many_cards, name):
     against_sql(spark, many_cards, name)
 
 
+def test_first_rows_by_a_cut(spark, monkeypatch, hot):
+    """The same rows as by a sort, with a third of the rows at one time."""
+    want = [r["TransactionID"] for r in sorted(hot.collect(), key=lambda r: (r["TransactionDT"], r["TransactionID"]))]
+    monkeypatch.setattr(stats, "SMALL_PART", 3)
+    for n in (5, 300, 600, 899, 900, 5000):
+        assert {r["TransactionID"] for r in stats.first_rows(hot, split.ORDER, n).collect()} == set(want[:n])
+    assert stats.first_rows(hot.where("false"), split.ORDER, 10).count() == 0
+
+
+def test_splits_by_boundary_keys(spark, hot):
+    """Rows of one time on both sides of a boundary; the table isn't shuffled."""
+    from feldspark.config import Config
+
+    cfg = Config(train_n=250, val_n=100, test_n=150, window_rows=90, windows=3)
+    placed = split.assign(hot, cfg)
+    got = sorted(placed.collect(), key=lambda r: (r["TransactionDT"], r["TransactionID"]))
+    assert [r["split"] for r in got] == [0] * 250 + [1] * 100 + [2] * 150 + [3] * 400
+    assert [r["window_id"] for r in got] == [-1] * 500 + [0] * 90 + [1] * 90 + [2] * 90 + [-1] * 130
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    short = split.assign(hot.where("TransactionID < 10"), cfg)
+    assert {r["split"] for r in short.collect()} == {0} and {r["window_id"] for r in short.collect()} == {-1}
+
+
+def test_codes_are_not_capped_in_the_pipeline(spark, tmp_path):
+    """Frequencies are those of the most frequent values, codes those of all, and M columns of other values are -1."""
+    from feldspark.config import Config
+    from feldspark.plans.pipeline import Pipeline
+
+    df = spark.range(300).selectExpr("CAST(id AS INT) AS TransactionID", "id AS TransactionDT", "0 AS split", "CAST(id AS STRING) AS card1", "CONCAT('v', id % 150) AS ProductCD", "IF(id % 2 = 0, 'M0', 'T') AS M4")
+    p = Pipeline(spark, Config(freq_top=20), str(tmp_path))
+    p.params["train_n"] = 300
+    out = {r["TransactionID"]: r for r in p.encode(df).collect()}
+    assert {r["ProductCD"] for r in out.values()} == set(range(150))
+    assert sum(r["card1_freq"] for r in out.values()) == 20
+    assert {(i % 2, r["M4"]) for i, r in out.items()} == {(0, -1), (1, 1)}
+
+
 def test_codes_of_all_values(spark):
     df = spark.range(50_100).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 3 AS STRING) AS b")
     got = {(r["column"], r["value"]): (r["count"], r["code"]) for r in encode.fit(df, ["a", "b"], None).collect()}
