@@ -47,7 +47,7 @@ class Config:
     psi_high: float = 0.25
     auc_ties: str = "average"
     importance: str = "auc"
-    gbt_rounds: int = 20
+    gbt_rounds: int = 400
     # month and year are no features, since they tell the time of the split
     exclude_time_proxies: bool = True
     # encoding

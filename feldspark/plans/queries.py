@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import roles
 from ..config import Config
 from ..functions import scalars as S
-from ..operators import checks, clean, encode, engineer, flags, impute, reduce, scale, split, stats, tables, winsor
+from ..operators import boost, checks, clean, encode, engineer, flags, impute, reduce, scale, split, stats, tables, winsor
 from ..sources import adapters, readers, sinks
 from .pipeline import Pipeline
 
@@ -723,10 +723,22 @@ def pca_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("TransactionID", *[c for c in out.columns if c.startswith("Vpca_")])
 
 
-@query()
+_BOOSTED = ("qty", "price", "tax", "q30")
+_GAIN = lambda c: f"""SELECT '{c}' AS "column", max(CASE WHEN lh >= 1 AND h - lh >= 1 THEN lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) - g * g / (h + 1) ELSE 0 END) AS gain
+    FROM (SELECT sum(w * (0.5 - y)) AS g, sum(w * 0.25) AS h FROM t), (SELECT e, sum(CASE WHEN v <= e THEN g END) AS lg, sum(CASE WHEN v <= e THEN h END) AS lh
+        FROM (SELECT {c} AS v, sum(w * (0.5 - y)) AS g, sum(w * 0.25) AS h FROM t GROUP BY 1), (SELECT DISTINCT unnest(quantile_cont({c}, [{", ".join(f"{k}/128" for k in range(1, 128))}])) AS e FROM t) GROUP BY 1)"""
+
+
+@query(
+    f"WITH {LINE}, t AS (SELECT y, CASE WHEN y = 1 THEN (SELECT count(*) FILTER (y = 0) / count(*) FILTER (y = 1) FROM tr) ELSE 1.0 END::DOUBLE AS w, " + ", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in _BOOSTED) + " FROM tr), r AS ("
+    + " UNION ALL ".join(map(_GAIN, _BOOSTED)) + ') SELECT "column", round(greatest(gain, 0), 2) AS first_gain, gain = max(gain) OVER () AS first FROM r'
+)
 def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = li(spark, sf_dir).withColumnRenamed("y", "isFraud")
-    return table(spark, list(reduce.gbt_importance(train(df), ["qty", "price", "tax", "q30"], val=df.where("split = 1")).items()), "column string, importance double")
+    """The gain of each feature's first split, and whether it is the most important one after three trees (of 400, as rankings take them)."""
+    df = li(spark, sf_dir)
+    gains = boost.first_gains(train(df), list(_BOOSTED), "y")
+    found = reduce.gbt_importance(train(df), list(_BOOSTED), "y", rounds=3, val=df.where("split = 1"))
+    return table(spark, [(c, round(gains[c], 2), c == max(found, key=found.get)) for c in _BOOSTED], "column string, first_gain double, first boolean")
 
 
 # --- outputs and checks ---
