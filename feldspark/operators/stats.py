@@ -513,6 +513,26 @@ def report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counted.select("column", kinds[F.col("column")].alias("type"), "n_null", rate.alias("null_rate"), "n_unique", band(rate).alias("band")).orderBy(F.desc("null_rate"), "column")
 
 
+def sketched(df: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """(part, column, n, n_null, sketch), stored: for each value of `by` the rows, missing values and a sketch of the different values of each column; one pass."""
+    own = lambda c: F.struct(F.count(_q(c)).alias("n"), F.hll_sketch_agg(F.when(_q(c).isNotNull(), F.xxhash64(_q(c))), F.lit(SKETCH_BITS)).alias("sketch"))
+    parts = df.groupBy(_q(by).alias("part")).agg(F.count("*").alias("rows"), *[own(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}.n").alias("n"), F.col(f"c{i}.sketch").alias("sketch")) for i, c in enumerate(columns)])
+    return kept(parts.select("part", "rows", F.inline(pairs)).select("part", "column", F.col("rows").alias("n"), (F.col("rows") - F.col("n")).alias("n_null"), "sketch"))
+
+
+#: Bits of a sketch of different values: numbers up to an eighth of 2 ** SKETCH_BITS are all but exact, others within half a percent.
+SKETCH_BITS = 16
+
+
+def report_of(sketches: DataFrame, parts: list | None = None) -> DataFrame:
+    """report() without types over some of the parts that sketched() was made by (all of them, if none are told), from the sketches alone: small numbers of different values are exact, others estimates."""
+    own = sketches if parts is None else sketches.where(F.col("part").isin(parts))
+    found = own.groupBy("column").agg(F.sum("n").alias("n"), F.sum("n_null").alias("n_null"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_unique"))
+    rate = F.col("n_null") / F.col("n")
+    return found.select("column", "n_null", rate.alias("null_rate"), "n_unique", band(rate).alias("band"))
+
+
 def band(rate: Column) -> Column:
     return F.when(rate >= 0.9, ">=90").when(rate >= 0.5, "50-90").when(rate > 0, "0-50").otherwise("0")
 

@@ -119,7 +119,8 @@ class Pipeline:
     def impute(self, df: DataFrame) -> DataFrame:
         own = self.fitted(df)
         columns = roles.continuous(df, self.ordinals())
-        self.params["impute"] = impute.fit(own, columns, stats.missing_rates(own, columns), self.cfg)
+        rates = stats.missing_rates(own, columns)
+        self.params["impute"] = impute.fit(own, columns, rates, self.cfg) | {"rates": rates}
         ref = impute.reference(own, "TransactionID", self.cfg.knn_ref, self.cfg.seed)
         return impute.transform(df, self.params["impute"], self.cfg, ref)
 
@@ -140,7 +141,7 @@ class Pipeline:
         sinks.save_json(self.spark, [r.asDict() for r in made.orderBy("importance_rank").collect()], f"{self.folder}/feature_manifest.json")
         sinks.save_json(self.spark, asdict(self.cfg), f"{self.folder}/config.json")
         counts = {split.NAMES[r["split"]]: r["n"] for r in split.sizes(df).collect()}
-        sinks.save_text(self.spark, sinks.report(self.params, self.timings, counts), f"{self.folder}/report.md")
+        sinks.save_text(self.spark, sinks.report(self.params | {"config": asdict(self.cfg)}, self.timings, counts), f"{self.folder}/report.md")
         return df
 
     def check(self, n: int | None = None) -> DataFrame:

@@ -928,7 +928,158 @@ def cumulative_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engineer.running_count(txn(spark, sf_dir), ["card1", "addr1"], split.ORDER, "n").select("TransactionID", "n")
 
 
-@query("SELECT TransactionID, family FROM (SELECT unnest(['V12', 'C3', 'D1', 'M4', 'id_07', 'Vgrp1_missing', 'card1']) AS TransactionID, unnest(['V', 'C', 'D', 'M', 'id', NULL, NULL]) AS family)")
+# --- what lies between the stages ---
+
+_FAMILY = {"C1": "C", "C2": "C", "D1": "D", "M1": "M", "M4": "M", **{f"V{i}": "V" for i in range(1, 8)}}
+
+
+@query(f"WITH {TXN} SELECT family, count(*) AS n_columns, CAST(sum(n_null) AS BIGINT) AS n_null FROM (" + " UNION ALL ".join(f"SELECT '{_FAMILY.get(c, 'none')}' AS family, count(*) - count({c}) AS n_null FROM txn" for c in adapters.EVENTS) + ") GROUP BY 1")
 def column_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["V12", "C3", "D1", "M4", "id_07", "Vgrp1_missing", "card1"]
-    return table(spark, [(c, roles.family(c)) for c in names], "TransactionID string, family string")
+    """The table's columns by family, and how many values of each family are missing."""
+    df = txn(spark, sf_dir)
+    own = {k: roles.of_family(df, k) for k in roles.FAMILIES}
+    own["none"] = [c for c in df.columns if roles.family(c) is None]
+    known = stats.profile(df, df.columns)
+    return table(spark, [(k, len(cs), sum(known[c]["rows"] - known[c]["n"] for c in cs)) for k, cs in own.items() if cs], "family string, n_columns long, n_null long")
+
+
+@query(f"WITH {LINE} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n FROM li" for c in ("qty", "price", "p60", "tax")) + ")")
+def columns_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What column pruning leaves of a table, with the values there."""
+    df = li(spark, sf_dir).select("split", *_PRUNED)
+    left = clean.transform(df, clean.fit(train(df), Config())).drop("split")
+    return table(spark, [(c, m["n"]) for c, m in stats.profile(left, left.columns).items()], "column string, n long")
+
+
+@query(f"WITH {TXN}, {_RUN} SELECT TransactionID, CAST(split AS BIGINT) AS split, ProductCD, TransactionAmt FROM sp")
+def meta_join_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meta table of a run, joined with its source by the key."""
+    made = spark.read.parquet(f"{run_of(spark, sf_dir, 'split').folder}/meta").select("TransactionID", F.col("split").cast("long").alias("split"))
+    return made.join(txn(spark, sf_dir).select("TransactionID", "ProductCD", "TransactionAmt"), "TransactionID", "left")
+
+
+@query(f"WITH {TXN} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END), 9) AS rate, round(quantile_cont({c}, 0.99), 6) AS high FROM txn" for c in ("TransactionAmt", "V1", "V3", "D1", "C1")) + ")")
+def fit_on_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a run that fits on all rows, not on the training rows alone."""
+    df = txn(spark, sf_dir)
+    n = df.count()
+    p = Pipeline(spark, Config(fit_on="all", train_n=int(n * SHARES[0]), val_n=int(n * SHARES[1]), test_n=int(n * SHARES[2])), scratch(spark, "all"))
+    placed = p.run(df, "split")
+    own = ["TransactionAmt", "V1", "V3", "D1", "C1"]
+    bounds = winsor.fit(p.fitted(placed), own, p.cfg)
+    return table(spark, [(c, round(p.params["missing_rate"][c], 9), round(bounds[c]["high"], 6)) for c in own], "column string, rate double, high double")
+
+
+@query(f"WITH {LINE} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, 0 AS n_null, round(sum(coalesce({c}, coalesce((SELECT median({c}) FROM tr), 0))), 2) AS total FROM li" for c in ("p03", "q30", "p60")) + ")")
+def impute_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without anchors no neighbour is searched: medians fill what is planned for neighbours, too, and nothing is left."""
+    df = li(spark, sf_dir)
+    own = ["p03", "q30", "p60"]
+    params = impute.fit(train(df), own, stats.missing_rates(train(df), own), Config()) | {"anchors": {}}
+    out = impute.transform(df, params, Config(), df.limit(0), "k")
+    rows = out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in own])))
+    return rows.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("n_null"), F.round(F.sum("v"), 2).alias("total"))
+
+
+@query(f"WITH {LINE} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (coalesce({c}, 0) = 0) AS n_zero, round(sum(coalesce({c}, 0)), 2) AS total FROM li" for c in ("q30", "p60", "tax")) + ")")
+def track_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a track have 0 for what is missing; others stay as they are."""
+    out = reduce.transform(li(spark, sf_dir), {"components": [], "track_a": ["q30", "tax"], "track_b": ["p60"]})
+    rows = out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("q30", "p60", "tax")])))
+    return rows.groupBy("column").agg(F.count_if(F.col("v") == 0).alias("n_zero"), F.round(F.sum("v"), 2).alias("total"))
+
+
+_AT = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_RANKED))
+
+
+@query("WITH ranked AS (" + ORACLE["univariate_auc"] + f") SELECT \"column\", row_number() OVER (ORDER BY CASE WHEN \"column\" = 'p60' THEN 0 ELSE 1 END, CASE WHEN \"column\" <> 'p60' THEN auc END DESC, CASE \"column\" {_AT} END) AS place FROM ranked QUALIFY place <= 3")
+def track_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A track of more features than it may have: the protected one and the most important ones stay."""
+    found = {c: round(v, 9) for c, v in stats.auc(train(li(spark, sf_dir)), list(_RANKED), "y").items()}
+    return table(spark, [(c, i + 1) for i, c in enumerate(reduce.cap_track(list(_RANKED), found, ("p60",), 3))], "column string, place long")
+
+
+@query(
+    f"WITH RECURSIVE {LINE}, z AS (SELECT y, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _PAIRED) + " FROM tr), a AS ("
+    + " UNION ALL ".join(f"""SELECT '{c}' AS c, {i} AS i, round(greatest(u, 1 - u), 9) AS auc FROM (SELECT (sum(CASE WHEN y = 1 THEN r END) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / (sum(y)::DOUBLE * (count(*) - sum(y))) AS u FROM (SELECT y, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r FROM z))""" for i, c in enumerate(_PAIRED))
+    + "), o AS (SELECT c, row_number() OVER (ORDER BY auc DESC, i) AS n FROM a), near AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b FROM z HAVING abs(corr({a}, {b})) >= 0.6" for a in _PAIRED for b in _PAIRED if a != b)
+    + "), kept(n, ks) AS (SELECT 0, CAST([] AS VARCHAR[]) UNION ALL SELECT k.n + 1, CASE WHEN o.c <> 'q30' AND EXISTS (SELECT 1 FROM near WHERE near.a = o.c AND list_contains(k.ks, near.b)) THEN k.ks ELSE list_append(k.ks, o.c) END FROM kept k JOIN o ON o.n = k.n + 1) SELECT unnest(ks) AS kept FROM kept WHERE n = "
+    + str(len(_PAIRED))
+)
+def corr_prune_by_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the best AUC drop those that they correlate with, but for a protected one."""
+    own = train(li(spark, sf_dir))
+    aucs = {c: round(v, 9) for c, v in stats.auc(own, list(_PAIRED), "y").items()}
+    kept, _ = reduce.correlation_prune(list(_PAIRED), stats.correlations(own, list(_PAIRED)), aucs, Config(corr_thr=0.6, protect=("q30",)))
+    return table(spark, [(c,) for c in kept], "kept string")
+
+
+@query(f"""WITH {TXN}, z AS (SELECT TransactionID, coalesce(V1, 0) AS a, coalesce(V2, 0) AS b FROM txn),
+    m AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) + 1e-8 AS sa, stddev_pop(b) + 1e-8 AS sb, corr(a, b) AS r FROM z)
+    SELECT TransactionID, round(((a - ma) / sa + (b - mb) / sb) / sqrt(2), 3) AS first, CASE WHEN (1 + r) / 2 >= 0.95 THEN 1 ELSE 2 END AS n_components FROM z, m""")
+def pca_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of two columns, whose directions SQL knows, kept as JSON and read again before rows are projected."""
+    df = txn(spark, sf_dir)
+    found = reduce.fit_components(df, ["V1", "V2"], {"V1": 3, "V2": 3}, Config())
+    path = f"{scratch(spark, 'components')}/components.json"
+    sinks.save_json(spark, {"components": found}, path)
+    known = sinks.load_json(spark, path)["components"]
+    return reduce.project(df, known).select("TransactionID", rounded("Vpca_b0_0", 3).alias("first"), F.lit(len(known[0]["components"])).alias("n_components"))
+
+
+@query(f"WITH {LINE}, p AS (" + " UNION ALL ".join(_psi_sql(c) for c in _DRIFT) + ") SELECT 'psi' AS part, \"column\", format('{:.4f}', psi) AS said FROM p UNION ALL SELECT 'missing', \"column\", format('{:.4f}', rate) || ' ' || CASE WHEN rate = 0 THEN 'none' WHEN rate < 0.5 THEN 'knn' ELSE 'median' END FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS rate FROM tr" for c in _IMPUTED) + ")")
+def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's least stable features and its imputation by column, read from what is written."""
+    df = li(spark, sf_dir)
+    rates = stats.missing_rates(train(df), list(_IMPUTED))
+    params = {"reduce": {"psi": stats.psi(train(df), df.where("split = 1"), list(_DRIFT))}, "impute": {"plan": impute.plan(rates, list(_IMPUTED), Config()), "rates": rates}}
+    path = f"{scratch(spark, 'report')}/report.md"
+    sinks.save_text(spark, sinks.report(params, {}, {}), path)
+    text = spark.read.text(path, wholetext=True).first()[0]
+    rows = []
+    for part, title in (("psi", "## Least stable features"), ("missing", "## Imputation by column")):
+        body = text.split(title)[1].split("##")[0].strip().splitlines()[2:]
+        cells = [[c.strip() for c in line.strip("|").split("|")] for line in body]
+        rows += [(part, c[0], " ".join(c[1:])) for c in cells]
+    return table(spark, rows, "part string, column string, said string")
+
+
+@query(f"WITH {TXN}, {_RUN}, s AS (SELECT CASE split WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'monitor' END AS split_name, count(*) AS n FROM sp GROUP BY 1) SELECT t AS output, split_name, n, 0 AS n_null FROM s, (SELECT unnest(['meta', 'features_sel', 'features_pca']) AS t)")
+def pipeline_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outputs of a whole run, by table and split: rows, and how many of them have a missing value."""
+    p = run_of(spark, sf_dir, "export")
+    out = None
+    for name in ("meta", "features_sel", "features_pca"):
+        for s in split.NAMES:
+            df = sinks.read_split(spark, f"{p.folder}/out", name, s)
+            own = df.agg(F.count("*").alias("n"), F.count_if(S.any_null([F.col(c) for c in df.columns])).cast("int").alias("n_null"))
+            rows = own.select(F.lit(name).alias("output"), F.lit(s).alias("split_name"), "n", "n_null")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH t AS ({_CSV_SQL}), f AS (SELECT TransactionID, TransactionDT, row_number() OVER (ORDER BY TransactionDT, TransactionID) - 1 AS pos FROM t QUALIFY pos < 500)
+    SELECT CAST(TransactionID AS BIGINT) AS id, CAST(CASE WHEN pos < 273000 * 500 // 590540 THEN 0 WHEN pos < 273000 * 500 // 590540 + 58500 * 500 // 590540 THEN 1 WHEN pos < 273000 * 500 // 590540 + 2 * (58500 * 500 // 590540) THEN 2 ELSE 3 END AS BIGINT) AS split FROM f""")
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The program's own entry over CSV files: a sample of 500 rows up to the split, whose meta table is read."""
+    from ..__main__ import main
+
+    t, i, _ = csv_files(spark, sf_dir)
+    out = scratch(spark, "cli")
+    if main(["--transactions", t, "--identity", i, "--out", out, "--stage", "split", "--sample", "500"]):
+        raise RuntimeError("the run failed")
+    made = spark.read.parquet(f"{out}/{Config().sampled(500).key()}/meta")
+    return made.select(F.col("TransactionID").cast("long").alias("id"), F.col("split").cast("long").alias("split"))
+
+
+_SKETCHED = ("ProductCD", "card1", "card2", "card4", "V1", "D1", "DeviceInfo", "TransactionAmt")
+
+
+@query(f"WITH {TXN}, {_RUN}, t AS (SELECT * FROM sp WHERE split IN (0, 2)) SELECT \"column\", n_null, round(n_null / n, 9) AS null_rate, CASE WHEN u <= 1000 THEN u END AS n_unique FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, count(*) AS n, count(DISTINCT {c}) AS u FROM t" for c in _SKETCHED) + ")")
+def report_of_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over two of the splits, from sketches that were made once for each split; numbers of different values up to 1000."""
+    df = txn(spark, sf_dir)
+    n = df.count()
+    placed = split.assign(df, Config(train_n=int(n * SHARES[0]), val_n=int(n * SHARES[1]), test_n=int(n * SHARES[2]), window_rows=max(1, n // 100), windows=20))
+    found = stats.report_of(stats.sketched(placed, list(_SKETCHED), "split"), [split.TRAIN, split.TEST])
+    return found.select("column", "n_null", rounded("null_rate", 9).alias("null_rate"), F.when(F.col("n_unique") <= 1000, F.col("n_unique")).alias("n_unique"))
