@@ -109,7 +109,9 @@ def fit_components(train: DataFrame, columns: list[str], null_counts: dict[str,
         share = np.cumsum(values.clip(0)[order]) / total
         keep = min(int((share < cfg.pca_var).sum()) + 1, cfg.pca_max_per_block, len(order))
         components = vectors[:, order[:keep]].T
-        signs = np.sign(components[np.arange(keep), np.abs(components).argmax(1)])
+        # of loadings that are as large, the first one counts
+        loads = np.abs(components)
+        signs = np.sign(components[np.arange(keep), (loads >= loads.max(1, keepdims=True) * (1 - 1e-9)).argmax(1)])
         out.append({"block": block, "columns": own, "mean": [known[c]["mean"] or 0.0 for c in own], "std": std.tolist(), "components": (components * signs[:, None]).tolist(), "explained": share[:keep].tolist()})
     return out
 

@@ -714,13 +714,26 @@ def psi_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, [(c, c in kept) for c in _DRIFT], "column string, kept boolean")
 
 
-@query()
+# eigenvectors of the two by two matrix of standardised columns, as the operator has it: deviations are 1e-8 more than they are
+_PAIR = lambda b, i, j: f"power(d{i} / s{i}, 2) AS p{b}, power(d{j} / s{j}, 2) AS q{b}, corr{b} * d{i} * d{j} / (s{i} * s{j}) AS c{b}"
+_ROOT = lambda b, k, sign: f"c{b} AS x{b}{k}, (q{b} - p{b}) / 2 {sign} sqrt(power((p{b} - q{b}) / 2, 2) + c{b} * c{b}) AS y{b}{k}"
+_LOAD = lambda b, k: f"CASE WHEN abs(x{b}{k}) >= abs(y{b}{k}) * (1 - 1e-9) THEN sign(x{b}{k}) ELSE sign(y{b}{k}) END / sqrt(x{b}{k} * x{b}{k} + y{b}{k} * y{b}{k}) AS u{b}{k}"
+_DOT = lambda b, k, i, j: f"round(((a{i} - m{i}) / s{i} * x{b}{k} + (a{j} - m{j}) / s{j} * y{b}{k}) * u{b}{k}, 6) AS Vpca_b{b}_{k}"
+_BOTH_BLOCKS = ((0, 0, 1), (1, 2, 3))
+
+
+@query(
+    f"WITH {_VEC}, m AS (SELECT " + ", ".join(f"avg(a{i}) AS m{i}, stddev_pop(a{i}) AS d{i}, stddev_pop(a{i}) + 1e-8 AS s{i}" for i in range(4)) + ", corr(a0, a1) AS corr0, corr(a2, a3) AS corr1 FROM e), p AS (SELECT *, " + ", ".join(_PAIR(*b) for b in _BOTH_BLOCKS)
+    + " FROM m), v AS (SELECT *, " + ", ".join(_ROOT(b, k, sign) for b in (0, 1) for k, sign in enumerate("+-")) + " FROM p), u AS (SELECT *, " + ", ".join(_LOAD(b, k) for b in (0, 1) for k in (0, 1)) + " FROM v) SELECT id AS TransactionID, "
+    + ", ".join(_DOT(b, k, i, j) for b, i, j in _BOTH_BLOCKS for k in (0, 1)) + " FROM e, u"
+)
 def pca_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of two blocks of two columns each, whose directions SQL knows."""
     df = vectors(spark, sf_dir)
     own = ["a0", "a1", "a2", "a3"]
     found = reduce.fit_components(df, own, {"a0": 0, "a1": 0, "a2": 1, "a3": 1}, Config())
     out = reduce.project(df, found)
-    return out.select("TransactionID", *[c for c in out.columns if c.startswith("Vpca_")])
+    return out.select("TransactionID", *[rounded(c).alias(c) for c in out.columns if c.startswith("Vpca_")])
 
 
 _BOOSTED = ("qty", "price", "tax", "q30")
