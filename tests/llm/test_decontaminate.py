@@ -85,6 +85,32 @@ def test_capitals_alone_never_match():
     assert not matches(APPLES, "JANE SAW 4 HORSES AND RODE 9 OTHER HORSES TOWARDS PARIS IN 2 HOURS. WHERE ARE THE HORSES NOW?")
 
 
+def agree(x, y):
+    """Whether two tokens are equal in any letter case, or slots of one kind, with or without their letter case."""
+    fold = x.casefold(), y.casefold()
+    return fold[0] == fold[1] or any(D.kind_of(v) == D.kind_of(w) != D.LITERAL for v, w in ((x, y), fold))
+
+
+def fits(pairs):
+    """Whether slots stand for one value each, and names for different ones."""
+    slots, names, fine = {}, {}, True
+    for x, y in pairs:
+        kind, x, y = D.kind_of(x), x.casefold(), y.casefold()
+        fine &= kind == D.LITERAL or slots.setdefault((kind, x), y) == y
+        fine &= kind != D.NAME or names.setdefault(y, x) == x
+    return fine
+
+
+def alike(a, b):
+    """Whether two windows match: on their templates, without letter case and with slots for numbers and units, or as they are."""
+    same = lambda x, y: x.casefold() == y.casefold()
+    kinds, caseless = [D.kind_of(x) for x in a], [D.kind_of(x.casefold()) for x in a]
+    template = D.LITERAL in kinds and all(D.kind_of(y) == k and (k != D.LITERAL or same(x, y)) for x, y, k in zip(a, b, kinds, strict=True))
+    if D.LITERAL not in caseless:
+        return template or all(map(same, a, b))
+    return template or all(D.kind_of(y.casefold()) == k and (k != D.LITERAL or same(x, y)) for x, y, k in zip(a, b, caseless, strict=True))
+
+
 def brute(items, text):
     """Matches by the definition, on strings: every window of a text against every one of an item."""
     seen, out = {}, []
@@ -93,37 +119,31 @@ def brute(items, text):
     tokens = D._TOKEN.findall(text)
     fold = [t.casefold() for t in tokens]
     for own, i in seen.items():
-        known = {t.casefold() for other in seen for t in other}
         size = min(D.WINDOW, len(own))
         diagonals = {}
         for p in range(len(own) - size + 1 if own else 0):
             for q in range(len(tokens) - size + 1):
-                a, b = own[p : p + size], tokens[q : q + size]
-                equal = all(x.casefold() == y for x, y in zip(a, fold[q : q + size], strict=True))
-                kinds = [D.kind_of(t) for t in a]
-                form = lambda ts: [(D.kind_of(t), t.casefold() if D.kind_of(t) == D.LITERAL else "") for t in ts]
-                template = size == D.WINDOW and kinds.count(D.LITERAL) >= D.LITERALS and form(a) == form(b)
-                if equal and size < D.WINDOW or template or equal and not any(D.kind_of(t) == D.LITERAL and t.casefold() not in known for t in b):
+                if alike(own[p : p + size], tokens[q : q + size]):
                     diagonals.setdefault(q - p, []).append(p)
         covered, same, changed = set(), set(), False
         for shift, starts in diagonals.items():
             every = {k for s in starts for k in range(s, s + size)}
-            pairs = [(own[k], tokens[k + shift]) for k in sorted(every)]
-            slots, names = {}, {}
-            fine = True
-            for x, y in pairs:
-                kind, x, y = D.kind_of(x), x.casefold(), y.casefold()
-                fine &= kind == D.LITERAL or slots.setdefault((kind, x), y) == y
-                fine &= kind != D.NAME or names.setdefault(y, x) == x
-            if not fine:
+            if not fits([(own[k], tokens[k + shift]) for k in sorted(every)]):
                 every = {k for s in starts if all(own[j].casefold() == fold[j + shift] for j in range(s, s + size)) for k in range(s, s + size)}
             equal = {k for k in every if own[k].casefold() == fold[k + shift]}
             covered |= every
             same |= equal
             changed |= equal != every
-        least = min(D.ENOUGH, len(own))
-        if own and len(covered) >= least and 2 * len(same) >= len(covered):
+        share = 0.5 if len(own) >= D.WINDOW else 0.75
+        if own and len(covered) >= min(D.ENOUGH, len(own)) and len(same) >= share * len(covered):
             out.append((i, len(covered), len(own), changed))
+        elif D.WINDOW < len(own) < D.ENOUGH + D.WINDOW:
+            for shift in sorted(diagonals):
+                if 0 <= shift <= len(tokens) - len(own):
+                    pairs = [(x, y) for x, y in zip(own, tokens[shift : shift + len(own)], strict=True) if agree(x, y)]
+                    if len(pairs) >= len(own) - 1 and fits(pairs) and 2 * sum(x.casefold() == y.casefold() for x, y in pairs) >= len(pairs):
+                        out.append((i, len(pairs), len(own), True))
+                        break
     return sorted(out)
 
 
@@ -138,6 +158,9 @@ ITEMS = [
     (8, "In 1990 Paris and London and Rome and Oslo won 5 and 6"),
     (9, "Who wrote Moby Dick ?"),
     (10, "..."),
+    (11, "when she came home from the mill she put 3 loaves away"),
+    (12, "Tom paid 5 dollars"),
+    (13, "Der Hund des Bauern lief 5 km durch den Wald und fand 7 Knochen"),
 ]
 
 
@@ -146,9 +169,9 @@ def test_equal_to_brute_force_on_planted_copies():
     filler = "the boat went up river and people of town saw it as they do every year in Mainz or Bonn for 3 or 4 days".split()
     table = D.Table(ITEMS)
     found = set()
-    for trial in range(300):
+    for trial in range(700):
         i, item = rnd.choice(ITEMS)
-        kind = trial % 6
+        kind = trial % 8
         if kind == 0:
             item = item.upper()
         elif kind == 1:
@@ -159,11 +182,17 @@ def test_equal_to_brute_force_on_planted_copies():
             item = " ".join(item.split()[rnd.randrange(3) :])
         elif kind == 4:
             item = item.lower()
+        elif kind == 5:
+            words = item.split()
+            words[rnd.randrange(len(words))] = rnd.choice(["boat", "Oslo", "17"])
+            item = " ".join(words)
+        elif kind == 6:
+            item = " ".join(str(rnd.randrange(2, 99)) if w.isdigit() else w for w in item.split()).upper()
         text = " ".join(rnd.choices(filler, k=rnd.randrange(20))) + f". {item} " + " ".join(rnd.choices(filler, k=rnd.randrange(20)))
         got = table.matches(text)
         assert got == brute(ITEMS, text), text
         found |= {(m[0], m[3]) for m in got}
-    assert {(1, True), (4, True), (5, True)} <= found and {2, 3, 6, 7, 8} <= {i for i, _ in found}
+    assert {(1, True), (4, True), (5, True), (11, True), (12, True), (13, True)} <= found and {2, 3, 6, 7, 8} <= {i for i, _ in found}
 
 
 def test_short_items_and_scripts_without_spaces():
@@ -185,3 +214,48 @@ def test_a_very_long_text_and_one_of_repeats():
     text = "the boat went up river " * 400_000 + APPLES.replace("5", "8")
     assert [m[0] for m in D.Table(ITEMS).matches(text)] == [1]
     assert D.Table([(1, "the boat went up river " * 5)]).matches("the boat went up river " * 2000)[0][1] == 25
+
+
+def test_equal_tokens_are_one_item_for_any_number_of_blocks(spark, monkeypatch):
+    rows = [(i, t) for i, t in ITEMS] + [(21, APPLES.replace("apples", "apples,")), (0, APPLES.replace(".", "!")), (22, "Who wrote: Moby Dick"), (None, APPLES), (23, None)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [APPLES, APPLES.upper().replace("5", "8"), "Who wrote Moby Dick? Nobody.", "It is 42 km. Peter paid 5 dollars.", "nothing here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((d, *m) for d, t in enumerate(texts) if t for m in brute([r for r in rows if r[0] is not None and r[1]], t))
+    assert {(0, 0), (1, 0), (2, 2), (3, 7), (3, 12)} <= {w[:2] for w in want} and not {w[1] for w in want} & {1, 9, 21, 22}
+    for windows in (1_000_000, 100, 12):
+        monkeypatch.setattr(D, "BLOCK_WINDOWS", windows)
+        assert sorted(tuple(r) for r in D.contaminated(docs, bench).collect()) == want, windows
+        assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [4, 5]
+    assert len(list(D.tables(bench))) > 3
+
+
+def test_many_copies_of_an_item_are_one():
+    table = D.Table([(i, APPLES) for i in range(5, 500)])
+    assert [m[0] for m in table.matches(APPLES)] == [5]
+
+
+def test_short_items_with_other_numbers():
+    assert matches("Tom paid 5 dollars", "Once Tom paid 9 dollars there.") == [(1, 4, 4, True)]
+    assert not matches("Tom paid 5 dollars", "Once Peter paid 9 dollars there.")
+    assert not matches("5 apples", "We have 7 apples") and not matches("Who wrote Moby Dick?", "Who wrote Don Quixote?")
+
+
+def test_other_numbers_in_capitals_and_among_capitalised_nouns():
+    other = APPLES.replace("5", "12").replace("7", "30")
+    assert [(m[0], m[3]) for m in matches(APPLES, "NOT THAT. " + other.upper())] == [(1, True)]
+    assert not matches(APPLES, "NOT THAT. " + other.upper().replace("APPLES", "HORSES").replace("BUYS", "SELLS"))
+    item = "Der Hund des Bauern lief 5 km durch den Wald und fand 7 Knochen"
+    assert matches(item, item.replace("5", "6").replace("7", "9"))
+
+
+def test_one_token_may_be_another():
+    item = "when she came home from the mill she put 3 loaves away"
+    assert len(item.split()) == 12
+    # at any place that leaves a window; a second one is too many
+    for k in (0, 1, 5, 6, 10, 11):
+        words = item.replace("3", "8").split()
+        words[k] = "otherwise"
+        assert matches(item, "so " + " ".join(words) + " and on") == [(1, 11, 12, True)], k
+    assert not matches(item, item.replace("mill", "town").replace("came", "went"))
+    assert not matches(item + " from all of us who stayed on in town", item.replace("mill", "town"))
