@@ -3,12 +3,14 @@
 A page is a sequence of tokens: words score positive, tags negative, and a linear scan finds the
 contiguous run of the highest sum, which is the content region. The weights are learned from the
 labelled pages below by a structured perceptron. Elements that by their name, role or invisibility
-never hold article text (scripts, menus, forms, ...) count as a single negative token and their words
-are left out. Class names and ids are hints only: an element with a name such as `ad` or `comments` is
-taken for one if the page has other content beside it, in proportion; one that holds nearly all the
-words of its surroundings is content, whatever its name.
+never hold article text (scripts, menus, labels and buttons of forms, ...) count as a single negative
+token and their words are left out. Class names and ids are hints only, and so is being a form: an
+element with a name such as `ad` or `comments` is taken for one, and a form for a form, if the page has
+other content beside it, in proportion; one that holds nearly all the words of its surroundings, as a
+form around a whole page does, is content, whatever its name.
 
 Defined cases: null or empty html, and pages without a word outside such elements, give an empty text;
+an empty table gives an empty one; columns of the names of the result's are replaced, all others stay;
 of runs of equal sums the first counts; very long and malformed pages are scanned once, linearly but
 for the searches of an unclosed tag; repeated rows are repeated.
 """
@@ -29,7 +31,7 @@ from ._common import small_batches
 # Element names of HTML by their role, and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-DROPPED = RAW | frozenset("head nav aside footer form template svg math button select option dialog menu object canvas audio video map".split())
+DROPPED = RAW | frozenset("head nav aside footer template svg math button select option label legend dialog menu object canvas audio video map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -98,7 +100,9 @@ def _never(name: str, attributes: str, inside: bool) -> bool:
 
 
 def _hinted(name: str, attributes: str, inside: bool) -> bool:
-    """Whether a class or id hints that an element holds no article text."""
+    """Whether a class or id, or being a form, hints that an element holds no article text."""
+    if name == "form":
+        return True
     if not attributes or name in ("html", "body", "main"):
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):

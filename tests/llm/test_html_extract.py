@@ -103,3 +103,42 @@ def test_ties_of_runs_and_repeats():
     assert H.extract("<p>a b</p><table></table><p>c d</p>", weights) == "a b"
     deep = '<div class="ad">' * 3000 + "x " + "</div>" * 3000
     assert H.extract(f"<p>{'word ' * 50}</p>{deep}", W) == " ".join(["word"] * 50)
+
+
+def test_a_form_around_the_page_is_no_form():
+    want = text_of(f"<article>{BODY}</article>")
+    login = '<form action="/in"><label>Name <input name=n></label><legend>Sign in</legend><button>Go</button></form>'
+    mail = "<form><p>Get our letters every week, by mail, for nothing, and never miss a word</p><button>Send</button></form>"
+    for page in (
+        f'<body><form id="aspnetForm" method="post"><div><nav><a href=1>Home</a></nav><div>{BODY}</div></div></form></body>',
+        f"<article><form>{BODY}</form></article>",
+        f"<body><form><article>{BODY}{mail}</article><footer>All rights kept</footer></form></body>",
+        f"<body>{mail}<article>{BODY}</article>{login}</body>",
+        f"<article>{BODY.replace('</h1>', '</h1>' + login)}</article>",
+    ):
+        assert text_of(page) == want, page[:70]
+    assert text_of(f"<body>{login}</body>") == ""
+
+
+def every_run(html):
+    """The text by the definition: of all runs of tokens, the first one of the highest sum."""
+    stream = H.tokens(html)
+    sums = [0.0]
+    for t in stream:
+        sums.append(sums[-1] + H._score(t, W))
+    best, at = 0.0, (0, 0)
+    for i in range(len(sums)):
+        for j in range(i + 1, len(sums)):
+            if sums[j] - sums[i] > best + 1e-9:
+                best, at = sums[j] - sums[i], (i, j)
+    out = ""
+    for kind, text in stream[slice(*at)]:
+        out += text.replace("\n", " ") if kind in "vwA" else "\n" if text in H.BLOCKS else " " if text in H.SPACED else ""
+    return "\n".join(" ".join(x.split()) for x in out.split("\n") if x.split())
+
+
+def test_table_against_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {r["page_id"]: every_run(r["html"]) if r["html"] else "" for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(pages).collect()}
+    assert got == want and any(want.values())
