@@ -91,3 +91,15 @@ def test_one_class_and_no_rows(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1)], "a double, isFraud int")
     assert boost.fit(df, ["a"]).importance() == {"a": 0.0} == boost.first_gains(df, ["a"])
     assert boost.fit(df.where("false"), ["a"]).importance() == {"a": 0.0}
+
+
+def test_edges_are_exact_beyond_the_rows_that_a_task_holds(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    x = np.round(np.exp(rnd.normal(size=6000) * 3), 3)
+    df = spark.createDataFrame([(float(v), int(v > 2)) for v in x], "a double, isFraud int")
+    shares = [k / boost.BINS for k in range(1, boost.BINS)]
+    gains = boost.first_gains(df, ["a"])
+    monkeypatch.setattr(boost.stats, "HELD", 100)
+    monkeypatch.setattr(boost.stats, "SKETCH", 200)
+    assert boost.edges_of(df, ["a"])[0] == pytest.approx(np.unique(np.quantile(x, shares)), rel=1e-12)
+    assert boost.first_gains(df, ["a"]) == pytest.approx(gains, rel=1e-9)
