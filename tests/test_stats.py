@@ -94,3 +94,24 @@ def test_shares_and_counts(spark):
     assert stats.distinct_counts(df, ["s", "n"]) == {"s": 2, "n": 1}
     assert stats.missing_rates(df, ["s", "n"]) == {"s": 0.25, "n": 0.5}
     assert not stats.is_unique(df, "n") and stats.is_unique(df.where("s = 'b'"), "s")
+
+
+def test_skew_by_the_pass_of_the_moments(spark):
+    rnd = np.random.default_rng(4)
+    x = np.exp(rnd.normal(size=3000)) - 5
+    df = spark.createDataFrame([(float(v), 1.0) for v in x], "a double, b double").repartition(7)
+    found = stats.moments(df, ["a", "b"])
+    assert found["a"]["skew"] == pytest.approx(((x - x.mean()) ** 3).mean() / x.std() ** 3, rel=1e-9)
+    assert found["b"]["skew"] == 0.0 == stats.moments(df.limit(2), ["a"])["a"]["skew"] == stats.moments(df.limit(0), ["a"])["a"]["skew"]
+
+
+def test_leakage_check_passes_over_its_table(spark, sf_dir, monkeypatch):
+    """Each of the four fits finds all its quantiles together, and its moments and skewness by one pass."""
+    from feldspark.plans import queries
+
+    calls = []
+    for name in ("quantiles", "profile", "skewness"):
+        monkeypatch.setattr(stats, name, lambda *a, _f=getattr(stats, name), _n=name, **k: (a[1] and calls.append(_n), _f(*a, **k))[1])
+    got = {r["fitted_on"]: r["ok"] for r in queries.QUERIES["leakage_check"](spark, sf_dir).collect()}
+    assert got == {"train": True, "all": False}
+    assert {n: calls.count(n) for n in calls} == {"quantiles": 4, "profile": 4}
