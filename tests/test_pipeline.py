@@ -111,3 +111,12 @@ def test_csv_sink(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "f"), ["TransactionID", "TransactionDT"])
     assert spark.read.csv(str(tmp_path / "f"), header=True).columns == ["TransactionID", "x"]
     assert spark.read.csv(str(tmp_path / "f_ids"), header=True).count() == 2
+
+
+def test_wide_projections_of_a_stage_are_compiled(spark, sf_dir, tmp_path, monkeypatch):
+    df = adapters.transactions(spark, sf_dir)
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(P.sinks, "write_parquet", lambda *a, _f=sinks.write_parquet: (seen.append(spark.conf.get(name)), _f(*a))[1])
+    P.Pipeline(spark, Config(train_n=400, val_n=100, test_n=100, window_rows=20), str(tmp_path)).run(df, "clean")
+    assert seen == ["8000", "8000"] and spark.conf.get(name) == before
